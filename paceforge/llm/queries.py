@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm import exact_dedup, licenses, quality_crf, token_counts, toxicity
+from paceforge.llm import decontaminate, exact_dedup, licenses, packing, quality_crf, simhash, token_counts, toxicity
 from paceforge.llm.common import bucket_of, read_table
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_chain(docs, labels))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -28,9 +32,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(docs, field)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_exact_dedup, op5_token_counts, op7_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_exact_dedup, op5_token_counts, op7_quality, op8_simhash, op9_packing, op10_licenses)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
