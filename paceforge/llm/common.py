@@ -65,17 +65,18 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], It
     return df.mapInArrow(run, schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paceforge-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
-def table_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

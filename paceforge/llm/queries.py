@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm import decontaminate, exact_dedup, licenses, packing, quality_crf, simhash, token_counts, toxicity
+from paceforge.llm import decontaminate, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality_crf, simhash, token_counts, toxicity
 from paceforge.llm.common import bucket_of, read_table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return toxicity.score_toxicity(docs, toxicity.fit_chain(docs, labels))
@@ -26,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     field = quality_crf.fit_quality(docs, labels, keep=bucket_of(F.col("doc_id"), 5) != 0)
@@ -44,5 +52,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_exact_dedup, op5_token_counts, op7_quality, op8_simhash, op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_decontaminate, op4_exact_dedup, op5_token_counts, op6_line_dedup, op7_quality, op8_simhash, op9_packing, op10_licenses)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
