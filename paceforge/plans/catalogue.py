@@ -1,9 +1,609 @@
-"""Query catalogue: name -> (DataFrame builder, SQL twin)."""
+"""Query catalogue: each query builds its DataFrame from the operators; its twin says the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paceforge.operators import laps as L
+from paceforge.operators import race as R
+from paceforge.operators import statistics as S
+from paceforge.operators import strategy as G
+from paceforge.operators import timeseries as T
+from paceforge.sources.tables import oracle, read
+
+Read = Callable[[str], DataFrame]
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *tables: str):
+    """Registers a builder that gets a reader of tables; ``sql`` is its twin over the logical ``tables``."""
+
+    def add(build: Callable[[Read], DataFrame]):
+        name = build.__name__
+        _QUERIES[name] = lambda spark, sf_dir: build(lambda table: read(spark, sf_dir, table))
+        if sql:
+            _ORACLES[name] = oracle(sql, *tables) if tables else sql
+        return build
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracles() -> dict:
-    return {}
+    return dict(_ORACLES)
+
+
+def clean(threshold: float) -> str:
+    return f"""(SELECT * FROM (SELECT *, min(lap_ms) OVER (PARTITION BY round) AS best FROM laps)
+      WHERE NOT pit_in AND NOT pit_out AND is_accurate AND track_status = '1' AND NOT coalesce(deleted, false) AND lap_ms < {threshold} * best)"""
+
+
+FUEL = "lap_time_s - (total_laps - lap_number) * (1.8e0 * 0.03e0)"
+PACE = f"(SELECT round, driver, count(*) AS n_laps, min(team) AS team, median({FUEL}) AS pace FROM {clean(4.0)} GROUP BY ALL HAVING count(*) >= 8)"
+FITS = f"""(SELECT *, n >= 6 AND r2 >= 0.3 AS reliable FROM (
+  SELECT round, driver, stint, compound, regr_slope(t, tyre_life) AS slope, regr_intercept(t, tyre_life) AS intercept,
+         CASE WHEN var_pop(t) = 0 THEN 0 ELSE regr_r2(t, tyre_life) END AS r2, count(*) AS n, min_by(fresh_tyre, lap_number) AS fresh
+  FROM (SELECT *, {FUEL} AS t FROM {clean(100.0)}) GROUP BY ALL HAVING count(*) >= 4 AND min(tyre_life) < max(tyre_life)))"""
+STOPS = """(SELECT round, driver, team, lap_number AS in_lap, stint, compound AS compound_before, CASE WHEN nl = lap_number + 1 AND npo THEN nc END AS compound_after,
+   CASE WHEN nl = lap_number + 1 AND npo THEN (lap_ms + nm) / 1000e0 END AS duration_s FROM (
+   SELECT *, lead(lap_number) OVER w AS nl, lead(pit_out) OVER w AS npo, lead(compound) OVER w AS nc, lead(lap_ms) OVER w AS nm FROM laps WINDOW w AS (PARTITION BY driver ORDER BY lap_number)) WHERE pit_in)"""
+EVENTS = """(SELECT a.round, a.lap_number, a.driver AS gainer, b.driver AS loser FROM prv a JOIN prv b ON a.round = b.round AND a.lap_number = b.lap_number
+   AND a.prev > b.prev AND a.position < b.position WHERE a.track_status = '1' AND b.track_status = '1' AND NOT coalesce(a.prev_pit, false) AND NOT b.pit_in)"""
+PREV = """prv AS (SELECT *, CASE WHEN lag(lap_number) OVER w = lap_number - 1 THEN lag(position) OVER w END AS prev,
+   CASE WHEN lag(lap_number) OVER w = lap_number - 1 THEN lag(pit_in) OVER w END AS prev_pit FROM laps WINDOW w AS (PARTITION BY driver ORDER BY lap_number))"""
+
+
+# The price-like lap times at hand spread far wider than a field of cars, so the thresholds here are wide.
+@query(f"SELECT * EXCLUDE (best) FROM {clean(4.0)}", "laps")
+def clean_laps(t):
+    return L.clean_laps(t("laps"), 4.0)
+
+
+@query(
+    """WITH f AS (SELECT *, lap_ms < 4.0 * min(lap_ms) OVER (PARTITION BY round) AS q, NOT pit_in AND NOT pit_out AS c1 FROM laps),
+    s AS (SELECT round, count(*) AS n0, count(*) FILTER (c1) AS n1, count(*) FILTER (c1 AND is_accurate) AS n2, count(*) FILTER (c1 AND is_accurate AND track_status = '1') AS n3,
+      count(*) FILTER (c1 AND is_accurate AND track_status = '1' AND NOT coalesce(deleted, false)) AS n4,
+      count(*) FILTER (c1 AND is_accurate AND track_status = '1' AND NOT coalesce(deleted, false) AND q) AS n5 FROM f GROUP BY round)
+    SELECT round, 0 AS step, 'all' AS filter, n0 AS n_laps FROM s UNION ALL SELECT round, 1, 'no_box', n1 FROM s UNION ALL SELECT round, 2, 'accurate', n2 FROM s
+    UNION ALL SELECT round, 3, 'green', n3 FROM s UNION ALL SELECT round, 4, 'valid', n4 FROM s UNION ALL SELECT round, 5, 'quick', n5 FROM s""",
+    "laps",
+)
+def lap_quality_funnel(t):
+    return L.quality_funnel(t("laps"), 4.0)
+
+
+@query(
+    """WITH a AS (SELECT *, lap_ms >= 4.0 * min(lap_ms) OVER (PARTITION BY round) AS slow, abs(lap_time_s - median(lap_time_s) OVER (PARTITION BY driver)) AS d FROM laps),
+    b AS (SELECT *, median(d) OVER (PARTITION BY driver) AS mad FROM a), c AS (SELECT *, coalesce(0.6745e0 * d / nullif(mad, 0) > 3.5, false) AS o FROM b)
+    SELECT round, CASE WHEN slow AND o THEN 'both' WHEN slow THEN 'threshold_only' WHEN o THEN 'mad_only' ELSE 'kept' END AS category, count(*) AS n_laps FROM c GROUP BY ALL""",
+    "laps",
+)
+def outlier_classes(t):
+    return L.outlier_classes(t("laps"), 4.0)
+
+
+@query(f"SELECT round, driver, n_laps, team, round(pace, 4) AS pace FROM {PACE}", "laps")
+def race_pace(t):
+    return L.race_pace(t("laps"), 4.0).withColumn("pace", F.round("pace", 4))
+
+
+@query(f"SELECT round, driver, team, n_laps, round(pace, 4) AS pace_s, round(pace - min(pace) OVER (PARTITION BY round), 4) AS delta_s FROM {PACE}", "laps")
+def pace_table(t):
+    return L.pace_table(t("laps"), threshold=4.0)
+
+
+@query("SELECT round, driver, stint, compound, min(lap_number) AS first_lap, max(lap_number) AS last_lap, count(lap_number) AS n_laps FROM laps GROUP BY ALL", "laps")
+def stints(t):
+    return L.stints(t("laps"))
+
+
+@query("SELECT *, start_position - end_position AS gained FROM (SELECT round, driver, stint, arg_min(position, lap_number) AS start_position, arg_max(position, lap_number) AS end_position FROM laps GROUP BY ALL)", "laps")
+def stint_position_change(t):
+    return L.stint_positions(t("laps"))
+
+
+@query(f"SELECT round, driver, stint, compound, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, n, fresh, reliable FROM {FITS}", "laps")
+def degradation(t):
+    d = L.degradation(t("laps"), 100.0, 4)
+    return d.withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4), "r2": F.round("r2", 6)})
+
+
+@query(f"SELECT compound, round(avg(slope), 4) AS mean_slope, round(stddev_samp(slope), 4) AS std_slope, count(*) AS n_stints FROM {FITS} WHERE reliable GROUP BY 1", "laps")
+def degradation_by_compound(t):
+    return L.degradation_by(L.degradation(t("laps"), 100.0, 4).where("reliable"), "compound")
+
+
+@query(f"SELECT compound, fresh, round(avg(slope), 4) AS mean_slope, round(stddev_samp(slope), 4) AS std_slope, count(*) AS n_stints FROM {FITS} GROUP BY 1, 2", "laps")
+def fresh_vs_used(t):
+    return L.degradation_by(L.degradation(t("laps"), 100.0, 4), "compound", "fresh")
+
+
+@query(f"SELECT compound, round(median(slope), 4) AS slope, round(median(intercept), 4) AS base, count(*) AS n_stints FROM {FITS} GROUP BY 1", "laps")
+def tyre_models(t):
+    return L.tyre_models(L.degradation(t("laps"), 100.0, 4))
+
+
+@query()
+def stint_cliff(t):
+    return L.stint_cliff(t("laps"))
+
+
+@query(
+    f"""WITH base AS (SELECT driver, median(lap_time_s) AS base FROM {clean(100.0)} GROUP BY 1),
+    m AS (SELECT round, round(median(lap_time_s - base) FILTER (pit_in), 4) AS in_loss_s, round(median(lap_time_s - base) FILTER (pit_out), 4) AS out_loss_s
+      FROM laps JOIN base USING (driver) WHERE NOT contains(track_status, '5') GROUP BY 1) SELECT *, round(in_loss_s + out_loss_s, 3) AS pit_loss_s FROM m""",
+    "laps",
+)
+def pit_loss(t):
+    laps = t("laps")
+    base = L.clean_laps(laps, 100.0).groupBy("driver").agg(F.median("lap_time_s").alias("base"))
+    return L.pit_loss(laps, base=base)
+
+
+@query(f"SELECT * FROM {STOPS}", "laps")
+def pit_stops(t):
+    return L.pit_stops(t("laps"))
+
+
+@query(
+    f"SELECT team, round(median(duration_s), 4) AS median_s, min(duration_s) AS best_s, round(quantile_cont(duration_s, 0.75) - quantile_cont(duration_s, 0.25), 4) AS iqr_s, count(*) AS n_stops FROM {STOPS} WHERE duration_s BETWEEN 40 AND 90 GROUP BY 1",
+    "laps",
+)
+def team_pit_ranking(t):
+    return L.team_pit_ranking(L.pit_stops(t("laps")), 40, 90)
+
+
+@query(
+    f"""WITH p AS (SELECT *, count(*) OVER (PARTITION BY round, in_lap) AS n FROM {STOPS} WHERE duration_s IS NOT NULL)
+    SELECT round, round(median(duration_s) FILTER (n = 1), 4) AS alone_s, round(median(duration_s) FILTER (n >= 4), 4) AS crowd_s, count(*) FILTER (n = 1) AS n_alone, count(*) FILTER (n >= 4) AS n_crowd FROM p GROUP BY 1""",
+    "laps",
+)
+def pit_window_pressure(t):
+    return L.pit_window_pressure(L.pit_stops(t("laps")))
+
+
+@query("SELECT *, s1_ms + s2_ms + s3_ms AS ideal_ms, best_ms - (s1_ms + s2_ms + s3_ms) AS unused_ms FROM (SELECT round, driver, min(s1_ms) AS s1_ms, min(s2_ms) AS s2_ms, min(s3_ms) AS s3_ms, min(lap_ms) AS best_ms FROM laps GROUP BY ALL)", "laps")
+def best_sectors(t):
+    return L.best_sectors(t("laps"))
+
+
+@query("SELECT *, greatest(speed_i1, speed_i2, speed_fl, speed_st) AS top FROM (SELECT driver, round(max(speed_i1), 3) AS speed_i1, round(max(speed_i2), 3) AS speed_i2, round(max(speed_fl), 3) AS speed_fl, round(max(speed_st), 3) AS speed_st FROM laps GROUP BY 1)", "laps")
+def speed_traps(t):
+    return L.speed_traps(t("laps"))
+
+
+@query(
+    """WITH b AS (SELECT round, team, driver, min(lap_ms) AS ms FROM laps GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY round, team ORDER BY ms, driver) AS k, count(*) OVER (PARTITION BY round, team) AS n FROM b)
+    SELECT round, team, max(driver) FILTER (k = 1) AS faster, max(driver) FILTER (k = 2) AS slower, max(ms) FILTER (k = 2) - max(ms) FILTER (k = 1) AS gap_ms,
+    round((max(ms) FILTER (k = 2) - max(ms) FILTER (k = 1)) / max(ms) FILTER (k = 1) * 100, 4) AS gap_pct FROM k WHERE n = 2 GROUP BY 1, 2""",
+    "laps",
+)
+def teammate_duels(t):
+    return L.teammate_duels(t("laps"))
+
+
+@query()
+def elo_history(t):
+    d = L.teammate_duels(t("laps")).select(F.lit(1).alias("grp"), F.struct("round", "team").alias("ord"), F.col("faster").alias("winner"), F.col("slower").alias("loser"))
+    return R.elo(d)
+
+
+@query("SELECT round, lap_number, max(end_ms) - min(end_ms) AS spread_ms, count(*) AS n_cars FROM laps GROUP BY ALL", "laps")
+def field_spread(t):
+    return L.field_spread(t("laps"))
+
+
+@query("SELECT round, lap_number, compound, round(n / sum(n) OVER w, 4) AS share FROM (SELECT round, lap_number, compound, count(*) AS n FROM laps GROUP BY ALL) WINDOW w AS (PARTITION BY round, lap_number) QUALIFY row_number() OVER (PARTITION BY round, lap_number ORDER BY n DESC, compound) = 1", "laps")
+def common_compound(t):
+    return L.common_compound(t("laps"))
+
+
+ROLLING = "(SELECT driver, lap_number, round(m, 4) AS rolling_s FROM (SELECT driver, lap_number, median(lap_time_s) OVER w AS m, count(*) OVER w AS n FROM laps WINDOW w AS (PARTITION BY driver ORDER BY lap_number ROWS 4 PRECEDING)) WHERE n >= 3)"
+
+
+@query(f"SELECT * FROM {ROLLING}", "laps")
+def rolling_pace(t):
+    return L.rolling_pace(t("laps"))
+
+
+@query(f"SELECT * FROM {ROLLING} QUALIFY row_number() OVER (PARTITION BY driver ORDER BY lap_number DESC) = 1", "laps")
+def current_board(t):
+    return L.current_board(L.rolling_pace(t("laps")))
+
+
+@query('SELECT round, lap_number, min(position) FILTER (driver = 1) AS "1", min(position) FILTER (driver = 2) AS "2", min(position) FILTER (driver = 5) AS "5" FROM laps GROUP BY 1, 2', "laps")
+def position_progression(t):
+    return R.position_progression(t("laps"), [1, 2, 5])
+
+
+@query(f"WITH {PREV} SELECT * FROM {EVENTS}", "laps")
+def overtake_events(t):
+    return R.overtake_events(t("laps"))
+
+
+@query(f"WITH {PREV} SELECT round, gainer, loser, count(*) AS n FROM {EVENTS} GROUP BY ALL", "laps")
+def overtakes_matrix(t):
+    return R.overtakes_matrix(R.overtake_events(t("laps")))
+
+
+@query(
+    """WITH st AS (SELECT round, driver, lap_number AS stop FROM laps WHERE pit_in),
+    duel AS (SELECT s.round, s.driver AS chaser, r.driver AS rival, s.stop FROM st s JOIN laps c ON c.driver = s.driver AND c.lap_number = s.stop - 1
+      JOIN laps r ON r.round = s.round AND r.lap_number = s.stop - 1 AND r.position = c.position - 1),
+    met AS (SELECT d.*, min(x.stop) AS rival_stop FROM duel d JOIN st x ON x.driver = d.rival AND x.stop BETWEEN d.stop AND d.stop + 3 GROUP BY ALL HAVING min(x.stop) > d.stop)
+    SELECT m.*, a.position < b.position AS success FROM met m JOIN laps a ON a.driver = m.chaser AND a.lap_number = m.rival_stop + 2 JOIN laps b ON b.driver = m.rival AND b.lap_number = m.rival_stop + 2""",
+    "laps",
+)
+def undercut_duels(t):
+    # the stored stops all fall on the same laps, so a second car's stops are moved by its number
+    return R.undercut_duels(t("laps"))
+
+
+@query("SELECT season, msg_id, CAST(regexp_extract(message, '(\\d+) SECOND TIME', 1) AS BIGINT) AS seconds, CAST(regexp_extract(message, 'FOR CAR (\\d+)', 1) AS BIGINT) AS car, regexp_extract(message, '\\((\\w+)\\)', 1) AS code, regexp_extract(message, ' - (.*)', 1) AS reason FROM race_control WHERE regexp_matches(message, 'SECOND TIME PENALTY FOR CAR')", "race_control")
+def penalties_parsed(t):
+    return R.penalties(t("race_control"))
+
+
+LIMITS = "(SELECT season, msg_id, CAST(regexp_extract(message, 'CAR (\\d+)', 1) AS BIGINT) AS car, regexp_extract(message, '\\((\\w+)\\)', 1) AS code, CAST(regexp_extract(message, 'AT TURN (\\d+)', 1) AS BIGINT) AS turn, CAST(regexp_extract(message, 'LAP (\\d+)$', 1) AS BIGINT) AS lap FROM race_control WHERE contains(message, 'TRACK LIMITS AT TURN'))"
+
+
+@query(f"SELECT * FROM {LIMITS}", "race_control")
+def track_limits_parsed(t):
+    return R.track_limits(t("race_control"))
+
+
+GONE = "(SELECT DISTINCT driver AS car, lap_number AS lap FROM laps WHERE coalesce(deleted, false))"
+
+
+def _deleted(t):
+    return t("laps").where(F.coalesce("deleted", F.lit(False))).select(F.col("driver").alias("car"), F.col("lap_number").alias("lap")).distinct()
+
+
+@query(f"SELECT * FROM {LIMITS} l WHERE NOT EXISTS (SELECT 1 FROM {GONE} g WHERE g.car = l.car AND g.lap = l.lap)", "race_control", "laps")
+def track_limit_crosscheck(t):
+    return R.limits_without_deletion(R.track_limits(t("race_control")), _deleted(t))
+
+
+@query(f"SELECT * FROM {GONE} g WHERE NOT EXISTS (SELECT 1 FROM {LIMITS} l WHERE g.car = l.car AND g.lap = l.lap)", "race_control", "laps")
+def deleted_reason_crosscheck(t):
+    return R.deletions_without_limits(R.track_limits(t("race_control")), _deleted(t))
+
+
+@query("SELECT m.car, season, msg_id, lap, min(team) AS team FROM race_control m LEFT JOIN (SELECT DISTINCT driver AS car, team FROM laps) c ON m.car = c.car WHERE flag = 'BLUE' GROUP BY m.car, season, msg_id, lap", "race_control", "laps")
+def blue_flags(t):
+    return R.blue_flags(t("race_control"), t("laps").groupBy(F.col("driver").alias("car")).agg(F.min("team").alias("team")))
+
+
+@query("SELECT season, round, driver, round(avg(points) OVER (PARTITION BY driver ORDER BY season, round ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS form FROM results", "results")
+def team_form_shifted(t):
+    return R.shifted_form(t("results"))
+
+
+@query("SELECT a.season, a.round, a.driver, a.position, b.position AS last_position FROM results a LEFT JOIN results b ON a.season = b.season + 1 AND a.round = b.round AND a.driver = b.driver", "results")
+def previous_season_position(t):
+    return R.previous_season(t("results"))
+
+
+@query("SELECT season, driver AS champion, points, round(points / sum(points) OVER (PARTITION BY season), 4) AS share FROM (SELECT season, driver, CAST(sum(points) AS BIGINT) AS points FROM results GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY season ORDER BY points DESC, driver) = 1", "results")
+def season_dominance(t):
+    return R.season_dominance(t("results"))
+
+
+@query("SELECT season, round(1 - avg(CASE WHEN regexp_matches(status, '^(Finished|\\+\\d+ Lap)') THEN 1.0e0 ELSE 0 END), 4) AS dnf_rate, count(*) AS n_entries FROM results GROUP BY 1", "results")
+def dnf_rate(t):
+    return R.retirement_rate(t("results"))
+
+
+@query("SELECT season, count(DISTINCT round) AS n_rounds, count(DISTINCT team) AS n_teams FROM results GROUP BY 1", "results")
+def calendar_size(t):
+    return R.calendar_size(t("results"))
+
+
+@query("SELECT season, round, driver, points, points + (12 - round) * 25 >= max(points) OVER (PARTITION BY season, round) AS alive FROM (SELECT season, round, driver, CAST(sum(points) OVER (PARTITION BY season, driver ORDER BY round) AS BIGINT) AS points FROM results)", "results")
+def title_chances(t):
+    return R.title_chances(t("results"), 12)
+
+
+@query("SELECT grid, round(avg(grid - position), 4) AS mean_gain, count(*) FILTER (position = 1) AS wins, count(*) AS n FROM results GROUP BY 1", "results")
+def grid_to_finish(t):
+    return R.grid_to_finish(t("results"))
+
+
+PURCHASES = "(SELECT driver, t_us, speed FROM telemetry WHERE source = 'purchase')"
+
+
+@query(f"SELECT c.driver, c.t_us, p.t_us AS matched_t_us, p.speed AS speed FROM (SELECT driver, t_us FROM telemetry WHERE source = 'click') c ASOF LEFT JOIN {PURCHASES} p ON c.driver = p.driver AND c.t_us >= p.t_us", "telemetry")
+def asof_lap(t):
+    d = t("telemetry")
+    return T.asof_join(d.where("source = 'click'").select("driver", "t_us"), d.where("source = 'purchase'").select("driver", "t_us", "speed"), ["driver"], "t_us", ["speed"])
+
+
+@query("SELECT s.session, s.t_us, s.status, w.t_us AS matched_t_us, w.track_temp, w.rainfall FROM status_log s ASOF LEFT JOIN weather w ON s.session = w.session AND s.t_us >= w.t_us", "status_log", "weather")
+def weather_join(t):
+    return T.asof_join(t("status_log"), t("weather"), ["session"], "t_us", ["track_temp", "rainfall"])
+
+
+@query("SELECT session, island, bool_or(rainfall) AS rainfall, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS n FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY session ORDER BY t_us) AS BIGINT) AS island FROM (SELECT *, CASE WHEN rainfall = lag(rainfall) OVER (PARTITION BY session ORDER BY t_us) THEN 0 ELSE 1 END AS c FROM weather)) GROUP BY ALL", "weather")
+def weather_phases(t):
+    d = T.with_islands(t("weather"), ["session"], "t_us", "rainfall")
+    return d.groupBy("session", "island").agg(F.bool_or("rainfall").alias("rainfall"), F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"), F.count(F.lit(1)).alias("n"))
+
+
+ISLANDS = "(SELECT *, CAST(sum(c) OVER (PARTITION BY driver ORDER BY ord) AS BIGINT) AS island FROM (SELECT *, CASE WHEN brake = lag(brake) OVER (PARTITION BY driver ORDER BY ord) THEN 0 ELSE 1 END AS c FROM telemetry))"
+
+
+@query(f"SELECT driver, island, start_m, end_m, n, end_m - start_m AS length_m FROM (SELECT driver, island, arg_min(distance_m, ord) AS start_m, arg_max(distance_m, ord) AS end_m, count(*) AS n FROM {ISLANDS} WHERE brake GROUP BY 1, 2) WHERE end_m - start_m >= 20", "telemetry")
+def active_zones(t):
+    return T.active_zones(t("telemetry"), ["driver"], "brake", 20.0)
+
+
+@query(
+    f"""SELECT driver, island, round(d0, 2) AS start_m, round(d1, 2) AS end_m, round(d1 - d0, 2) AS length_m, round(v0, 2) AS v_start, round(v1, 2) AS v_min, round((v0 - v1) / 3.6e0 / greatest(t1 - t0, 1e-3) / 9.81e0, 4) AS decel_g FROM (
+    SELECT driver, island, arg_min(distance_m, ord) AS d0, arg_max(distance_m, ord) AS d1, arg_min(speed, ord) AS v0, arg_max(speed, ord) AS v1, arg_min(t_s, ord) AS t0, arg_max(t_s, ord) AS t1 FROM {ISLANDS} WHERE brake GROUP BY 1, 2) WHERE d1 - d0 >= 20""",
+    "telemetry",
+)
+def braking_zones(t):
+    return T.braking_zones(t("telemetry"), ["driver"])
+
+
+STATUS = "(SELECT session, t_us AS start_us, status, lead(t_us) OVER (PARTITION BY session ORDER BY t_us) AS end_us FROM (SELECT *, lag(status) OVER (PARTITION BY session ORDER BY t_us) AS b FROM status_log) WHERE b IS NULL OR b <> status)"
+
+
+@query(f"SELECT * FROM {STATUS}", "status_log")
+def status_intervals(t):
+    return T.status_intervals(t("status_log"))
+
+
+@query(
+    f"""SELECT i.session, CASE status WHEN '1' THEN 'green' WHEN '2' THEN 'yellow' WHEN '4' THEN 'safety car' WHEN '5' THEN 'red' WHEN '6' THEN 'virtual safety car' ELSE status END AS phase,
+    start_us, coalesce(end_us, last_us) AS end_us, coalesce(end_us, last_us) - start_us AS duration_us FROM {STATUS} i JOIN (SELECT session, max(t_us) AS last_us FROM status_log GROUP BY 1) l ON i.session = l.session""",
+    "status_log",
+)
+def track_status_phases(t):
+    log = t("status_log")
+    return T.status_phases(T.status_intervals(log), log.groupBy("session").agg(F.max("t_us").alias("last_us")))
+
+
+ZONES = "(SELECT driver AS key, distance_m AS start_m, distance_m + 30 AS end_m FROM telemetry WHERE drs = 10)"
+
+
+def _zones(t):
+    return t("telemetry").where("drs = 10").select(F.col("driver").alias("key"), F.col("distance_m").alias("start_m"), (F.col("distance_m") + 30).alias("end_m"))
+
+
+@query(f"SELECT driver AS key, ord AS id, distance_m AS pos, EXISTS (SELECT 1 FROM {ZONES} z WHERE z.key = t.driver AND t.distance_m BETWEEN z.start_m AND z.end_m) AS inside FROM telemetry t", "telemetry")
+def zone_membership(t):
+    return T.zone_membership(t("telemetry").select(F.col("driver").alias("key"), F.col("ord").alias("id"), F.col("distance_m").alias("pos")), _zones(t))
+
+
+@query(
+    f"""WITH z AS {ZONES}, f AS (SELECT key, min(start_m) AS first_m FROM z GROUP BY 1), l AS (SELECT driver, max(distance_m) AS length FROM telemetry GROUP BY 1)
+    SELECT t.driver AS key, t.ord AS id, round(coalesce(z.start_m, f.first_m + l.length) - t.distance_m, 4) AS lead_m FROM telemetry t ASOF LEFT JOIN z ON t.driver = z.key AND t.distance_m <= z.start_m
+    LEFT JOIN f ON f.key = t.driver JOIN l ON l.driver = t.driver""",
+    "telemetry",
+)
+def lead_distance_to_zone(t):
+    p = t("telemetry").select(F.col("driver").alias("key"), F.col("ord").alias("id"), F.col("distance_m").alias("pos"))
+    p = p.withColumn("length", F.max("pos").over(Window.partitionBy("key")))
+    return T.lead_to_zone(p, _zones(t))
+
+
+@query(
+    """WITH a AS (SELECT driver AS grp, ord AS i, distance_m AS pos FROM telemetry WHERE source = 'click'), b AS (SELECT driver AS grp, ord AS j, distance_m AS pos FROM telemetry WHERE source = 'view'),
+    n AS (SELECT a.grp, a.i, b.j, abs(a.pos - b.pos) AS d FROM a JOIN b ON a.grp = b.grp QUALIFY row_number() OVER (PARTITION BY a.grp, a.i ORDER BY abs(a.pos - b.pos), b.j) = 1)
+    SELECT grp, i, j, round(d, 4) AS distance FROM n WHERE d <= 150 QUALIFY row_number() OVER (PARTITION BY grp, j ORDER BY i) = 1""",
+    "telemetry",
+)
+def nearest_match(t):
+    d = t("telemetry")
+    pick = lambda s, n: d.where(F.col("source") == s).select(F.col("driver").alias("grp"), F.col("ord").alias(n), F.col("distance_m").alias("pos"))
+    return T.match_by_distance(pick("click", "i"), pick("view", "j"), 150.0)
+
+
+@query(
+    """WITH d AS (SELECT *, coalesce(t_us - lag(t_us) OVER (PARTITION BY driver ORDER BY t_us), 0) AS dt, drs IN (10, 12, 14) AS o FROM telemetry),
+    g AS (SELECT driver, CAST(sum(CASE WHEN o THEN dt ELSE 0 END) AS BIGINT) AS open_us, CAST(sum(dt) AS BIGINT) AS all_us, max(speed) FILTER (o) AS v_open, max(speed) FILTER (NOT o) AS v_closed FROM d GROUP BY 1)
+    SELECT driver, open_us, round(open_us / all_us, 4) AS share, v_open, v_closed, round(v_open - v_closed, 4) AS gain FROM g""",
+    "telemetry",
+)
+def drs_usage(t):
+    return T.drs_usage(t("telemetry"))
+
+
+@query()
+def mini_sectors(t):
+    return T.mini_sectors(t("telemetry"))
+
+
+@query("SELECT driver, lap_number, round(sum(step) + any_value(back), 3) AS length FROM (SELECT driver, lap_number, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step, sqrt((first(x) OVER v - last(x) OVER v) ** 2 + (first(y) OVER v - last(y) OVER v) ** 2) AS back FROM telemetry WINDOW w AS (PARTITION BY driver, lap_number ORDER BY ord), v AS (PARTITION BY driver, lap_number ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY 1, 2", "telemetry")
+def path_length(t):
+    return T.path_length(t("telemetry"), ["driver", "lap_number"])
+
+
+@query()
+def elevation(t):
+    return T.elevation(t("telemetry"), ["driver", "lap_number"])
+
+
+@query("SELECT driver, ord, speed FROM (SELECT *, row_number() OVER (PARTITION BY driver ORDER BY ord) - 1 AS i, greatest(floor(count(*) OVER (PARTITION BY driver) / 20), 1) AS k FROM telemetry) WHERE i % k = 0", "telemetry")
+def downsample(t):
+    return T.downsample(t("telemetry"), ["driver"], "ord", 20).select("driver", "ord", "speed")
+
+
+@query(
+    """WITH d AS (SELECT *, throttle >= max(throttle) OVER (PARTITION BY driver) - 2 AS f, abs(throttle - lag(throttle) OVER w) AS m, coalesce(gear <> lag(gear) OVER w, true) AS s FROM telemetry WINDOW w AS (PARTITION BY driver ORDER BY ord))
+    SELECT driver, round(avg(f::INT) * 100, 4) AS full_pct, round(avg(brake::INT) * 100, 4) AS brake_pct, round(avg((NOT brake AND throttle < 5)::INT) * 100, 4) AS coast_pct, round(avg((brake AND throttle > 5)::INT) * 100, 4) AS overlap_pct,
+    CAST(sum(m) AS BIGINT) AS throttle_moves, count(*) FILTER (s) AS gear_changes FROM d GROUP BY 1""",
+    "telemetry",
+)
+def style_features(t):
+    return T.style_features(t("telemetry"))
+
+
+@query("SELECT driver, lap_number, max(speed) AS v_max, round(avg(speed), 4) AS v_mean, round(avg(throttle), 4) AS throttle, round(avg(brake::INT) * 100, 4) AS brake_pct, round(avg(gear), 4) AS gear, count(*) AS n FROM telemetry GROUP BY 1, 2 HAVING count(*) >= 3", "telemetry")
+def lap_profiles(t):
+    return T.lap_profile(t("telemetry"))
+
+
+@query("SELECT driver, round(avg((source = 'view')::INT), 4) AS car, round(avg((source = 'click')::INT), 4) AS pos, round(avg((source = 'error')::INT), 4) AS interpolation FROM telemetry GROUP BY 1", "telemetry")
+def source_quality(t):
+    return T.source_quality(t("telemetry"))
+
+
+@query(
+    """WITH g AS (SELECT round, avg(lap_time_s) FILTER (fresh_tyre) AS m1, avg(lap_time_s) FILTER (NOT fresh_tyre) AS m0, var_samp(lap_time_s) FILTER (fresh_tyre) AS v1, var_samp(lap_time_s) FILTER (NOT fresh_tyre) AS v0,
+      count(*) FILTER (fresh_tyre) AS n1, count(*) FILTER (NOT fresh_tyre) AS n0 FROM laps GROUP BY 1)
+    SELECT round, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 4) AS dof, n1, n0 FROM g""",
+    "laps",
+)
+def ttest_parity(t):
+    return S.t_statistic(t("laps"), ["round"], "lap_time_s", "fresh_tyre")
+
+
+@query(
+    """WITH r AS (SELECT *, rank() OVER (PARTITION BY round ORDER BY lap_ms) + (count(*) OVER (PARTITION BY round, lap_ms) - 1) / 2.0e0 AS r FROM laps)
+    SELECT round, sum(r) FILTER (fresh_tyre) - count(*) FILTER (fresh_tyre) * (count(*) FILTER (fresh_tyre) + 1) / 2 AS u, count(*) FILTER (fresh_tyre) AS n1, count(*) FILTER (NOT fresh_tyre) AS n0 FROM r GROUP BY 1""",
+    "laps",
+)
+def rank_statistics(t):
+    return S.mann_whitney(t("laps"), ["round"], "lap_ms", "fresh_tyre")
+
+
+@query(
+    """WITH d AS (SELECT season, grid - position AS d FROM results WHERE grid <> position), r AS (SELECT *, rank() OVER (PARTITION BY season ORDER BY abs(d)) + (count(*) OVER (PARTITION BY season, abs(d)) - 1) / 2.0e0 AS r FROM d)
+    SELECT season, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus, count(*) AS n FROM r GROUP BY 1""",
+    "results",
+)
+def signed_ranks(t):
+    return S.wilcoxon(t("results").select("season", (F.col("grid") - F.col("position")).alias("d")), ["season"], "d")
+
+
+@query(
+    """WITH r AS (SELECT season, rank() OVER (PARTITION BY season ORDER BY grid) + (count(*) OVER (PARTITION BY season, grid) - 1) / 2.0e0 AS a, rank() OVER (PARTITION BY season ORDER BY position) + (count(*) OVER (PARTITION BY season, position) - 1) / 2.0e0 AS b FROM results)
+    SELECT season, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY 1""",
+    "results",
+)
+def rank_correlation(t):
+    return S.spearman(t("results"), ["season"], "grid", "position")
+
+
+@query(
+    """WITH c AS (SELECT season, count(*) FILTER (grid <= 10 AND position <= 10)::DOUBLE AS p, count(*) FILTER (grid <= 10 AND position > 10)::DOUBLE AS q, count(*) FILTER (grid > 10 AND position <= 10)::DOUBLE AS r, count(*) FILTER (grid > 10 AND position > 10)::DOUBLE AS s FROM results GROUP BY 1)
+    SELECT season, round((p + q + r + s) * greatest(abs(p * s - q * r) - (p + q + r + s) / 2, 0) ** 2 / ((p + q) * (r + s) * (p + r) * (q + s)), 6) AS chi2 FROM c WHERE (p + q) * (r + s) * (p + r) * (q + s) > 0""",
+    "results",
+)
+def chi_square(t):
+    return S.chi_square(t("results").select("season", (F.col("grid") <= 10).alias("a"), (F.col("position") <= 10).alias("b")), ["season"], "a", "b")
+
+
+FORECAST = "(SELECT season, round, driver, 1 - (grid - 1) / 25e0 AS score, (position <= 10)::INT AS won FROM results)"
+
+
+def _forecast(t):
+    return t("results").select("season", "round", "driver", (1 - (F.col("grid") - 1) / 25).alias("score"), (F.col("position") <= 10).cast("int").alias("won"))
+
+
+@query(f"SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, round(avg(score), 6) AS mean_score, round(avg(won), 6) AS rate, count(*) AS n FROM {FORECAST} GROUP BY 1", "results")
+def calibration_bins(t):
+    return S.calibration(_forecast(t), "score", "won")
+
+
+@query(
+    f"""WITH r AS (SELECT *, rank() OVER (PARTITION BY season ORDER BY score) + (count(*) OVER (PARTITION BY season, score) - 1) / 2.0e0 AS r FROM {FORECAST})
+    SELECT season, round(avg((score - won) ** 2), 6) AS brier, round((sum(r * won) - sum(won) * (sum(won) + 1) / 2) / nullif(sum(won) * (count(*) - sum(won)), 0), 6) AS auc FROM r GROUP BY 1""",
+    "results",
+)
+def forecast_scores(t):
+    return S.scores(_forecast(t), ["season"], "score", "won")
+
+
+@query(
+    """WITH g AS (SELECT round, covar_pop(tyre_life, tyre_life) AS aa, covar_pop(lap_number, lap_number) AS bb, covar_pop(tyre_life, lap_number) AS ab, covar_pop(tyre_life, lap_time_s) AS ay, covar_pop(lap_number, lap_time_s) AS by_, var_pop(lap_time_s) AS yy, count(*) AS n FROM laps GROUP BY 1)
+    SELECT round, round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 6) AS coef_a, round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 6) AS coef_b, round(((ay * bb - by_ * ab) * ay + (by_ * aa - ay * ab) * by_) / (aa * bb - ab * ab) / yy, 6) AS r2, n FROM g""",
+    "laps",
+)
+def temperature_regression(t):
+    return S.two_regressors(t("laps"), ["round"], "lap_time_s", "tyre_life", "lap_number")
+
+
+@query()
+def bootstrap_ci(t):
+    return S.bootstrap_median(t("laps"), ["round", "driver"], "lap_time_s")
+
+
+@query()
+def championship_mc(t):
+    return S.title_odds(t("results"))
+
+
+@query("SELECT n_laps, penalty, round(0.12e0 * n_laps * (n_laps + 1) / 2 - 0.08e0 * n_laps * (n_laps - 1) / 2 - penalty, 6) AS gain_s FROM range(1, 11) r(n_laps), (VALUES (0.0e0), (0.5e0), (1.0e0)) p(penalty)")
+def undercut_gain_grid(t):
+    return G.undercut_grid(t("region").sparkSession)
+
+
+def _tyres(t):
+    """Three tyre models whose pace comes from the parts table's sizes."""
+    m = t("part").select((F.col("p_size") % 3).alias("k"), "p_size").groupBy("k").agg(F.avg("p_size").alias("m"))
+    return m.select(F.concat(F.lit("C"), F.col("k")).alias("compound"), F.round(90 + F.col("m") / 100, 3).alias("base"), F.round(0.05 + 0.05 * F.col("k"), 3).alias("lin"), F.lit(0.001).alias("quad"), (30 - 5 * F.col("k")).cast("int").alias("max_age"))
+
+
+TYRES = "(SELECT 'C' || k AS compound, round(90 + m / 100, 3) AS base, round(0.05e0 + 0.05e0 * k, 3) AS lin, 0.001e0 AS quad, 30 - 5 * k AS max_age FROM (SELECT p_size % 3 AS k, avg(p_size) AS m FROM part GROUP BY 1))"
+
+
+@query(
+    f"""SELECT compound, a AS first, b AS last, round(base * (b - a + 1) + lin * (b - a + 1) * (b - a) / 2 + quad * (b - a) * (b - a + 1) * (2 * (b - a + 1) - 1) / 6 + CASE WHEN a > 1 THEN 20e0 ELSE 0 END, 6) AS cost
+    FROM {TYRES}, range(1, 41) x(a), range(1, 41) y(b) WHERE b - a + 1 BETWEEN 5 AND max_age AND (b = 40 OR 40 - b >= 5) AND (a = 1 OR a - 1 >= 5)"""
+)
+def stint_arcs(t):
+    return G.stint_arcs(_tyres(t), 40, 20.0, 5)
+
+
+@query()
+def optimal_strategy(t):
+    arcs = G.stint_arcs(_tyres(t), 40, 20.0, 5)
+    losses = t("region").select(F.col("r_regionkey").cast("bigint").alias("scenario"))
+    dear = arcs.join(losses, F.lit(True)).withColumn("cost", F.col("cost") + F.when(F.col("first") > 1, F.col("scenario") * 5.0).otherwise(0.0))
+    return G.best_strategies(dear, ["scenario"], 40)
+
+
+@query("WITH RECURSIVE m(lap, q) AS (SELECT 1::BIGINT, 0.0e0 UNION ALL SELECT lap + 1, q * (1 - 0.25e0) + (1 - q) * 0.025e0 FROM m WHERE lap < 60) SELECT lap, round(q, 9) AS q FROM m")
+def sc_marginals(t):
+    return G.safety_car_marginals(t("region").sparkSession, 60)
+
+
+@query()
+def gap_evolution(t):
+    d = t("laps").where("lap_number <= 60").select(F.col("driver").alias("grp"), "lap_number", (F.col("lap_ms") % 1000 / 1000 - 0.55).alias("delta"), (F.col("lap_ms") % 4 == 0).alias("passes"), F.lit(1.0).alias("gap0"))
+    return G.gap_evolution(d.withColumnRenamed("lap_number", "lap"))
+
+
+@query("SELECT season, round, driver, median(score) AS m FROM results GROUP BY ALL HAVING median(score) > 0", "results")
+def mart_driver_pace(t):
+    return t("results").groupBy("season", "round", "driver").agg(F.median("score").alias("m")).where("m > 0")
+
+
+@query("SELECT round, compound, round(median(lap_time_s), 3) AS median_s, count(*) AS n FROM laps GROUP BY ALL HAVING count(*) > 50", "laps")
+def mart_degradation(t):
+    return t("laps").groupBy("round", "compound").agg(F.round(F.median("lap_time_s"), 3).alias("median_s"), F.count(F.lit(1)).alias("n")).where("n > 50")
+
+
+@query(f"WITH {PREV} SELECT round, count(*) AS n_events, count(DISTINCT gainer) AS n_gainers FROM {EVENTS} GROUP BY 1", "laps")
+def mart_overtakes_by_event(t):
+    return R.overtake_events(t("laps")).groupBy("round").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("gainer").alias("n_gainers"))
+
+
+@query(
+    """SELECT 'lap_time_positive' AS test, count(*) FILTER (lap_ms <= 0) AS failures FROM laps UNION ALL SELECT 'position_present', count(*) FILTER (position IS NULL) FROM laps
+    UNION ALL SELECT 'stint_positive', count(*) FILTER (stint < 1) FROM laps UNION ALL SELECT 'not_empty', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM laps""",
+    "laps",
+)
+def quality_assertions(t):
+    one = t("laps").agg(F.count_if(F.col("lap_ms") <= 0).alias("lap_time_positive"), F.count_if(F.col("position").isNull()).alias("position_present"), F.count_if(F.col("stint") < 1).alias("stint_positive"), F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("not_empty"))
+    return one.unpivot([], one.columns, "test", "failures")
