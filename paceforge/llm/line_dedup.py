@@ -9,10 +9,11 @@ removed if it matches an earlier line (by document id, then line number), kept o
 2. Lines with the same set of words fold into their first one; the others match it.
 3. Most of a group of near copies is settled against one earlier line: sets that share
    the smallest hash of their rare words meet their group's first line only.
-4. Two sets that match share a word among their first |x| - ceil(t |x|) + 1 words (prefix
-   filter). Lines not settled yet meet all earlier sets there; pairs must pass the length
-   filter, with the positions of the shared word the positional filter, and a bound on
-   the words that only one of them has, from 64-bit parity signatures.
+4. Two sets that match share at least 3 words among their first |x| - ceil(t |x|) + 3 words
+   (prefix filter, for sets of 4 words or more). Lines not settled yet meet all earlier sets
+   there; pairs must pass the length filter, with the positions of the shared word the
+   positional filter, a bound on the words that only one of them has, from 64-bit parity
+   signatures, and meet on 3 words.
 5. The words of both lines of a pair that is left are compared (verification).
 
 Stage 3 changes no result: it only spares stage 4 the pairs within a group, whose number
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from paceforge.llm.common import checkpoint, id_and_text
 
-BUCKETS, PAGE = 1 << 22, 1 << 12
-SEEDS = 3
+BUCKETS, PLACES, PAGE = 1 << 16, 1 << 22, 1 << 12
+SEEDS, SHARED = 3, 3
 
 
 def word_set(line: Column) -> Column:
@@ -40,30 +41,27 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def byte_table(cells: DataFrame) -> Column:
-    """A constant of ``BUCKETS`` bytes from (i, v): v (0..127) at place i, 0 elsewhere.
-
-    The driver gets pages of places and values, at most ``BUCKETS`` of them at any size of the input.
-    """
+def byte_table(cells: DataFrame, size: int) -> bytes:
+    """``size`` bytes from (i, v): v (0..127) at place i, 0 elsewhere. The driver gets at most ``size`` cells at any size of the input."""
     entry = ((F.col("i") % PAGE) * 256 + F.col("v")).cast("bigint")
     pages = cells.select(F.floor(F.col("i") / PAGE).cast("int").alias("page"), entry.alias("entry"))
     pages = pages.groupBy("page").agg(F.unhex(F.array_join(F.transform(F.collect_set("entry"), lambda e: F.lpad(F.hex(e), 6, "0")), "")).alias("entries"))
-    table = np.zeros(BUCKETS, np.uint8)
-    for r in pages.toLocalIterator(prefetchPartitions=True):
+    table = np.zeros(size, np.uint8)
+    for r in pages.collect():
         e = np.frombuffer(bytes(r["entries"]), np.uint8).reshape(-1, 3).astype(np.int64)
         table[r["page"] * PAGE + e[:, 0] * 256 + e[:, 1]] = e[:, 2]
-    return F.lit(table.tobytes())
+    return table.tobytes()
 
 
-def look_up(table: Column, h: Column) -> Column:
-    return F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)))
+def look_up(table: Column, size: int, h: Column) -> Column:
+    return F.ascii(F.substring(table, (F.pmod(h, F.lit(size)) + 1).cast("int"), F.lit(1)))
 
 
 def rarity(lines: DataFrame) -> Column:
     """Rank (0..127, three steps an octave; 0: the bucket's only word occurs once) by the number of a hash bucket's words."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS))
     counted = lines.select(F.explode("words").alias("w")).groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return byte_table(counted.select("i", F.least(F.floor(3 * F.log2("n")), F.lit(127)).alias("v")))
+    return F.lit(byte_table(counted.select("i", F.least(F.floor(3 * F.log2("n")), F.lit(127)).alias("v")), BUCKETS))
 
 
 def _at_least(t: float, n: Column) -> Column:
@@ -87,8 +85,9 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """(doc_id, line_no) of the later lines of pairs whose words match. Only lines in a pair are fetched from the documents."""
     ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"line_no_{s}").alias("line_no")) for s in "ab"))).alias("p")).select("p.*").distinct()
     place = F.xxhash64("doc_id", "line_no")
-    wanted = byte_table(ids.select(F.pmod(place, F.lit(BUCKETS)).alias("i"), F.lit(1).alias("v")))
-    lines = all_lines(docs).where(look_up(wanted, place) == 1).join(ids, ["doc_id", "line_no"], "left_semi")
+    wanted = byte_table(ids.select(F.pmod(place, F.lit(PLACES)).alias("i"), F.lit(1).alias("v")), PLACES)
+    one = checkpoint(ids.sparkSession.createDataFrame([(wanted,)], "t binary"))  # PLACES bytes, read as a constant
+    lines = all_lines(docs).where(look_up(one.scalar(), PLACES, place) == 1).join(ids, ["doc_id", "line_no"], "left_semi")
     lines = lines.select("doc_id", "line_no", word_set(F.col("line")).alias("words"))
     a, b = (lines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "words"))) for s in "ab")
     both = pairs.join(a, ["doc_id_a", "line_no_a"]).join(b, ["doc_id_b", "line_no_b"])
@@ -109,23 +108,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = all_lines(docs).select("doc_id", "line_no", word_set(F.col("line")).alias("words")).where(F.size("words") >= min_words)
     ranks = rarity(lines)
     # a word's key: its rank, then 55 bits of its hash
-    key = lambda w: F.shiftleft(look_up(ranks, F.xxhash64(w)).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
+    key = lambda w: F.shiftleft(look_up(ranks, BUCKETS, F.xxhash64(w)).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
     keyed = lines.select("doc_id", "line_no", F.size("words").alias("size"), F.sort_array(F.transform("words", key)).alias("keys"))
-    prefix = F.slice("keys", F.lit(1), (F.col("size") - _at_least(t, F.col("size")) + 1).cast("int"))
+    shared = max(1, min(SHARED, int(np.ceil(t * min_words - 1e-9))))
+    held = F.least(F.col("size") - _at_least(t, F.col("size")) + shared, F.col("size")).cast("int")
     keyed = keyed.select(
         "doc_id", "line_no", "size", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), F.col("keys")).alias("d2"),
         F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("sig"),
-        # 31 bits of a key are enough for a list; position is kept as words that occur once are left out
-        F.filter(F.transform(prefix, lambda k, i: F.when(k >= F.lit(1 << 55), F.shiftleft(k.bitwiseAND(F.lit((1 << 31) - 1)), 16) + i)), lambda x: x.isNotNull()).alias("prefix"),
+        # words of rank 0, the first ones, are left out; 31 bits of a key are enough for a list
+        F.transform(F.filter(F.slice("keys", F.lit(1), held), lambda k: k >= F.lit(1 << 55)), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), held.alias("held"),
     )
-    folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "size", "sig", "prefix")).alias("first"), F.count(F.lit(1)).alias("n"))
+    folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "size", "sig", "prefix", "held")).alias("first"), F.count(F.lit(1)).alias("n"))
     sets = checkpoint(folded)
     firsts = sets.where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("doc_id_a"), F.col("first.line_no").alias("line_no_a"))
     again = keyed.select(F.col("doc_id").alias("doc_id_b"), F.col("line_no").alias("line_no_b"), "d1", "d2").join(firsts, ["d1", "d2"]).where(_earlier("a", "b"))
     equal = again.select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no"), F.lit(True).alias("equal"))
 
     sets = sets.select("first.*")
-    small = [F.array_min(F.transform("prefix", lambda x, s=s: F.xxhash64(F.lit(s), F.shiftright(x, 16)))) for s in range(SEEDS)]
+    small = [F.array_min(F.transform("prefix", lambda x, s=s: F.xxhash64(F.lit(s), x))) for s in range(SEEDS)]
     grouped = sets.select("doc_id", "line_no", "size", "sig", F.explode(F.array(*small)).alias("m")).where("m is not null")
     lead = grouped.groupBy("m").agg(F.min(F.struct("doc_id", "line_no", "size", "sig")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lead = lead.select("m", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("doc_id", "line_no", "size", "sig")))
@@ -134,13 +134,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     settled = checkpoint(verified(docs, checkpoint(led), t))
 
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left")
-    posts = flagged.select("doc_id", "line_no", "size", "sig", F.col("settled").isNull().alias("open"), F.explode("prefix").alias("x"))
-    posts = posts.select("doc_id", "line_no", "size", "sig", "open", F.shiftright("x", 16).alias("key"), F.col("x").bitwiseAND(F.lit(65535)).cast("int").alias("pos"))
+    posts = flagged.select("doc_id", "line_no", "size", "sig", F.col("settled").isNull().alias("open"), (F.col("held") - F.size("prefix")).alias("skipped"), F.posexplode("prefix").alias("i", "key"))
+    posts = posts.select("doc_id", "line_no", "size", "sig", "open", "key", (F.col("skipped") + F.col("i")).alias("pos"))
     a, b = (posts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "size", "sig", "open", "pos"))) for s in "ab")
     rest = lambda s: F.col(f"size_{s}") - F.col(f"pos_{s}") - 1
     positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
     met = a.join(b, "key").where(F.col("open_b") & _earlier("a", "b") & _can_match(t) & positional)
-    pairs = checkpoint(met.select("doc_id_a", "line_no_a", "doc_id_b", "line_no_b").distinct())
+    pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
+    pairs = checkpoint(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select(*pair))
     similar = settled.unionByName(verified(docs, pairs, t)).withColumn("equal", F.lit(False))
     return equal.unionByName(similar)
 
@@ -156,7 +157,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row per document with an id: doc_id, n_lines, n_equal, n_similar, removed (sorted line numbers). Repeated ids are one document."""
-    cut = removed_lines(docs, id_col, text_col, **kw)
+    cut = removed_lines(docs, id_col, text_col, **kw).distinct()
     cut = cut.groupBy("doc_id").agg(F.count_if("equal").alias("n_equal"), F.count_if(~F.col("equal")).alias("n_similar"), F.sort_array(F.collect_list("line_no")).alias("removed"))
     base = id_and_text(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.size(F.split("text", "\n"))).cast("bigint").alias("n_lines"))
     return base.join(cut, "doc_id", "left").select(
