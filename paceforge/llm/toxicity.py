@@ -7,7 +7,8 @@ probabilities as uncertain as the ones they meet when scoring.
 
 Features are 0/1: whole words and word beginnings of 4 to 6 letters, which carry
 over to unseen inflections. Spark counts them over the labelled sample and keeps
-the ``n_features`` that tell the first category's classes apart best (chi-square).
+the ``n_features`` that are most surely more frequent in the first category (chi-square of
+``min_chi`` at least, as thousands of features are tried).
 """
 
 from __future__ import annotations
@@ -83,6 +84,7 @@ def fit_chain(
     label_col: str = "toxic",
     max_rows: int = 16000,
     n_features: int = 3000,
+    min_chi: float = 25.0,
     folds: int = 5,
     keep: Column | None = None,
 ) -> Chain:
@@ -107,10 +109,10 @@ def fit_chain(
     # the 2x2 chi-square of each feature, with 1/2 added to each cell
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     c, d = F.lit(n1 + 0.5) - F.col("a"), F.lit(n0 + 0.5) - F.col("b")
-    chi = F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
+    chi = (n1 + n0) * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
     best = (
         counts.groupBy("feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
-        .select("feature", "a", "b", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(n_features).collect()
+        .select("feature", "a", "b", chi.alias("chi")).where((F.col("chi") >= min_chi) & (F.col("a") * n0 > F.col("b") * n1)).orderBy(F.desc("chi"), "feature").limit(n_features).collect()
     )
     chain = Chain(names, {r["feature"]: i for i, r in enumerate(best)})
     only_toxic = {i for i, r in enumerate(best) if not r["b"] and not r["feature"].startswith("^")}
