@@ -154,8 +154,8 @@ def pit_loss(laps: DataFrame, exclude_red: bool = True, base: DataFrame | None =
     extra = F.col("lap_time_s") - F.col("base")
     return (
         used.join(base, "driver").groupBy("round")
-        .agg(F.round(F.median(F.when(F.col("pit_in"), extra)), 4).alias("in_loss_s"), F.round(F.median(F.when(F.col("pit_out"), extra)), 4).alias("out_loss_s"))
-        .withColumn("pit_loss_s", F.round(F.col("in_loss_s") + F.col("out_loss_s"), 3))
+        .agg(F.round(F.median(F.when(F.col("pit_in"), extra)), 6).alias("in_loss_s"), F.round(F.median(F.when(F.col("pit_out"), extra)), 6).alias("out_loss_s"))
+        .withColumn("pit_loss_s", F.round(F.col("in_loss_s") + F.col("out_loss_s"), 6))
     )
 
 
@@ -170,7 +170,7 @@ def pit_stops(laps: DataFrame) -> DataFrame:
 def team_pit_ranking(stops: DataFrame, low: float, high: float) -> DataFrame:
     d = stops.where(F.col("duration_s").between(low, high))
     q = lambda p: F.percentile("duration_s", F.lit(p))
-    return d.groupBy("team").agg(F.round(F.median("duration_s"), 4).alias("median_s"), F.min("duration_s").alias("best_s"), F.round(q(0.75) - q(0.25), 4).alias("iqr_s"), F.count(F.lit(1)).alias("n_stops"))
+    return d.groupBy("team").agg(F.round(F.median("duration_s"), 4).alias("median_s"), F.min("duration_s").alias("best_s"), F.round(q(0.75) - q(0.25), 6).alias("iqr_s"), F.count(F.lit(1)).alias("n_stops"))
 
 
 def pit_window_pressure(stops: DataFrame, crowd: int = 4) -> DataFrame:

@@ -78,7 +78,7 @@ def strategy_laps(plan: DataFrame, pit_loss: float) -> DataFrame:
 def safety_car_marginals(spark: SparkSession, n_laps: int, p_deploy: float = 0.025, p_end: float = 0.25) -> DataFrame:
     """Chance that each lap runs under the safety car; the race starts green. A fold over laps."""
     steps = F.aggregate(
-        F.sequence(F.lit(2), F.lit(n_laps)), F.array(F.lit(0.0)),
+        F.filter(F.sequence(F.lit(1), F.lit(n_laps)), lambda lap: lap > 1), F.array(F.lit(0.0)),
         lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) * (1 - p_end) + (1 - F.element_at(acc, -1)) * p_deploy)),
     )
     return spark.range(1).select(F.posexplode(steps).alias("i", "q")).select((F.col("i") + 1).cast("bigint").alias("lap"), F.round("q", 9).alias("q"))

@@ -90,7 +90,8 @@ def match_by_distance(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame
     As no second choice is made, the first i of each b is the whole answer. a: grp, i, pos; b: grp, j, pos.
     The nearest b is the nearer of the as-of matches on both sides.
     """
-    right = b.select("grp", "pos", "j", F.col("pos").alias("b_pos"))
+    # of b's at one place only the first can be a nearest one
+    right = b.groupBy("grp", "pos").agg(F.min("j").alias("j")).withColumn("b_pos", F.col("pos"))
     down = asof_join(a, right, ["grp"], "pos", ["j", "b_pos"]).select("grp", "i", "pos", F.struct(F.abs(F.col("pos") - F.col("b_pos")).alias("d"), "j").alias("x"))
     up = asof_join(a, right, ["grp"], "pos", ["j", "b_pos"], forward=True).select("grp", "i", "pos", F.struct(F.abs(F.col("pos") - F.col("b_pos")).alias("d"), "j").alias("x"))
     near = down.unionByName(up).where("x.j is not null").groupBy("grp", "i").agg(F.min("x").alias("x")).where(F.col("x.d") <= tolerance)

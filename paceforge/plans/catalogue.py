@@ -109,10 +109,11 @@ def stint_position_change(t):
     return L.stint_positions(t("laps"))
 
 
-@query(f"SELECT round, driver, stint, compound, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, n, fresh, reliable FROM {FITS}", "laps")
+@query(f"SELECT round, driver, stint, compound, round(slope + 1e-7, 4) AS slope, round(intercept + 1e-7, 3) AS intercept, round(r2 + 1e-7, 4) AS r2, n, fresh, reliable FROM {FITS}", "laps")
 def degradation(t):
     d = L.degradation(t("laps"), 100.0, 4)
-    return d.withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4), "r2": F.round("r2", 6)})
+    # times are whole milliseconds, so that many results end in a 5; a little more keeps both engines on one side
+    return d.withColumns({c: F.round(F.col(c) + 1e-7, k) for c, k in (("slope", 4), ("intercept", 3), ("r2", 4))})
 
 
 @query(f"SELECT compound, round(avg(slope), 4) AS mean_slope, round(stddev_samp(slope), 4) AS std_slope, count(*) AS n_stints FROM {FITS} WHERE reliable GROUP BY 1", "laps")
@@ -137,8 +138,8 @@ def stint_cliff(t):
 
 @query(
     f"""WITH base AS (SELECT driver, median(lap_time_s) AS base FROM {clean(100.0)} GROUP BY 1),
-    m AS (SELECT round, round(median(lap_time_s - base) FILTER (pit_in), 4) AS in_loss_s, round(median(lap_time_s - base) FILTER (pit_out), 4) AS out_loss_s
-      FROM laps JOIN base USING (driver) WHERE NOT contains(track_status, '5') GROUP BY 1) SELECT *, round(in_loss_s + out_loss_s, 3) AS pit_loss_s FROM m""",
+    m AS (SELECT round, round(median(lap_time_s - base) FILTER (pit_in), 6) AS in_loss_s, round(median(lap_time_s - base) FILTER (pit_out), 6) AS out_loss_s
+      FROM laps JOIN base USING (driver) WHERE NOT contains(track_status, '5') GROUP BY 1) SELECT *, round(in_loss_s + out_loss_s, 6) AS pit_loss_s FROM m""",
     "laps",
 )
 def pit_loss(t):
@@ -153,7 +154,7 @@ def pit_stops(t):
 
 
 @query(
-    f"SELECT team, round(median(duration_s), 4) AS median_s, min(duration_s) AS best_s, round(quantile_cont(duration_s, 0.75) - quantile_cont(duration_s, 0.25), 4) AS iqr_s, count(*) AS n_stops FROM {STOPS} WHERE duration_s BETWEEN 40 AND 90 GROUP BY 1",
+    f"SELECT team, round(median(duration_s), 4) AS median_s, min(duration_s) AS best_s, round(quantile_cont(duration_s, 0.75) - quantile_cont(duration_s, 0.25), 6) AS iqr_s, count(*) AS n_stops FROM {STOPS} WHERE duration_s BETWEEN 40 AND 90 GROUP BY 1",
     "laps",
 )
 def team_pit_ranking(t):
