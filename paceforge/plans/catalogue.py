@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceforge.operators import laps as L
+from paceforge.operators import models as M
 from paceforge.operators import race as R
 from paceforge.operators import statistics as S
 from paceforge.operators import strategy as G
 from paceforge.operators import timeseries as T
+from paceforge.operators import tracks as K
 from paceforge.sources.tables import oracle, read
 
 Read = Callable[[str], DataFrame]
@@ -608,3 +610,129 @@ def mart_overtakes_by_event(t):
 def quality_assertions(t):
     one = t("laps").agg(F.count_if(F.col("lap_ms") <= 0).alias("lap_time_positive"), F.count_if(F.col("position").isNull()).alias("position_present"), F.count_if(F.col("stint") < 1).alias("stint_positive"), F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("not_empty"))
     return one.unpivot([], one.columns, "test", "failures")
+
+
+AHEAD = "(SELECT round, lap_number, driver, lag(driver) OVER w AS ahead, end_ms - lag(end_ms) OVER w AS gap_ms FROM laps WINDOW w AS (PARTITION BY round, lap_number ORDER BY position))"
+
+
+@query(f"SELECT * FROM {AHEAD}", "laps")
+def car_ahead(t):
+    return K.car_ahead(t("laps"))
+
+
+@query(f"SELECT driver, round(median(nullif(gap_ms, 0)), 4) AS median_ms, min(nullif(gap_ms, 0)) AS least_ms, round(avg((nullif(gap_ms, 0) < 500000)::INT), 4) AS near_share FROM {AHEAD} WHERE ahead IS NOT NULL GROUP BY 1", "laps")
+def close_following(t):
+    return K.close_following(t("laps"))
+
+
+@query(
+    f"""WITH d AS (SELECT l.driver, l.tyre_life, l.lap_time_s, (g.gap_ms < 500000)::INT::DOUBLE AS near FROM laps l JOIN {AHEAD} g ON l.driver = g.driver AND l.lap_number = g.lap_number AND g.gap_ms > 0),
+    f AS (SELECT driver, regr_slope(lap_time_s, tyre_life) AS s, regr_intercept(lap_time_s, tyre_life) AS i FROM d GROUP BY 1),
+    r AS (SELECT d.driver, near, tyre_life, lap_time_s - s * tyre_life - i AS rest FROM d JOIN f ON d.driver = f.driver)
+    SELECT driver, round(regr_slope(rest, near) + 1e-7, 4) AS cost_s, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT tyre_life) >= 2 AND count(DISTINCT near) = 2""",
+    "laps",
+)
+def dirty_air(t):
+    return K.dirty_air(t("laps"))
+
+
+@query(
+    """WITH s AS (SELECT *, t_us - min(t_us) OVER (PARTITION BY driver) AS u, distance_m - min(distance_m) OVER (PARTITION BY driver) AS d FROM telemetry)
+    SELECT driver, round(min(u / 1e6) FILTER (speed >= 40), 3) AS t_first, round(min(u / 1e6) FILTER (speed >= 80), 3) AS t_second, round(max(d) FILTER (u / 1e6 <= 86400), 3) AS distance_m FROM s GROUP BY 1""",
+    "telemetry",
+)
+def start_metrics(t):
+    return K.start_metrics(t("telemetry"), ["driver"])
+
+
+@query(
+    """WITH c AS (SELECT driver, ord AS corner, distance_m AS at_m FROM telemetry WHERE source = 'purchase')
+    SELECT t.driver, corner, min(speed) AS v_min, count(*) AS n FROM telemetry t JOIN c ON t.driver = c.driver AND abs(t.distance_m - c.at_m) < 60 GROUP BY 1, 2""",
+    "telemetry",
+)
+def corner_min_speed(t):
+    d = t("telemetry")
+    return K.corner_min_speed(d, d.where("source = 'purchase'").select("driver", F.col("ord").alias("corner"), F.col("distance_m").alias("at_m")), "driver")
+
+
+@query(
+    """WITH c AS (SELECT driver, ord AS id, x AS px, y + 3 AS py FROM telemetry WHERE source = 'error')
+    SELECT driver, id, distance_m, round(d, 4) AS apart FROM (SELECT t.driver, id, distance_m, sqrt((x - px) ** 2 + (y - py) ** 2) AS d, row_number() OVER (PARTITION BY t.driver, id ORDER BY sqrt((x - px) ** 2 + (y - py) ** 2), t.ord) AS k
+    FROM telemetry t JOIN c ON t.driver = c.driver) WHERE k = 1""",
+    "telemetry",
+)
+def nearest_sample(t):
+    d = t("telemetry")
+    return K.nearest_sample(d.where("source = 'error'").select("driver", F.col("ord").alias("id"), "x", (F.col("y") + 3).alias("y")), d, "driver")
+
+
+@query(
+    """WITH f AS (SELECT round, lap_number, max(end_ms) - min(end_ms) AS s FROM laps GROUP BY 1, 2), p AS (SELECT DISTINCT round, lap_number AS lap_start, lap_number + 2 AS lap_end FROM laps WHERE lap_number % 25 = 10),
+    g AS (SELECT p.round, lap_start AS phase_id, median(s) FILTER (lap_number < lap_start) AS before_ms, min(s) FILTER (lap_number >= lap_start) AS inside_ms FROM p JOIN f ON p.round = f.round AND lap_number BETWEEN lap_start - 3 AND lap_end GROUP BY 1, 2)
+    SELECT *, round((1 - inside_ms / before_ms) * 100, 4) AS compaction_pct FROM g WHERE before_ms > 0""",
+    "laps",
+)
+def sc_compaction(t):
+    laps = t("laps")
+    phases = laps.where("lap_number % 25 = 10").select("round", F.col("lap_number").alias("phase_id"), F.col("lap_number").alias("lap_start"), (F.col("lap_number") + 2).alias("lap_end")).distinct()
+    return K.neutral_compaction(L.field_spread(laps), phases)
+
+
+@query(
+    """WITH e AS (SELECT driver, lap_number * 50000 AS t_ms FROM laps WHERE lap_number % 7 = 0), s AS (SELECT driver, end_ms - lap_ms AS at_ms, lap_number, s1_ms, s2_ms FROM laps)
+    SELECT e.driver, e.t_ms, s.lap_number, CASE WHEN s.lap_number IS NULL THEN NULL WHEN t_ms - at_ms < s1_ms THEN 1 WHEN t_ms - at_ms < s1_ms + s2_ms THEN 2 ELSE 3 END AS sector FROM e ASOF LEFT JOIN s ON e.driver = s.driver AND e.t_ms >= s.at_ms""",
+    "laps",
+)
+def sc_deployment_sector(t):
+    laps = t("laps")
+    return K.sector_at(laps.where("lap_number % 7 = 0").select("driver", (F.col("lap_number") * 50000).alias("t_ms")), laps)
+
+
+@query()
+def lap_simulation(t):
+    d = t("telemetry").select("driver", "distance_m", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    cars = d.select("driver").distinct().select("driver", F.explode(F.array(*(F.struct(F.lit(i).alias("car"), F.lit(g).alias("grip")) for i, g in enumerate((25.0, 30.0, 35.0))))).alias("c"))
+    return K.simulate_laps(d, cars.select("driver", "c.car", "c.grip", F.lit(8.0).alias("accel"), F.lit(15.0).alias("brake"), F.lit(90.0).alias("top")), "driver")
+
+
+@query()
+def dtw_profiles(t):
+    d = t("telemetry").where("ord <= 60").groupBy((F.col("driver") % 10).alias("track"), "driver").agg(F.array_sort(F.collect_list(F.struct("ord", "speed"))).alias("s"))
+    return K.dtw_pairs(d.select("track", "driver", F.col("s.speed").alias("v")), "track")
+
+
+@query()
+def kmeans_clusters(t):
+    return M.best_clusters(T.style_features(t("telemetry")), ["full_pct", "brake_pct", "coast_pct", "overlap_pct"])
+
+
+@query()
+def gbt_position(t):
+    d = R.shifted_form(t("results")).join(t("results").select("season", "round", "driver", "grid", (F.col("position") <= 3).cast("int").alias("podium")), ["season", "round", "driver"]).na.fill({"form": 0.0})
+    last = d.select(F.max("season").alias("last"))
+    d = d.join(last, F.lit(True))
+    return M.podium_chances(d.where("season < last").drop("last"), d.where("season = last").drop("last"), ["form", "grid"], "podium", "gbt")
+
+
+@query()
+def podium_logistic(t):
+    d = t("results").select("season", "round", "driver", "grid", (F.col("position") <= 3).cast("int").alias("podium"))
+    d = d.join(d.select(F.max("season").alias("last")), F.lit(True))
+    return M.podium_chances(d.where("season < last").drop("last"), d.where("season = last").drop("last"), ["grid"], "podium")
+
+
+@query()
+def anomaly_laps(t):
+    return M.anomaly_flags(T.lap_profile(t("telemetry")), ["v_max", "v_mean", "throttle", "brake_pct", "gear"])
+
+
+@query("SELECT CAST(year(o_orderdate) AS BIGINT) AS season, n_name AS country, count(*) AS n_events, lower(r_name) IN ('asia', 'america') AS is_sprint FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def event_dimension(t):
+    d = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return d.groupBy(F.year("o_orderdate").cast("bigint").alias("season"), F.col("n_name").alias("country"), F.lower("r_name").isin("asia", "america").alias("is_sprint")).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+@query("SELECT l.* FROM (SELECT DISTINCT season, round FROM results) l ANTI JOIN (SELECT DISTINCT season, round FROM results WHERE round % 3 = 0) m ON l.season = m.season AND l.round = m.round", "results")
+def load_manifest_delta(t):
+    d = t("results").select("season", "round").distinct()
+    return d.join(d.where("round % 3 = 0"), ["season", "round"], "left_anti")
