@@ -157,7 +157,7 @@ def test_near_duplicates(spark):
 
 
 def brute_lines(rows, t=0.8, least=5):
-    lines = sorted({(i, k, frozenset(x for x in re.split("[ \t\x0b\x0c\r]+", line.lower()) if x)) for i, text in rows if i is not None for k, line in enumerate(text.split("\n"))}, key=lambda x: x[:2])
+    lines = sorted({(i, k, frozenset(x for x in line.lower().split(" ") if x)) for i, text in rows if i is not None for k, line in enumerate(text.split("\n"))}, key=lambda x: x[:2])
     lines = [x for x in lines if len(x[2]) >= least]
     return {y[:2] for n, y in enumerate(lines) for x in lines[:n] if x[:2] < y[:2] and len(x[2] & y[2]) >= t * len(x[2] | y[2]) - 1e-9}
 
