@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import checkpoint, id_and_text
+from paceforge.llm.common import checkpoint, id_and_text, written
 
 BUCKETS, PLACES, PAGE = 1 << 16, 1 << 22, 1 << 12
 SEEDS, SHARED = 2, 3
@@ -119,7 +119,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.transform(F.filter(F.slice("keys", F.lit(1), held), lambda k: k >= F.lit(1 << 55)), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), held.alias("held"),
     )
     folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "size", "sig", "prefix", "held")).alias("first"), F.count(F.lit(1)).alias("n"))
-    sets = checkpoint(folded)
+    sets = written(folded)
     firsts = sets.where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("doc_id_a"), F.col("first.line_no").alias("line_no_a"))
     again = keyed.select(F.col("doc_id").alias("doc_id_b"), F.col("line_no").alias("line_no_b"), "d1", "d2").join(firsts, ["d1", "d2"]).where(_earlier("a", "b"))
     equal = again.select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no"), F.lit(True).alias("equal"))
@@ -131,17 +131,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lead = lead.select("m", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("doc_id", "line_no", "size", "sig")))
     member = grouped.select("m", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "line_no", "size", "sig")))
     led = member.join(lead, "m").where(_earlier("a", "b") & _can_match(t)).select("doc_id_a", "line_no_a", "doc_id_b", "line_no_b").distinct()
-    settled = checkpoint(verified(docs, checkpoint(led), t))
+    settled = written(verified(docs, written(led), t))
 
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left")
     posts = flagged.select("doc_id", "line_no", "size", "sig", F.col("settled").isNull().alias("open"), (F.col("held") - F.size("prefix")).alias("skipped"), F.posexplode("prefix").alias("i", "key"))
-    posts = posts.select("doc_id", "line_no", "size", "sig", "open", "key", (F.col("skipped") + F.col("i")).alias("pos"))
-    a, b = (posts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "size", "sig", "open", "pos"))) for s in "ab")
+    # size (31 bits), position (31 bits) and flag in one number, as there are many of these rows to shuffle
+    facts = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("bigint") * 2).bitwiseOR(F.col("open").cast("bigint"))
+    posts = posts.select("key", "doc_id", "line_no", "sig", facts.alias("facts"))
+
+    a, b = (posts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "sig", "facts"))) for s in "ab")
+    # taken apart after the join; the flag is weighed with the other side's size, as a filter on one side alone would part the two sides' shuffles
+    unpacked = {}
+    for s in "ab":
+        f = F.col(f"facts_{s}")
+        unpacked |= {f"size_{s}": F.shiftright(f, 32).cast("int"), f"pos_{s}": F.shiftright(f.bitwiseAND(F.lit(2**32 - 1)), 1).cast("int")}
+    is_open = F.col("facts_b").bitwiseAND(F.lit(1)) * F.shiftright("facts_a", 32) > 0
     rest = lambda s: F.col(f"size_{s}") - F.col(f"pos_{s}") - 1
     positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
-    met = a.join(b, "key").where(F.col("open_b") & _earlier("a", "b") & _can_match(t) & positional)
+    met = a.join(b, "key").where(is_open).withColumns(unpacked).where(_earlier("a", "b") & _can_match(t) & positional)
     pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
-    pairs = checkpoint(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select(*pair))
+    pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select(*pair))
     similar = settled.unionByName(verified(docs, pairs, t)).withColumn("equal", F.lit(False))
     return equal.unionByName(similar)
 
