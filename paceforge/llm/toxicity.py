@@ -8,7 +8,7 @@ probabilities as uncertain as the ones they meet when scoring.
 Features are 0/1: whole words and word beginnings of 4 to 6 letters, which carry
 over to unseen inflections. Spark counts them over the labelled sample and keeps
 the ``n_features`` that are most surely more frequent in the first category (chi-square of
-``min_chi`` at least, as thousands of features are tried).
+``min_chi`` at least: one in a thousand at random).
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def fit_chain(
     label_col: str = "toxic",
     max_rows: int = 16000,
     n_features: int = 3000,
-    min_chi: float = 25.0,
+    min_chi: float = 10.8,
+    l2: float = 0.3,
     folds: int = 5,
     keep: Column | None = None,
 ) -> Chain:
@@ -127,13 +128,13 @@ def fit_chain(
     fold = np.arange(len(rows)) % folds  # the rows are in order of id
     earlier = np.ones((len(rows), 1))
     for k in range(len(names)):
-        w, v = fit_logistic(x, earlier, y[:, k])
+        w, v = fit_logistic(x, earlier, y[:, k], l2=l2)
         chain.weights.append(w)
         chain.dense.append(v)
         if k + 1 < len(names):
             held = np.zeros(len(rows))
             for f in range(folds):
-                wf, vf = fit_logistic(x, earlier, y[:, k], fold != f)
+                wf, vf = fit_logistic(x, earlier, y[:, k], fold != f, l2)
                 held[fold == f] = sigmoid(x.dot(wf) + earlier @ vf)[fold == f]
             earlier = np.column_stack([earlier, held])
     return chain
