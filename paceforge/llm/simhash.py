@@ -14,7 +14,8 @@ than its list. Lists over ``list_limit`` nodes are dealt anew by further bits: t
 other bits differ in at most 3 places, so one of 4 blocks of them is equal again.
 
 With several words per fingerprint (``n_words`` > 1) the same index finds pairs that
-share a triple in any word, and the distance over all bits decides.
+share a triple in any word, and the distance over all bits decides. It is then not
+exact; ``near_duplicates`` takes it as a first proposer and finds the rest by a join.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import LOWER, checkpoint, id_and_text, map_rows
+from paceforge.llm.common import LOWER, checkpoint, id_and_text, map_rows, words, written
 from paceforge.llm.components import connected_components
+from paceforge.llm.decontaminate import window_hashes
+from paceforge.llm.lm_scoring import WordHashes
 
 MAX_BITS, MIN_BYTES = 3, 5
+CELLS, PAGE = 1 << 20, 1 << 12
 # odd multipliers of the splitmix64 generator, for further words from one hash
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -185,27 +189,58 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(member, "print").select("doc_id", F.lower(F.lpad(F.hex(F.element_at("print", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, n_words: int = 6) -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of ``size``-word shingles have Jaccard similarity of at least ``similarity``.
+def shingle_hashes(text: str | None, size: int, memo: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles, made of the words' hashes."""
+    ws = words(text)
+    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+    own = min(size, len(h))
+    return np.unique(window_hashes(h, own, own)) if own else h
 
-    The index proposes pairs by fingerprints of ``n_words`` words: pairs that share three
-    positional bytes of a word and whose bits are no farther apart than the similarity
-    allows, with room for the fingerprint's spread. The texts of each proposed pair are
-    then compared in full. Groups are what verified links connect. Documents without
-    words are alike. Null ids and repeated rows as in ``simhash_components``.
-    """
-    prints = checkpoint(fingerprints(df, id_col, text_col, size, n_words))
-    cosine = 2 * similarity / (1 + similarity)  # of equally large sets
-    share = float(np.arccos(cosine) / np.pi)
-    bits = int(64 * n_words * (share + 2 * np.sqrt(share * (1 - share) / (64 * n_words))))
-    proposed = checkpoint(links(prints, bits, 3).distinct())
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(first, "print")
-    docs = id_and_text(df, id_col, text_col).groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = ends.join(docs, "doc_id").select("print", "text")
-    a = texts.select(F.col("print").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("print").alias("b"), F.col("text").alias("text_b"))
-    pairs = proposed.join(a, "a").join(b, "b")
+
+def shingle_ranks(rows: DataFrame, size: int) -> np.ndarray:
+    """Rank (three steps an octave) of each of ``CELLS`` hash cells by the shingles that fall in it; 1 MB at any size of the input."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        memo, held = WordHashes(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for text in batch.slice(at, 64).column(0).to_pylist():
+                    np.add.at(held, (shingle_hashes(text, size, memo) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        for page in range(CELLS // PAGE):
+            own = held[page * PAGE : (page + 1) * PAGE]
+            full = np.flatnonzero(own)
+            if len(full):
+                yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([full.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[full].astype(np.int64).tobytes()], pa.binary())], ["page", "cells", "n"])
+
+    def add(pages):
+        import pandas as pd
+
+        total = np.zeros(PAGE, np.int64)
+        for cells, n in zip(pages["cells"], pages["n"], strict=True):
+            total[np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.int64)
+        rank = np.floor(3 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pd.DataFrame({"page": [pages["page"].iloc[0]], "ranks": [rank.tobytes()]})
+
+    out = np.zeros(CELLS, np.uint8)
+    for r in rows.select("text").mapInArrow(count, "page int, cells binary, n binary").groupBy("page").applyInPandas(add, "page int, ranks binary").collect():  # CELLS bytes in all
+        out[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(bytes(r["ranks"]), np.uint8)
+    return out
+
+
+def _least(t: float, n: int) -> int:
+    return int(np.ceil(t * n - 1e-9))
+
+
+def shared_in_prefix(t: float, n: int) -> int:
+    """Shingles that two matching sets share in their prefixes, the smaller one of ``n``; it never falls as n grows."""
+    return min(1 + n // 20, _least(t, n))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose texts, in (row, text), are similar enough: whole sets of shingles are compared."""
+    a, b = (texts.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
 
     def start():
         def one(r):
@@ -215,8 +250,92 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return one
 
-    verified = map_rows(pairs, "a array<bigint>, b array<bigint>", start)
-    return prints.join(classes(prints, checkpoint(verified)), "print").select("doc_id", "component_id")
+    return map_rows(pairs.join(a, "a").join(b, "b"), "a bigint, b bigint", start)
+
+
+def pairs_across(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of the pairs in (row, comp, n, prefix) of different ``comp`` a set that holds all similar ones.
+
+    Overlap o of similar sets is at least t |x| and t |y|. The k-th smallest shingle that they
+    share is then among the first |x| - ceil(t |x|) + k of x, and of y likewise, in any order of
+    the shingles. So they share k in these prefixes; each must also leave room for o at its places.
+    A list of shingle holders within one component is not read, and within a list only holders of
+    different components meet.
+    """
+    t = similarity
+    posts = sets.select("row", "comp", "n", F.posexplode("prefix").alias("i", "key"))
+    facts = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
+    posts = posts.select("key", "comp", "row", facts.alias("facts"))
+    live = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    posts = written(posts.join(live, "key", "left_semi"))
+    held = posts.select("key", "comp").distinct()
+    cross = held.withColumnRenamed("comp", "comp_a").join(held.withColumnRenamed("comp", "comp_b"), "key").where("comp_a < comp_b")
+    met = cross
+    for s in "ab":
+        met = met.join(posts.select("key", F.col("comp").alias(f"comp_{s}"), F.col("row").alias(s), F.col("facts").alias(f"facts_{s}")), ["key", f"comp_{s}"])
+    met = met.select("a", "b", *(e.alias(f"{c}_{s}") for s in "ab" for c, e in (("n", F.shiftright(f"facts_{s}", 32).cast("int")), ("i", F.col(f"facts_{s}").bitwiseAND(F.lit(2**32 - 1)).cast("int")))))
+    least = lambda share, n: F.ceil(F.lit(share) * n - F.lit(1e-9))
+    small = F.least("n_a", "n_b")
+    room = F.least("i_a", "i_b") + 1 + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1
+    met = met.where((small >= least(t, F.greatest("n_a", "n_b"))) & (room >= least(t / (1 + t), F.col("n_a") + F.col("n_b"))))
+    need = F.least(1 + F.floor(small / 20), least(t, small))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(need).alias("need")).where("shared >= need").select("a", "b")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, n_words: int = 6) -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of ``size``-word shingles have Jaccard similarity of at least ``similarity``.
+
+    Exact: groups are what all similar pairs connect. Documents with the same set fold into
+    one. The index of fingerprints of ``n_words`` words then proposes links at little cost: its
+    lists give spanning forests, and it may miss pairs. The texts of each proposal are compared
+    in full. What these links leave in different components goes through a prefix-filtered
+    join of the sets, rare shingles first, and is compared in full too; so a pair that the
+    index missed, or a link that its forest left out, is found here. Documents without words
+    are alike. Null ids and repeated rows as in ``simhash_components``.
+    """
+    rows = id_and_text(df, id_col, text_col)
+    kind = dict(rows.dtypes)["doc_id"]
+    ranks = rows.sparkSession.sparkContext.broadcast(shingle_ranks(rows, size))
+
+    def start():
+        from xxhash import xxh64_intdigest
+
+        memo = WordHashes()
+
+        def one(r):
+            h = shingle_hashes(r["text"], size, memo)
+            n, raw = len(h), h.tobytes()
+            rank = ranks.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+            order = np.lexsort((h, rank))[: n - _least(similarity, n) + shared_in_prefix(similarity, n)]
+            yield r["row"], r["doc_id"], r["text"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, fingerprint(r["text"], size, n_words), h[order].view(np.int64).tolist()
+
+        return one
+
+    # the number of a row is fixed by writing it
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    known = written(map_rows(numbered, f"row bigint, doc_id {kind}, text string, d1 bigint, d2 bigint, n int, print array<bigint>, prefix array<bigint>", start))
+    sets = checkpoint(known.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    again = known.select("row", "d1", "d2").join(sets.where("copies > 1"), ["d1", "d2"]).where("row <> node").select("row")
+    firsts = known.join(again, "row", "left_anti")
+    texts = firsts.select("row", "text")
+
+    cosine = 2 * similarity / (1 + similarity)  # of equally large sets
+    share = float(np.arccos(cosine) / np.pi)
+    bits = int(64 * n_words * (share + 2 * np.sqrt(share * (1 - share) / (64 * n_words))))
+    lead = firsts.groupBy("print").agg(F.min("row").alias("lead"))
+    same = firsts.select("print", "row").join(lead, "print").where("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"))
+    near = links(firsts.select("print"), bits, 3).distinct()
+    for s in "ab":
+        near = near.withColumnRenamed(s, "print").join(lead, "print").drop("print").withColumnRenamed("lead", s)
+    quick = checkpoint(similar_pairs(written(near.select("a", "b").unionByName(same)), texts, size, similarity))
+    roots = connected_components(quick)
+    placed = firsts.select("row", "n", "prefix").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
+    rest = similar_pairs(written(pairs_across(placed, similarity)), texts, size, similarity)
+    roots = connected_components(quick.unionByName(checkpoint(rest)))
+    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = rooted.join(low, "root").select("d1", "d2", "component_id")
+    return known.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

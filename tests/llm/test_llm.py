@@ -153,6 +153,32 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [1, 3, 4]
 
 
+def edited(rng, ws, n):
+    out = list(ws)
+    for i in rng.choice(len(out), n, replace=False):
+        out[i] = f"e{rng.integers(0, 10**9)}"
+    return out
+
+
+def jaccard_components(rows, size=5, t=0.8):
+    sets = {i: frozenset(simhash.shingles(text, size)) for i, text in rows}
+    return brute_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9)
+
+
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """All meet in every list of the index, most within its bits: the forests leave out true pairs."""
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(40):
+        own = edited(rng, template, 6)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(rng, own, 1)))]
+    monkeypatch.setattr(simhash, "key_masks", lambda level: [0] * 8 * 4**level)
+    want = jaccard_components(rows)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
 # ---- line dedup
 
 
