@@ -179,6 +179,18 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
 
 
+def test_near_duplicates_recall(spark):
+    """All pairs at Jaccard 0.8, those close to it too, short texts and repeated words among them."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in range(120):
+        ws = [f"w{rng.integers(0, 3000)}" for _ in range(int(rng.integers(8, 240)))]
+        rows += [(2 * n, " ".join(ws)), (2 * n + 1, " ".join(edited(rng, ws, max(1, round(len(ws) * (n % 6) / 220)))))]
+    want = jaccard_components(rows)
+    assert 30 < len(rows) - len(set(want.values())) < 110
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
 # ---- line dedup
 
 
