@@ -9,11 +9,12 @@ removed if it matches an earlier line (by document id, then line number), kept o
 2. Lines with the same set of words fold into their first one; the others match it.
 3. Most of a group of near copies is settled against one earlier line: sets that share
    the smallest hash of their rare words meet their group's first line only.
-4. Two sets that match share at least 3 words among their first |x| - ceil(t |x|) + 3 words
-   (prefix filter, for sets of 4 words or more). Lines not settled yet meet all earlier sets
+4. Two sets that match share at least k = min(3, ceil(t |x|)) words, x the smaller one, among
+   their first |x| - ceil(t |x|) + k words (prefix filter). Sets so short that only an equal
+   one matches (under 4 words at t = 0.8) are done. Lines not settled yet meet all earlier sets
    there; pairs must pass the length filter, with the positions of the shared word the
    positional filter, a bound on the words that only one of them has, from 64-bit parity
-   signatures, and meet on 3 words.
+   signatures, and meet on k words.
 5. The words of both lines of a pair that is left are compared (verification).
 
 Stage 3 changes no result: it only spares stage 4 the pairs within a group, whose number
@@ -33,8 +34,8 @@ SEEDS, SHARED = 2, 3
 
 
 def word_set(line: Column) -> Column:
-    """Distinct words: lower case, split at spaces."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), " "), ""))
+    """Distinct words: lower case, split at ASCII white space."""
+    return F.array_distinct(F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), ""))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -99,8 +100,8 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, min_words: int = 5) -> DataFrame:
     """(doc_id, line_no, equal): lines that match an earlier one; ``equal`` says that their sets of words are the same.
 
-    Lines of fewer than ``min_words`` different words are never compared: one edit changes
-    most of such a line. Null texts are empty; rows with a null id are left alone. Rows that
+    Lines of fewer than ``min_words`` different words are left alone; the query and the pipeline
+    compare all lines with a word (1). Null texts are empty; rows with a null id are left alone. Rows that
     repeat an id are one document: their equal line numbers are not earlier than each other.
     Words are compared as strings; sets are folded by two 64-bit hashes of their words.
     """
@@ -110,8 +111,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a word's key: its rank, then 55 bits of its hash
     key = lambda w: F.shiftleft(look_up(ranks, BUCKETS, F.xxhash64(w)).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
     keyed = lines.select("doc_id", "line_no", F.size("words").alias("size"), F.sort_array(F.transform("words", key)).alias("keys"))
-    shared = max(1, min(SHARED, int(np.ceil(t * min_words - 1e-9))))
-    held = F.least(F.col("size") - _at_least(t, F.col("size")) + shared, F.col("size")).cast("int")
+    shared = lambda n: F.least(F.lit(SHARED), _at_least(t, n))  # noqa: E731  # never falls as n grows
+    held = (F.col("size") - _at_least(t, F.col("size")) + shared(F.col("size"))).cast("int")
     keyed = keyed.select(
         "doc_id", "line_no", "size", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), F.col("keys")).alias("d2"),
         F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("sig"),
@@ -124,7 +125,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = keyed.select(F.col("doc_id").alias("doc_id_b"), F.col("line_no").alias("line_no_b"), "d1", "d2").join(firsts, ["d1", "d2"]).where(_earlier("a", "b"))
     equal = again.select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no"), F.lit(True).alias("equal"))
 
-    sets = sets.select("first.*")
+    # a shorter set matches no other one: all its words are needed, and any more are too many
+    sets = sets.select("first.*").where((_at_least(t, F.col("size")) < F.col("size")) | (_at_least(t, F.col("size") + 1) <= F.col("size")))
     small = [F.array_min(F.transform("prefix", lambda x, s=s: F.xxhash64(F.lit(s), x))) for s in range(SEEDS)]
     grouped = sets.select("doc_id", "line_no", "size", "sig", F.explode(F.array(*small)).alias("m")).where("m is not null")
     lead = grouped.groupBy("m").agg(F.min(F.struct("doc_id", "line_no", "size", "sig")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -150,7 +152,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
     met = a.join(b, "key").where(is_open).withColumns(unpacked).where(_earlier("a", "b") & _can_match(t) & positional)
     pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
-    pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select(*pair))
+    pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.first(shared(F.least("size_a", "size_b"))).alias("shared")).where("n >= shared").select(*pair))
     similar = settled.unionByName(verified(docs, pairs, t)).withColumn("equal", F.lit(False))
     return equal.unionByName(similar)
 

@@ -31,7 +31,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,20 @@ def test_line_dedup(docs, odd):
     assert report[2] == (1, [0]) and report[1] == (1, [])
 
 
+def test_short_lines_and_white_space(spark, monkeypatch):
+    """Lines of 1 to 6 words against all pairs, through the query; tabs and carriage returns part words."""
+    from paceforge.llm import queries
+
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"v{x}" for x in rng.integers(0, 7, rng.integers(1, 7))) for _ in range(150)]
+    lines += ["Read more here", "read more here\r", "read\tmore\x0bhere", "a b c d e f g h\r", "a\tb\tc\td\te\tf\tg\th", "one two three four five\r", "one two three four five"]
+    rows = [(i, "\n".join(lines[i::20])) for i in range(20)]
+    at = [(i, k, frozenset(line.lower().encode().split())) for i, text in rows for k, line in enumerate(text.split("\n"))]
+    want = {y[:2] for n, y in enumerate(at) for x in at[:n] if len(x[2] & y[2]) >= 0.8 * len(x[2] | y[2]) - 1e-9}
+    monkeypatch.setattr(queries, "read_table", lambda *_: spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.doc_id, k) for r in queries.op6_line_dedup(spark, "").collect() for k in r.removed} == want
+
+
 # ---- decontamination
 
 
