@@ -89,9 +89,9 @@ def fit_chain(
     folds: int = 5,
     keep: Column | None = None,
 ) -> Chain:
-    """Fit the chain toxic -> repeated -> severe.
+    """Fit the chain severe -> repeated -> toxic; the last link decides, and sees the out-of-fold probabilities of the others.
 
-    ``toxic`` is the label. The label table has no finer categories, so the later two
+    ``toxic`` is the label. The label table has no finer categories, so the first two
     grade it by a stated rule: toxic rows with at least 2 (repeated) or 5 (severe)
     different features that occur in toxic rows only. ``max_rows`` bounds the labelled
     rows used, and with ``n_features`` what reaches the driver: numbers of features,
@@ -103,7 +103,7 @@ def fit_chain(
     counts = map_rows(sample, "feature string, y int", lambda: lambda r: ((f, r["y"]) for f in features(r["text"])))
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    names = ["toxic", "repeated", "severe"]
+    names = ["severe", "repeated", "toxic"]
     if not n1 or not n0:
         rate = 20.0 if n1 else -20.0
         return Chain(names, {}, [np.zeros(0)] * 3, [np.array([rate] + [0.0] * k) for k in range(3)])
@@ -124,7 +124,7 @@ def fit_chain(
     rows = sorted(map_rows(sample, f"doc_id {kind}, y int, cols array<int>", start).collect(), key=lambda r: (r["doc_id"], r["cols"]))
     x = Sparse([r["cols"] for r in rows], len(best))
     hits = [len(only_toxic & set(r["cols"])) for r in rows]
-    y = np.array([[r["y"], _grade(r["y"], h, 2), _grade(r["y"], h, 5)] for r, h in zip(rows, hits, strict=True)], float)
+    y = np.array([[_grade(r["y"], h, 5), _grade(r["y"], h, 2), r["y"]] for r, h in zip(rows, hits, strict=True)], float)
     fold = np.arange(len(rows)) % folds  # the rows are in order of id
     earlier = np.ones((len(rows), 1))
     for k in range(len(names)):
@@ -141,7 +141,7 @@ def fit_chain(
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, p_<category> for each, rejected (p_toxic >= threshold).
+    """One row per document: doc_id, p_<category> for each, rejected (p_toxic, the last link, >= threshold).
 
     Whole texts are read. Null and empty texts have no feature and get the intercept's
     probability. Repeated rows give repeated results; a null id stays null.
@@ -155,5 +155,5 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
 
 def drop_toxic(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not rejected; one pass, no join."""
-    keep = F.udf(lambda text: chain.probabilities(text)[0] < threshold, "boolean", useArrow=True)
+    keep = F.udf(lambda text: chain.probabilities(text)[-1] < threshold, "boolean", useArrow=True)
     return docs.where(keep(F.col(text_col)))
