@@ -8,12 +8,13 @@ removed if it matches an earlier line (by document id, then line number), kept o
    order is exact, a rarer-first order makes the lists below short.
 2. Lines with the same set of words fold into their first one; the others match it.
 3. Most of a group of near copies is settled against one earlier line: sets that share
-   the smallest hash of their rare words meet their group's first line only.
+   the smallest or the largest hash of all their words, or the smallest of their rare
+   words, meet the first line that has it, and only that one.
 4. Two sets that match share at least k = min(3, ceil(t |x|)) words, x the smaller one, among
    their first |x| - ceil(t |x|) + k words (prefix filter). Sets so short that only an equal
    one matches (under 4 words at t = 0.8) are done. Lines not settled yet meet all earlier sets
    there; pairs must pass the length filter, with the positions of the shared word the
-   positional filter, a bound on the words that only one of them has, from 64-bit parity
+   positional filter, a bound on the words that only one of them has, from 128-bit parity
    signatures, and meet on k words.
 5. The words of both lines of a pair that is left are compared (verification).
 
@@ -29,13 +30,21 @@ from pyspark.sql import functions as F
 
 from paceforge.llm.common import checkpoint, id_and_text, written
 
-BUCKETS, PLACES, PAGE = 1 << 16, 1 << 22, 1 << 12
-SEEDS, SHARED = 2, 3
+BUCKETS, PLACES, PAGE = 1 << 20, 1 << 22, 1 << 12
+SHARED = 3
+
+
+def plain(text: Column) -> Column:
+    """Lower case, with blanks for the other ASCII white space within a line."""
+    out = F.lower(text)
+    for c in "\t\r\f\x0b":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
 
 
 def word_set(line: Column) -> Column:
-    """Distinct words: lower case, split at ASCII white space."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), ""))
+    """Distinct words of a plain line."""
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -58,10 +67,10 @@ def look_up(table: Column, size: int, h: Column) -> Column:
     return F.ascii(F.substring(table, (F.pmod(h, F.lit(size)) + 1).cast("int"), F.lit(1)))
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(docs: DataFrame) -> Column:
     """Rank (0..127, three steps an octave; 0: the bucket's only word occurs once) by the number of a hash bucket's words."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS))
-    counted = lines.select(F.explode("words").alias("w")).groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.where("doc_id is not null").select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("i")).agg(F.count(F.lit(1)).alias("n"))
     return F.lit(byte_table(counted.select("i", F.least(F.floor(3 * F.log2("n")), F.lit(127)).alias("v")), BUCKETS))
 
 
@@ -78,7 +87,7 @@ def _can_match(t: float) -> Column:
     need = _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
     return (
         (F.col("size_a") >= _at_least(t, F.col("size_b"))) & (F.col("size_b") >= _at_least(t, F.col("size_a")))
-        & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= F.col("size_a") + F.col("size_b") - 2 * need)
+        & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b"))) <= F.col("size_a") + F.col("size_b") - 2 * need)
     )
 
 
@@ -89,7 +98,7 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     wanted = byte_table(ids.select(F.pmod(place, F.lit(PLACES)).alias("i"), F.lit(1).alias("v")), PLACES)
     one = checkpoint(ids.sparkSession.createDataFrame([(wanted,)], "t binary"))  # PLACES bytes, read as a constant
     lines = all_lines(docs).where(look_up(one.scalar(), PLACES, place) == 1).join(ids, ["doc_id", "line_no"], "left_semi")
-    lines = lines.select("doc_id", "line_no", word_set(F.col("line")).alias("words"))
+    lines = lines.select("doc_id", "line_no", word_set(plain(F.col("line"))).alias("words"))
     a, b = (lines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "words"))) for s in "ab")
     both = pairs.join(a, ["doc_id_a", "line_no_a"]).join(b, ["doc_id_b", "line_no_b"])
     common = F.size(F.array_intersect("words_a", "words_b"))
@@ -97,29 +106,33 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     return both.where(match).select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, min_words: int = 1) -> DataFrame:
     """(doc_id, line_no, equal): lines that match an earlier one; ``equal`` says that their sets of words are the same.
 
-    Lines of fewer than ``min_words`` different words are left alone; the query and the pipeline
-    compare all lines with a word (1). Null texts are empty; rows with a null id are left alone. Rows that
-    repeat an id are one document: their equal line numbers are not earlier than each other.
-    Words are compared as strings; sets are folded by two 64-bit hashes of their words.
+    Lines of fewer than ``min_words`` different words are left alone, by default those without any.
+    Null texts are empty; rows with a null id are left alone. Rows that repeat an id are one
+    document: their equal line numbers are not earlier than each other. Similar lines are
+    compared by their words; sets are folded by two 64-bit hashes of their words' 64-bit hashes.
     """
     t, docs = similarity, id_and_text(docs, id_col, text_col)
-    lines = all_lines(docs).select("doc_id", "line_no", word_set(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    ranks = rarity(lines)
+    ranks, blank = rarity(docs), F.xxhash64(F.lit(""))
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), blank))
+    lines = all_lines(docs.withColumn("text", plain(F.col("text")))).select("doc_id", "line_no", hashes.alias("h")).where(F.size("h") >= min_words)
     # a word's key: its rank, then 55 bits of its hash
-    key = lambda w: F.shiftleft(look_up(ranks, BUCKETS, F.xxhash64(w)).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
-    keyed = lines.select("doc_id", "line_no", F.size("words").alias("size"), F.sort_array(F.transform("words", key)).alias("keys"))
+    key = lambda h: F.shiftleft(look_up(ranks, BUCKETS, h).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+    keyed = lines.select("doc_id", "line_no", F.size("h").alias("size"), F.sort_array("h").alias("h"), F.sort_array(F.transform("h", key)).alias("keys"))
     shared = lambda n: F.least(F.lit(SHARED), _at_least(t, n))  # noqa: E731  # never falls as n grows
     held = (F.col("size") - _at_least(t, F.col("size")) + shared(F.col("size"))).cast("int")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda some: F.aggregate(F.filter("h", some), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k)))
     keyed = keyed.select(
-        "doc_id", "line_no", "size", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), F.col("keys")).alias("d2"),
-        F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("sig"),
+        "doc_id", "line_no", "size", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(1), F.col("h")).alias("d2"), F.element_at("h", 1).alias("low"), F.element_at("h", -1).alias("high"),
+        parity(lambda k: k > 0).alias("sig"), parity(lambda k: k <= 0).alias("more"),
         # words of rank 0, the first ones, are left out; 31 bits of a key are enough for a list
         F.transform(F.filter(F.slice("keys", F.lit(1), held), lambda k: k >= F.lit(1 << 55)), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), held.alias("held"),
     )
-    folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "size", "sig", "prefix", "held")).alias("first"), F.count(F.lit(1)).alias("n"))
+    facts = ["doc_id", "line_no", "size", "sig", "more"]
+    folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct(*facts, "low", "high", "prefix", "held")).alias("first"), F.count(F.lit(1)).alias("n"))
     sets = written(folded)
     firsts = sets.where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("doc_id_a"), F.col("first.line_no").alias("line_no_a"))
     again = keyed.select(F.col("doc_id").alias("doc_id_b"), F.col("line_no").alias("line_no_b"), "d1", "d2").join(firsts, ["d1", "d2"]).where(_earlier("a", "b"))
@@ -127,21 +140,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # a shorter set matches no other one: all its words are needed, and any more are too many
     sets = sets.select("first.*").where((_at_least(t, F.col("size")) < F.col("size")) | (_at_least(t, F.col("size") + 1) <= F.col("size")))
-    small = [F.array_min(F.transform("prefix", lambda x, s=s: F.xxhash64(F.lit(s), x))) for s in range(SEEDS)]
-    grouped = sets.select("doc_id", "line_no", "size", "sig", F.explode(F.array(*small)).alias("m")).where("m is not null")
-    lead = grouped.groupBy("m").agg(F.min(F.struct("doc_id", "line_no", "size", "sig")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lead = lead.select("m", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("doc_id", "line_no", "size", "sig")))
-    member = grouped.select("m", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "line_no", "size", "sig")))
+    rare = F.array_min(F.transform("prefix", lambda x: F.xxhash64(x)))
+    grouped = sets.select(*facts, F.explode(F.array("low", "high", rare)).alias("m")).where("m is not null")
+    lead = grouped.groupBy("m").agg(F.min(F.struct(*facts)).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lead = lead.select("m", *(F.col(f"f.{c}").alias(f"{c}_a") for c in facts))
+    member = grouped.select("m", *(F.col(c).alias(f"{c}_b") for c in facts))
     led = member.join(lead, "m").where(_earlier("a", "b") & _can_match(t)).select("doc_id_a", "line_no_a", "doc_id_b", "line_no_b").distinct()
     settled = written(verified(docs, written(led), t))
 
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left")
-    posts = flagged.select("doc_id", "line_no", "size", "sig", F.col("settled").isNull().alias("open"), (F.col("held") - F.size("prefix")).alias("skipped"), F.posexplode("prefix").alias("i", "key"))
+    posts = flagged.select(*facts, F.col("settled").isNull().alias("open"), (F.col("held") - F.size("prefix")).alias("skipped"), F.posexplode("prefix").alias("i", "key"))
     # size (31 bits), position (31 bits) and flag in one number, as there are many of these rows to shuffle
-    facts = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("bigint") * 2).bitwiseOR(F.col("open").cast("bigint"))
-    posts = posts.select("key", "doc_id", "line_no", "sig", facts.alias("facts"))
+    packed = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("bigint") * 2).bitwiseOR(F.col("open").cast("bigint"))
+    posts = posts.select("key", "doc_id", "line_no", "sig", "more", packed.alias("facts"))
 
-    a, b = (posts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "sig", "facts"))) for s in "ab")
+    a, b = (posts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "sig", "more", "facts"))) for s in "ab")
     # taken apart after the join; the flag is weighed with the other side's size, as a filter on one side alone would part the two sides' shuffles
     unpacked = {}
     for s in "ab":
@@ -149,7 +162,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         unpacked |= {f"size_{s}": F.shiftright(f, 32).cast("int"), f"pos_{s}": F.shiftright(f.bitwiseAND(F.lit(2**32 - 1)), 1).cast("int")}
     is_open = F.col("facts_b").bitwiseAND(F.lit(1)) * F.shiftright("facts_a", 32) > 0
     rest = lambda s: F.col(f"size_{s}") - F.col(f"pos_{s}") - 1
-    positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
+    need = _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
+    positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= need
+    # the first k shared words are among the first size - need + k words of either set
+    for s in "ab":
+        positional &= F.col(f"pos_{s}") < F.col(f"size_{s}") - need + shared(F.least("size_a", "size_b"))
     met = a.join(b, "key").where(is_open).withColumns(unpacked).where(_earlier("a", "b") & _can_match(t) & positional)
     pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
     pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.first(shared(F.least("size_a", "size_b"))).alias("shared")).where("n >= shared").select(*pair))
@@ -159,11 +176,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs``, all columns, with matching later lines cut from the text; a text that loses none stays as it is, null too."""
-    cut = removed_lines(docs, id_col, text_col, **kw).groupBy("doc_id").agg(F.collect_set("line_no").alias("__cut"))  # at most a document's lines
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__cut", i))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    joined = docs.join(cut.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left")
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    cut = removed_lines(docs, id_col, text_col, **kw).groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))  # at most a document's lines
+    one = docs.select(F.struct(*docs.columns).alias("row"))  # whole rows, so that no name can clash
+    text = F.col(f"row.`{text_col}`")
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("cut", i))
+    text = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(left, "\n"))
+    joined = one.join(cut, F.col(f"row.`{id_col}`") == F.col("doc_id"), "left")
+    return joined.select(*((text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

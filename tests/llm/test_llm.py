@@ -194,8 +194,8 @@ def test_near_duplicates_recall(spark):
 # ---- line dedup
 
 
-def brute_lines(rows, t=0.8, least=5):
-    lines = sorted({(i, k, frozenset(x for x in line.lower().split(" ") if x)) for i, text in rows if i is not None for k, line in enumerate(text.split("\n"))}, key=lambda x: x[:2])
+def brute_lines(rows, t=0.8, least=1):
+    lines = sorted({(i, k, frozenset(x for x in re.split("[ \t\r\f\x0b]+", line.lower()) if x)) for i, text in rows if i is not None for k, line in enumerate(text.split("\n"))}, key=lambda x: x[:2])
     lines = [x for x in lines if len(x[2]) >= least]
     return {y[:2] for n, y in enumerate(lines) for x in lines[:n] if x[:2] < y[:2] and len(x[2] & y[2]) >= t * len(x[2] | y[2]) - 1e-9}
 
@@ -208,10 +208,24 @@ def test_line_dedup(docs, odd):
     cut = line_dedup.dedup_lines(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
     assert {r.doc_id: r.text for r in cut.collect()}[2] == "" and {r.doc_id: r.text for r in cut.collect()}[5] is None
+    clash = odd.withColumnRenamed("digest", "__cut").withColumnRenamed("row", "__id")
+    assert line_dedup.dedup_lines(clash).columns == clash.columns and line_dedup.dedup_lines(clash).count() == odd.count()
     report = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.line_report(odd).collect()}
     assert report[2] == (1, [0]) and report[1] == (1, [])
 
 
+def test_lines_of_one_template(spark):
+    """Versions of long lines, most near the first one and some far from it; a match may be any earlier line."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (40, 260):
+        template = [f"t{n}x{i}" for i in range(n)]
+        rows += [" ".join(edited(rng, template, int(n * rng.choice([0.02, 0.05, 0.12, 0.16])))) for _ in range(120)]
+    rows = list(enumerate(rows))
+    got = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(rows) and 60 < len(got) < 230
+
+
 def test_short_lines_and_white_space(spark, monkeypatch):
     """Lines of 1 to 6 words against all pairs, through the query; tabs and carriage returns part words."""
     from paceforge.llm import queries
