@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceforge.llm import decontaminate, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality_crf, simhash, token_counts, toxicity
+from paceforge.llm.common import word_hashes
 from paceforge.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, block int, row string, keys int"
@@ -402,7 +403,7 @@ def test_last_link_decides(spark):
 def test_lm_scores(docs, odd):
     for df in (docs, odd):
         rows = texts(df)
-        tokens = [(i, re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(lm_scoring.LOWER)) + [None]) for i, t in rows]
+        tokens = split_tokens(rows)
         seen = Counter(x for i, ts in tokens if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for x in ts)
         n, v = sum(seen.values()), len(seen)
         want = Counter((i, len(ts), sum(seen[x] > 0 for x in ts), round(sum(math.log10((seen[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ts), 4)) for i, ts in tokens)
@@ -411,18 +412,62 @@ def test_lm_scores(docs, odd):
         assert all(r.score < 0 and r.train_tokens == n for r in got)
 
 
-def test_filter_never_forgets():
-    h = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.arange(1, 3000)
-    flags = np.zeros(lm_scoring.SHARD_BITS, bool)
-    start, step = lm_scoring.Filter.steps(h)
-    top = lm_scoring.levels_of(counts)
-    for level in range(1, int(top.max()) + 1):
-        for i in range(lm_scoring.PROBES):
-            flags[lm_scoring.Filter.place(start[top >= level], step[top >= level], level, i)] = True
-    f = lm_scoring.Filter(np.packbits(flags, bitorder="little"), 1)
-    assert (f.level(h) >= top).all() and (f.level(h) == top).mean() > 0.95
-    assert (f.level(h + np.uint64(1)) == 0).mean() > 0.95
+def exact_scores(tokens, held, prior=8.0, quantised=False):
+    """log10 probabilities of (id, tokens) by counts in dictionaries, or by the middles of their levels."""
+    train = [ts for i, ts in tokens if not held(i)]
+    values = lm_scoring.level_values()
+    level = lambda c: float(values[lm_scoring.levels_of(np.array([c]))[0]]) if c else 0.0
+    see = level if quantised else float
+    uni, bi = Counter(x for ts in train for x in ts), Counter(p for ts in train for p in zip(["<", *ts], ts, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    out = []
+    for i, ts in tokens:
+        s = 0.0
+        for h, w in zip(["<", *ts], ts, strict=False):
+            pair = see(bi[h, w])
+            context = max(see(len(train) if h == "<" else uni[h]), pair)
+            s += math.log10((pair + prior * (see(uni[w]) + 0.1) / (n + 0.1 * (v + 1))) / (context + prior))
+        out.append((i, s))
+    return dict(out)
+
+
+def split_tokens(rows):
+    return [(i, re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(lm_scoring.LOWER)) + [None]) for i, t in rows]
+
+
+def test_lm_score_against_exact_counts(docs):
+    tokens = split_tokens(texts(docs))
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
+    off = [abs(got[i].score / want - 1) for i, want in exact_scores(tokens, held, quantised=True).items()]
+    assert max(off) < 0.15 and np.mean(off) < 0.01  # the filter's hits that are none change little
+    exact = exact_scores(tokens, held)
+    assert sum(r.score for r in got.values()) == pytest.approx(sum(exact.values()), rel=0.02)
+    assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
+    parts = lm_scoring.score_texts(docs, shard_tokens=2000, part_mb=0).collect()  # a pass for each shard
+    assert sum(r.score for r in parts) == pytest.approx(sum(r.score for r in got.values()), rel=0.001)
+    assert all(r.base_score == pytest.approx(got[r.doc_id].base_score) for r in parts)
+
+
+def test_filter_at_full_load():
+    """A shard as the query builds it never forgets, and takes 1 % of others for its own."""
+    h = np.arange(1, 400_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    top = lm_scoring.levels_of(np.random.default_rng(3).zipf(1.8, len(h)).clip(1, 10**9))
+    bits = np.frombuffer(lm_scoring.Filter.fill(h, top), np.uint8)
+    f = lm_scoring.Filter(bits, np.array([0, len(bits)]))
+    found = f.level(h)
+    assert (found >= top).all() and (found == top).mean() > 0.985
+    assert (f.level(h + np.uint64(1)) == 0).mean() > 0.985
+    assert 0.4 < np.unpackbits(bits).mean() < 0.5
+
+
+def test_word_hashes():
+    texts = ["A b\ta  B a", "", "  ", "ünï b", "x" * 3_000_000 + " b"]
+    h, n = word_hashes(texts, lm_scoring.LOWER)
+    assert n.tolist() == [5, 0, 0, 2, 2]
+    a, b = h[0], h[1]
+    assert h[:5].tolist() == [a, b, a, b, a] and h[6] == b and h[8] == b and len(set(h.tolist())) == 4
+    assert np.array_equal(word_hashes(["b"])[0], [b])
 
 
 # ---- empty tables and the pipeline
