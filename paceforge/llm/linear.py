@@ -24,11 +24,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, l2: float = 1.0, steps: int = 200, columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the sparse and of the dense columns (add a column of ones for the intercept).
 
-    Adam on the mean log-loss with an L2 penalty of ``l2`` / rows; deterministic.
+    Adam on the mean log-loss with an L2 penalty of ``l2`` / rows; deterministic. ``columns``
+    says which sparse columns there are; the others' weights are 0.
     """
+    there = 1.0 if columns is None else columns.astype(float)
     use = np.ones(x.n) if rows is None else rows.astype(float)
     total = max(1.0, use.sum())
     w, v = np.zeros(x.width), np.zeros(dense.shape[1])
@@ -36,7 +38,7 @@ def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, rows: np.ndarray |
     m2 = [np.zeros_like(w), np.zeros_like(v)]
     for t in range(1, steps + 1):
         g = (sigmoid(x.dot(w) + dense @ v) - y) * use / total
-        for k, (p, grad) in enumerate(((w, x.t_dot(g) + l2 * w / total), (v, dense.T @ g))):
+        for k, (p, grad) in enumerate(((w, there * (x.t_dot(g) + l2 * w / total)), (v, dense.T @ g))):
             m1[k] = 0.9 * m1[k] + 0.1 * grad
             m2[k] = 0.999 * m2[k] + 0.001 * grad**2
             p -= 0.1 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)

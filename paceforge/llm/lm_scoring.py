@@ -39,18 +39,6 @@ BASE, PROBES, BITS, MAX_LEVEL = 1.5, 6, 11, 64
 ALPHA = 0.1
 
 
-class WordHashes(dict):
-    """Memo of word -> 64-bit hash, emptied when it gets large."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 11)
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

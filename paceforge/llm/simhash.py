@@ -26,10 +26,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import LOWER, checkpoint, id_and_text, map_rows, words, written
+from paceforge.llm.common import LOWER, checkpoint, id_and_text, map_rows, word_hashes, written
 from paceforge.llm.components import connected_components
 from paceforge.llm.decontaminate import window_hashes
-from paceforge.llm.lm_scoring import WordHashes
 
 MAX_BITS, MIN_BYTES = 3, 5
 CELLS, PAGE = 1 << 20, 1 << 12
@@ -55,7 +54,13 @@ def fingerprint(text: str | None, size: int = 3, n_words: int = 1) -> list[int]:
     found = shingles(text, size)
     if not found:
         return [0] * n_words
-    h = np.fromiter((xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+    return majority(np.fromiter((xxh64_intdigest(s, 42) for s in found), np.uint64, len(found)), n_words)
+
+
+def majority(h: np.ndarray, n_words: int = 1) -> list[int]:
+    """Words of the fingerprint of shingles with hashes ``h``; zeros without any."""
+    if not len(h):
+        return [0] * n_words
     out = []
     for k in range(n_words):
         if k:
@@ -189,10 +194,9 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(member, "print").select("doc_id", F.lower(F.lpad(F.hex(F.element_at("print", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text: str | None, size: int, memo: WordHashes) -> np.ndarray:
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles, made of the words' hashes."""
-    ws = words(text)
-    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+    h = word_hashes([text or ""], LOWER)[0]
     own = min(size, len(h))
     return np.unique(window_hashes(h, own, own)) if own else h
 
@@ -203,11 +207,11 @@ def shingle_ranks(rows: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        memo, held = WordHashes(), np.zeros(CELLS, np.int64)
+        held = np.zeros(CELLS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for text in batch.slice(at, 64).column(0).to_pylist():
-                    np.add.at(held, (shingle_hashes(text, size, memo) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                    np.add.at(held, (shingle_hashes(text, size) & np.uint64(CELLS - 1)).astype(np.int64), 1)
         for page in range(CELLS // PAGE):
             own = held[page * PAGE : (page + 1) * PAGE]
             full = np.flatnonzero(own)
@@ -300,14 +304,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def start():
         from xxhash import xxh64_intdigest
 
-        memo = WordHashes()
-
         def one(r):
-            h = shingle_hashes(r["text"], size, memo)
+            h = shingle_hashes(r["text"], size)
             n, raw = len(h), h.tobytes()
             rank = ranks.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((h, rank))[: n - _least(similarity, n) + shared_in_prefix(similarity, n)]
-            yield r["row"], r["doc_id"], r["text"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, fingerprint(r["text"], size, n_words), h[order].view(np.int64).tolist()
+            yield r["row"], r["doc_id"], r["text"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, majority(h, n_words), h[order].view(np.int64).tolist()
 
         return one
 

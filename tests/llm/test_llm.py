@@ -390,12 +390,12 @@ def test_toxicity(spark, odd, empty):
 
 def test_last_link_decides(spark):
     """The last link sees both others; a chain in which only it rejects, or only it accepts, is followed."""
-    words = [(i, f"{'foul nasty vile' if i % 2 else 'kind soft calm'} x{i % 7} y{i % 5}", i % 2) for i in range(200)]
-    d = spark.createDataFrame(words, "doc_id bigint, text string, toxic int")
-    chain = toxicity.fit_chain(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    words = [(i, f"{'foul nasty vile' if i % 2 else 'kind soft calm'} x{i % 7} y{i % 5}", i % 2, i % 4 // 2) for i in range(200)]
+    d = spark.createDataFrame(words, "doc_id bigint, text string, toxic int, quality int")
+    chain = toxicity.fit_chain(d.select("doc_id", "text"), d.select("doc_id", "toxic", "quality"))
     assert chain.categories[-1] == "toxic" and [len(v) for v in chain.dense] == [1, 2, 3] and np.abs(chain.dense[-1][1:]).sum() > 0
     for last in (9.0, -9.0):
-        made = toxicity.Chain(["severe", "repeated", "toxic"], {}, [np.zeros(0)] * 3, [np.array([-last]), np.array([-last, 0]), np.array([last, 0, 0])])
+        made = toxicity.Chain(["prose_abuse", "junk_abuse", "toxic"], {}, [np.zeros(0)] * 3, [np.array([-last]), np.array([-last, 0]), np.array([last, 0, 0])])
         assert toxicity.drop_toxic(d, made).count() == (0 if last > 0 else 200)
         assert toxicity.score_toxicity(d, made).where("rejected").count() == (200 if last > 0 else 0)
 
