@@ -8,10 +8,10 @@ import numpy as np
 class Sparse:
     """Rows of 0/1 features: ``cols`` holds each row's feature numbers, one row after another."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.fromiter((c for r in rows for c in r), np.int64, len(self.row))
+        self.col = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)

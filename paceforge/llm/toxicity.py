@@ -125,7 +125,7 @@ def fit_chain(
     text_col: str = "text",
     categories: dict[str, str] | None = None,
     max_rows: int = 16000,
-    n_features: int = 20000,
+    n_features: int = 6000,
     min_chi: float = 10.8,
     l2: float = 0.3,
     folds: int = 5,
@@ -176,22 +176,25 @@ def fit_chain(
     chain = Chain(names, {r["feature"]: i for i, r in enumerate(best)})
 
     def start():
-        return lambda r: [(r["doc_id"], r["fold"], r["y"], chain.lookup(r["text"]))]
+        return lambda r: [(r["doc_id"], r["fold"], r["y"], np.array(chain.lookup(r["text"]), np.int32).tobytes())]
 
-    rows = sorted(map_rows(sample, f"doc_id {kind}, fold int, y array<int>, cols array<int>", start).collect(), key=lambda r: (r["doc_id"], r["cols"]))
+    rows = sorted(map_rows(sample, f"doc_id {kind}, fold int, y array<int>, cols binary", start).collect(), key=lambda r: (r["doc_id"], bytes(r["cols"])))
     y, fold = np.array([r["y"] for r in rows], float), np.array([r["fold"] for r in rows])
-    free = ~_copied([r["cols"] for r in rows if r["y"][-1]], len(best))
+    cols = [np.frombuffer(bytes(r["cols"]), np.int32) for r in rows]
+    del rows
+    free = ~_copied([c.tolist() for c, toxic in zip(cols, y[:, -1], strict=True) if toxic], len(best))
     any_use = np.flatnonzero(np.any(list(use.values()), axis=0) & free)
     use = {f: u[any_use] for f, u in use.items()}
     chain = Chain(names, {best[i]["feature"]: n for n, i in enumerate(any_use.tolist())})
-    place = {i: n for n, i in enumerate(any_use.tolist())}
-    x = Sparse([[place[c] for c in r["cols"] if c in place] for r in rows], len(any_use))
-    earlier = np.ones((len(rows), 1))
+    place = np.full(len(best), -1)
+    place[any_use] = np.arange(len(any_use))
+    x = Sparse([p[p >= 0] for p in (place[c] for c in cols)], len(any_use))
+    earlier = np.ones((len(cols), 1))
     for k in links:
         w, v = fit_logistic(x, earlier, y[:, k], l2=l2, columns=use[None])
         chain.weights.append(w)
         chain.dense.append(v)
-        held = np.zeros(len(rows))
+        held = np.zeros(len(cols))
         for f in range(folds):
             wf, vf = fit_logistic(x, earlier, y[:, k], fold != f, l2, columns=use[f])
             held[fold == f] = sigmoid(x.dot(wf) + earlier @ vf)[fold == f]
