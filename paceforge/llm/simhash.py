@@ -243,7 +243,9 @@ def shared_in_prefix(t: float, n: int) -> int:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose texts, in (row, text), are similar enough: whole sets of shingles are compared."""
+    """The pairs (a, b) of rows whose texts, in (row, text), are similar enough: whole sets of shingles are compared. Only texts of a pair are shuffled."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    texts = texts.join(ids, "row", "left_semi")
     a, b = (texts.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
 
     def start():
@@ -257,33 +259,52 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: flo
     return map_rows(pairs.join(a, "a").join(b, "b"), "a bigint, b bigint", start)
 
 
+def parity(h: np.ndarray) -> list[int]:
+    """256 bits, as four numbers: how many of the hashes fall on each, modulo 2. Sets that differ in d members differ in at most d bits."""
+    odd = np.bincount((h >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def pairs_across(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of the pairs in (row, comp, n, prefix) of different ``comp`` a set that holds all similar ones.
+    """(a, b): of the pairs in (row, comp, n, sig, prefix) of different ``comp`` a set that holds all similar ones.
 
     Overlap o of similar sets is at least t |x| and t |y|. The k-th smallest shingle that they
-    share is then among the first |x| - ceil(t |x|) + k of x, and of y likewise, in any order of
-    the shingles. So they share k in these prefixes; each must also leave room for o at its places.
-    A list of shingle holders within one component is not read, and within a list only holders of
-    different components meet.
+    share is then among the first |x| - o + k of x, and of y likewise, in any order of the
+    shingles. So they share k in these prefixes; each must also leave room for o at its places,
+    and the parities must leave room for it too. A list of shingle holders within one component
+    is not read, and within a list only holders of different components meet: each of the
+    component that has fewer there with those of the other that pass all filters.
     """
     t = similarity
+    least = lambda share, n: F.ceil(F.lit(share) * n - F.lit(1e-9))
+    bits = [f"s{k}" for k in range(4)]
     posts = sets.select("row", "comp", "n", F.posexplode("prefix").alias("i", "key"))
-    facts = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
-    posts = posts.select("key", "comp", "row", facts.alias("facts"))
     live = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    posts = written(posts.join(live, "key", "left_semi"))
-    held = posts.select("key", "comp").distinct()
-    cross = held.withColumnRenamed("comp", "comp_a").join(held.withColumnRenamed("comp", "comp_b"), "key").where("comp_a < comp_b")
-    met = cross
+    sigs = sets.select("row", *(F.element_at("sig", k + 1).alias(c) for k, c in enumerate(bits)))
+    posts = written(written(posts.join(live, "key", "left_semi")).join(sigs, "row"))
+
+    def sides(df: DataFrame, s: str) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "key"))
+
+    differ = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits)
+    total = F.col("n_a") + F.col("n_b")
+    room = differ <= total - 2 * least(t / (1 + t), total)
+    held = posts.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("n"), F.max("n").alias("most"), *(F.min(c).alias(c) for c in bits))
+    one, other = sides(held, "a"), sides(held, "b").withColumnRenamed("key", "key_b")
+    fewer = (F.col("held_a") < F.col("held_b")) | ((F.col("held_a") == F.col("held_b")) & (F.col("comp_a") < F.col("comp_b")))
+    long_enough = (F.col("most_a") >= least(t, F.col("n_b"))) & (F.col("most_b") >= least(t, F.col("n_a")))
+    alone = (F.col("held_a") == 1) & (F.col("held_b") == 1)
+    cross = one.join(other, (F.col("key") == F.col("key_b")) & fewer & (F.col("comp_a") != F.col("comp_b")) & long_enough & (~alone | room)).select("key", "comp_a", "comp_b")
+    first = cross.join(sides(posts, "a"), ["key", "comp_a"])
+    second = sides(posts, "b").withColumnRenamed("key", "key_b").withColumnRenamed("comp_b", "comp_of_b")
+    small, need = F.least("n_a", "n_b"), least(t / (1 + t), total)
+    shared = F.least(1 + F.floor(small / 20), least(t, small))
+    fits = room & (small >= least(t, F.greatest("n_a", "n_b"))) & (F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need)
     for s in "ab":
-        met = met.join(posts.select("key", F.col("comp").alias(f"comp_{s}"), F.col("row").alias(s), F.col("facts").alias(f"facts_{s}")), ["key", f"comp_{s}"])
-    met = met.select("a", "b", *(e.alias(f"{c}_{s}") for s in "ab" for c, e in (("n", F.shiftright(f"facts_{s}", 32).cast("int")), ("i", F.col(f"facts_{s}").bitwiseAND(F.lit(2**32 - 1)).cast("int")))))
-    least = lambda share, n: F.ceil(F.lit(share) * n - F.lit(1e-9))
-    small = F.least("n_a", "n_b")
-    room = F.least("i_a", "i_b") + 1 + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1
-    met = met.where((small >= least(t, F.greatest("n_a", "n_b"))) & (room >= least(t / (1 + t), F.col("n_a") + F.col("n_b"))))
-    need = F.least(1 + F.floor(small / 20), least(t, small))
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(need).alias("need")).where("shared >= need").select("a", "b")
+        fits &= F.col(f"i_{s}") < F.col(f"n_{s}") - need + shared
+    met = first.join(second, (F.col("key") == F.col("key_b")) & (F.col("comp_b") == F.col("comp_of_b")) & fits)
+    met = met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(shared).alias("need"))
+    return met.where("shared >= need").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, n_words: int = 6) -> DataFrame:
@@ -309,17 +330,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n, raw = len(h), h.tobytes()
             rank = ranks.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((h, rank))[: n - _least(similarity, n) + shared_in_prefix(similarity, n)]
-            yield r["row"], r["doc_id"], r["text"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, majority(h, n_words), h[order].view(np.int64).tolist()
+            yield r["row"], r["doc_id"], r["text"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, majority(h, n_words), h[order].view(np.int64).tolist(), parity(h)
 
         return one
 
     # the number of a row is fixed by writing it
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    known = written(map_rows(numbered, f"row bigint, doc_id {kind}, text string, d1 bigint, d2 bigint, n int, print array<bigint>, prefix array<bigint>", start))
+    known = written(map_rows(numbered, f"row bigint, doc_id {kind}, text string, d1 bigint, d2 bigint, n int, print array<bigint>, prefix array<bigint>, sig array<bigint>", start))
     sets = checkpoint(known.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
     again = known.select("row", "d1", "d2").join(sets.where("copies > 1"), ["d1", "d2"]).where("row <> node").select("row")
     firsts = known.join(again, "row", "left_anti")
-    texts = firsts.select("row", "text")
+    texts = known.select("row", "text")
 
     cosine = 2 * similarity / (1 + similarity)  # of equally large sets
     share = float(np.arccos(cosine) / np.pi)
@@ -331,7 +352,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = near.withColumnRenamed(s, "print").join(lead, "print").drop("print").withColumnRenamed("lead", s)
     quick = checkpoint(similar_pairs(written(near.select("a", "b").unionByName(same)), texts, size, similarity))
     roots = connected_components(quick)
-    placed = firsts.select("row", "n", "prefix").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
+    placed = firsts.select("row", "n", "prefix", "sig").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
     rest = similar_pairs(written(pairs_across(placed, similarity)), texts, size, similarity)
     roots = connected_components(quick.unionByName(checkpoint(rest)))
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
