@@ -161,7 +161,7 @@ def pit_loss(laps: DataFrame, exclude_red: bool = True, base: DataFrame | None =
 
 def pit_stops(laps: DataFrame) -> DataFrame:
     """In-lap with the out-lap that follows at once: compounds before and after, and the time both took."""
-    w = Window.partitionBy("driver").orderBy("lap_number")
+    w = Window.partitionBy("round", "driver").orderBy("lap_number")
     follows = (F.lead("lap_number").over(w) == F.col("lap_number") + 1) & F.lead("pit_out").over(w)
     d = laps.withColumn("after", F.when(follows, F.lead("compound").over(w))).withColumn("out_ms", F.when(follows, F.lead("lap_ms").over(w)))
     return d.where("pit_in").select("round", "driver", "team", F.col("lap_number").alias("in_lap"), "stint", F.col("compound").alias("compound_before"), F.col("after").alias("compound_after"), ((F.col("lap_ms") + F.col("out_ms")) / 1000).alias("duration_s"))
@@ -226,3 +226,22 @@ def current_board(rolling: DataFrame) -> DataFrame:
     """Each driver's latest rolling pace, fastest first."""
     w = Window.partitionBy("driver").orderBy(F.desc("lap_number"))
     return rolling.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k").orderBy(F.asc_nulls_last("rolling_s"), "driver")
+
+
+def fastest_laps(laps: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the fastest lap of each session, box laps left out; ties go to the smaller driver, then the earlier lap."""
+    driven = laps.where(~F.col("pit_in") & ~F.col("pit_out") & F.col("lap_ms").isNotNull())
+    best = driven.groupBy(*keys).agg(F.min(F.struct("lap_ms", "driver", "lap_number", "compound")).alias("best"))
+    return best.select(*keys, *(f"best.{c}" for c in ("driver", "lap_number", "lap_ms", "compound") if c not in keys))
+
+
+def n_quickest(laps: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` quickest laps of each group; ties go to the earlier lap."""
+    w = Window.partitionBy(*keys).orderBy("lap_ms", "lap_number")
+    return laps.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select(*keys, "lap_number", "lap_ms")
+
+
+def stop_numbers(laps: DataFrame, keys: list[str]) -> DataFrame:
+    """In-laps numbered from 0 within each group."""
+    w = Window.partitionBy(*keys).orderBy("lap_number")
+    return laps.where("pit_in").select(*keys, "lap_number", (F.row_number().over(w) - 1).cast("bigint").alias("nth_stop"))

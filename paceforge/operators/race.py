@@ -17,7 +17,7 @@ def position_progression(laps: DataFrame, drivers: list[int]) -> DataFrame:
 
 def with_previous(laps: DataFrame) -> DataFrame:
     """Position and pit stop on the lap before; null where that lap is missing."""
-    w = Window.partitionBy("driver").orderBy("lap_number")
+    w = Window.partitionBy("round", "driver").orderBy("lap_number")
     before = F.lag("lap_number").over(w) == F.col("lap_number") - 1
     return laps.withColumn("prev", F.when(before, F.lag("position").over(w))).withColumn("prev_pit", F.when(before, F.lag("pit_in").over(w)))
 
@@ -138,3 +138,8 @@ def elo(duels: DataFrame, k: float = 24.0, start: float = 1500.0, scale: float =
         return F.map_concat(rest, F.map_from_arrays(F.array(x["winner"], x["loser"]), F.array(a + gain, b - gain)))
 
     return rows.select("grp", F.explode(F.aggregate("d", empty, step)).alias("driver", "rating")).withColumn("rating", F.round("rating", 4))
+
+
+def podium_matrix(results: DataFrame, places: int = 3) -> DataFrame:
+    """How often each team took each of the first ``places`` in a season; 0 where it never did."""
+    return results.groupBy("season", "team").agg(*(F.count_if(F.col("position") == p).alias(f"p{p}") for p in range(1, places + 1)))

@@ -194,3 +194,10 @@ def lap_profile(tele: DataFrame, min_samples: int = 3) -> DataFrame:
 def source_quality(tele: DataFrame) -> DataFrame:
     share = lambda s: F.round(F.avg((F.col("source") == s).cast("double")), 4)
     return tele.groupBy("driver").agg(share("view").alias("car"), share("click").alias("pos"), share("error").alias("interpolation"))
+
+
+def time_slice(samples: DataFrame, time: str, start: int, end: int) -> DataFrame:
+    """Samples from ``start`` up to, but without, ``end`` after the first one of all."""
+    first = samples.agg(F.min(time).alias("first"))
+    offset = F.col(time) - first.scalar()
+    return samples.where((offset >= start) & (offset < end))

@@ -688,13 +688,6 @@ def sc_deployment_sector(t):
     return K.sector_at(laps.where("lap_number % 7 = 0").select("driver", (F.col("lap_number") * 50000).alias("t_ms")), laps)
 
 
-@query()
-def lap_simulation(t):
-    d = t("telemetry").select("driver", "distance_m", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    cars = d.select("driver").distinct().select("driver", F.explode(F.array(*(F.struct(F.lit(i).alias("car"), F.lit(g).alias("grip")) for i, g in enumerate((25.0, 30.0, 35.0))))).alias("c"))
-    return K.simulate_laps(d, cars.select("driver", "c.car", "c.grip", F.lit(8.0).alias("accel"), F.lit(15.0).alias("brake"), F.lit(90.0).alias("top")), "driver")
-
-
 @query()
 def dtw_profiles(t):
     d = t("telemetry").where("ord <= 60").groupBy((F.col("driver") % 10).alias("track"), "driver").agg(F.array_sort(F.collect_list(F.struct("ord", "speed"))).alias("s"))
@@ -736,3 +729,28 @@ def event_dimension(t):
 def load_manifest_delta(t):
     d = t("results").select("season", "round").distinct()
     return d.join(d.where("round % 3 = 0"), ["season", "round"], "left_anti")
+
+
+@query("SELECT round, driver, lap_number, lap_ms, compound FROM laps WHERE NOT pit_in AND NOT pit_out QUALIFY row_number() OVER (PARTITION BY round ORDER BY lap_ms, driver, lap_number) = 1", "laps")
+def fastest_lap(t):
+    return L.fastest_laps(t("laps"), ["round"])
+
+
+@query("SELECT round, driver, lap_number, lap_ms FROM laps QUALIFY row_number() OVER (PARTITION BY round, driver ORDER BY lap_ms, lap_number) <= 3", "laps")
+def quickest_three(t):
+    return L.n_quickest(t("laps"), ["round", "driver"], 3)
+
+
+@query("SELECT driver, t_us, speed FROM telemetry WHERE t_us >= (SELECT min(t_us) FROM telemetry) + 60000000 AND t_us < (SELECT min(t_us) FROM telemetry) + 86400000000", "telemetry")
+def time_slice(t):
+    return T.time_slice(t("telemetry"), "t_us", 60_000_000, 86_400_000_000).select("driver", "t_us", "speed")
+
+
+@query("SELECT round, driver, lap_number, row_number() OVER (PARTITION BY round, driver ORDER BY lap_number) - 1 AS nth_stop FROM laps WHERE pit_in", "laps")
+def stop_numbers(t):
+    return L.stop_numbers(t("laps"), ["round", "driver"])
+
+
+@query("SELECT season, team, count(*) FILTER (WHERE position = 1) AS p1, count(*) FILTER (WHERE position = 2) AS p2, count(*) FILTER (WHERE position = 3) AS p3 FROM results GROUP BY ALL", "results")
+def podium_matrix(t):
+    return R.podium_matrix(t("results"))
