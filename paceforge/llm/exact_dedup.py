@@ -10,7 +10,9 @@ every grouping key:
 
 Rows then learn their winner by a join on the digest alone. That is exact as long
 as stage 3 found one text for each digest; it counts the texts of each digest,
-and digests that more than one text shares are joined on the text as well.
+and digests that more than one text shares are joined on the text as well. Groups of
+more than 1/``SHARE`` of all rows, of which there are fewer than ``SHARE``, are joined
+by broadcast and their rows spread, so that no key of the shuffled join holds more.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from paceforge.llm.common import checkpoint, id_and_text
 
+SHARE = 1000
+
 
 def text_groups(rows: DataFrame, salts: int) -> DataFrame:
     """(digest, text, keep_id, group_size): one row for each distinct text."""
@@ -44,7 +48,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     by_digest = checkpoint(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
     sha = F.col("digest") if digest is None else F.sha2("text", 256)
     one = by_digest.where("texts = 1").drop("texts")
-    out = rows.select("doc_id", "digest", sha.alias("text_sha256")).join(one, "digest")
+    total = one.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first()["n"]
+    large = F.col("group_size") * SHARE > F.lit(total)
+    hot = one.where(large).select("digest", F.struct("keep_id", "group_size").alias("hot"))  # fewer than SHARE rows, as their sizes add up to the total at most
+    cold = one.where(~large).select("digest", F.struct("keep_id", "group_size").alias("cold"), F.lit(-1).cast("bigint").alias("spread"))
+    dealt = rows.select("doc_id", "digest", sha.alias("text_sha256")).join(F.broadcast(hot), "digest", "left")
+    dealt = dealt.withColumn("spread", F.when(F.col("hot").isNull(), F.lit(-1).cast("bigint")).otherwise(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)))
+    met = dealt.join(cold, ["digest", "spread"], "left").withColumn("found", F.coalesce("hot", "cold")).where("found is not null")
+    out = met.select("doc_id", "digest", "text_sha256", "found.keep_id", "found.group_size")
     shared = by_digest.where("texts > 1").select("digest")
     if not shared.isEmpty():
         again = rows.join(shared, "digest", "left_semi")

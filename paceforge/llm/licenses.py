@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from paceforge.llm.common import id_and_text, map_rows
@@ -86,7 +87,7 @@ class Scanner:
         """Number of words; (notice, first word, number of words, errors) of each match."""
         found = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
         joined = b" " + b" ".join(found) + b" "
-        out = []
+        out, blanks = [], None
         for notice, parts, pattern in self.notices:
             for a, b in windows(joined, notice, parts):
                 if pattern is None:
@@ -99,8 +100,10 @@ class Scanner:
                             i = joined.find(raw, i + 1, b + 1)
                 else:
                     hits = [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(joined, a, b)]
+                if hits and blanks is None:  # places of the blanks, once a text
+                    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
                 for x, y, errors in hits:
-                    first = joined.count(b" ", 0, x + (joined[x : x + 1] == b" ")) - 1
+                    first = int(np.searchsorted(blanks, x + (joined[x : x + 1] == b" "))) - 1
                     out.append((notice, max(first, 0), max(1, len(joined[x:y].split())), errors))
         return len(found), out
 

@@ -77,29 +77,29 @@ def packed_marginals(emits: list[np.ndarray], trans: np.ndarray) -> tuple[list[n
     sizes = np.array([len(emits[i]) for i in order])
     n, steps = len(order), int(sizes[0])
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # chains longer than t
-    flat = np.zeros((steps, n, 2))
+    at = np.concatenate([[0], np.cumsum(live)])  # step s of chain k is row at[s] + k: as many rows as there are lines
+    flat = np.empty((at[-1], 2))
     for k, i in enumerate(order):
-        flat[: sizes[k], k] = emits[i]
-    shift = flat.max(axis=2)
-    e, t = np.exp(flat - shift[..., None]), np.exp(trans)
-    alpha, beta, scale = np.zeros((steps, n, 2)), np.ones((steps, n, 2)), np.ones((steps, n))
+        flat[at[: sizes[k]] + k] = emits[i]
+    shift = flat.max(axis=1)
+    e, t = np.exp(flat - shift[:, None]), np.exp(trans)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty(len(e))
     for s in range(steps):
-        m = live[s]
-        a = (alpha[s - 1, :m] @ t) * e[s, :m] if s else e[0, :m]
-        scale[s, :m] = a.sum(axis=1)
-        alpha[s, :m] = a / scale[s, :m, None]
+        a0, m = at[s], live[s]
+        a = (alpha[at[s - 1] : at[s - 1] + m] @ t) * e[a0 : a0 + m] if s else e[:m]
+        scale[a0 : a0 + m] = a.sum(axis=1)
+        alpha[a0 : a0 + m] = a / scale[a0 : a0 + m, None]
     pairs = np.zeros((2, 2))
     for s in range(steps - 2, -1, -1):
-        m = live[s + 1]
-        ahead = e[s + 1, :m] * beta[s + 1, :m] / scale[s + 1, :m, None]
-        beta[s, :m] = ahead @ t.T
-        pairs += t * (alpha[s, :m].T @ ahead)
+        a0, a1, m = at[s], at[s + 1], live[s + 1]
+        ahead = e[a1 : a1 + m] * beta[a1 : a1 + m] / scale[a1 : a1 + m, None]
+        beta[a0 : a0 + m] = ahead @ t.T
+        pairs += t * (alpha[a0 : a0 + m].T @ ahead)
     post = alpha * beta
     out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
     for k, i in enumerate(order):
-        out[i] = post[: sizes[k], k]
-    total = float(np.log(scale).sum() + sum(shift[: sizes[k], k].sum() for k in range(n)))
-    return out, pairs, total
+        out[i] = post[at[: sizes[k]] + k]
+    return out, pairs, float(np.log(scale).sum() + shift.sum())
 
 
 @dataclass

@@ -68,6 +68,16 @@ def test_exact_dedup(odd, colliding):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == expected_dedup(texts(odd))
 
 
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_exact_dedup_large_and_small_groups(spark, odd, monkeypatch, share):
+    """All groups by shuffle, some, or all by broadcast: the same result."""
+    monkeypatch.setattr(exact_dedup, "SHARE", share)
+    many = spark.createDataFrame([(i, f"t{i % 10 if i % 3 else 0}") for i in range(90)] + [(None, "t3"), (7, "alone"), (7, "alone")], "doc_id bigint, text string")
+    for df in (odd, many):
+        got = exact_dedup.exact_dedup(df).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == expected_dedup(texts(df))
+
+
 def test_exact_dedup_sql(docs, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
@@ -329,6 +339,19 @@ def test_licenses(docs, odd):
 # ---- token counts
 
 
+def test_many_notices_in_one_text():
+    """Word places of tens of thousands of notices in one text, by a loop over its words."""
+    words = ("x cc by y", "all rights reserved", "mozilla publik license z", "général")
+    text = "\n".join(words[(7 * i + i // 5) % 4] for i in range(40_000))
+    n, hits = licenses.Scanner(licenses.NOTICES).scan(text)
+    split = text.split()
+    assert n == len(split)
+    for label, phrase in (("cc-by", ["cc", "by"]), ("reserved", ["all", "rights", "reserved"])):
+        want = [i for i in range(n) if split[i : i + len(phrase)] == phrase]
+        assert sorted(h[1] for h in hits if h[0].base and h[0].label == label) == want
+    assert sorted({h[1] for h in hits if h[0].label == "mpl"}) == [i for i in range(n) if split[i] == "mozilla"]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_tokens_add_up(odd, rule):
     got = token_counts.section_tokens(odd, rule=rule).collect()
