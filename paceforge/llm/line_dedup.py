@@ -117,7 +117,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t, docs = similarity, id_and_text(docs, id_col, text_col)
     ranks, blank = rarity(docs), F.xxhash64(F.lit(""))
     hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), blank))
-    lines = all_lines(docs.withColumn("text", plain(F.col("text")))).select("doc_id", "line_no", hashes.alias("h")).where(F.size("h") >= min_words)
+    lines = all_lines(docs.withColumn("text", plain(F.col("text")))).select("doc_id", "line_no", hashes.alias("h"))
     # a word's key: its rank, then 55 bits of its hash
     key = lambda h: F.shiftleft(look_up(ranks, BUCKETS, h).cast("bigint"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
     keyed = lines.select("doc_id", "line_no", F.size("h").alias("size"), F.sort_array("h").alias("h"), F.sort_array(F.transform("h", key)).alias("keys"))
@@ -126,12 +126,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda some: F.aggregate(F.filter("h", some), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k)))
     keyed = keyed.select(
-        "doc_id", "line_no", "size", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(1), F.col("h")).alias("d2"), F.element_at("h", 1).alias("low"), F.element_at("h", -1).alias("high"),
+        "doc_id", "line_no", "size", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(1), F.col("h")).alias("d2"), F.array_min("h").alias("low"), F.array_max("h").alias("high"),
         parity(lambda k: k > 0).alias("sig"), parity(lambda k: k <= 0).alias("more"),
         # words of rank 0, the first ones, are left out; 31 bits of a key are enough for a list
         F.transform(F.filter(F.slice("keys", F.lit(1), held), lambda k: k >= F.lit(1 << 55)), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), held.alias("held"),
     )
     facts = ["doc_id", "line_no", "size", "sig", "more"]
+    keyed = written(keyed).where(F.col("size") >= min_words)  # every line is split and hashed once: a filter above it would do so again
     folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct(*facts, "low", "high", "prefix", "held")).alias("first"), F.count(F.lit(1)).alias("n"))
     sets = written(folded)
     firsts = sets.where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("doc_id_a"), F.col("first.line_no").alias("line_no_a"))
