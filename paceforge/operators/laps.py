@@ -245,3 +245,52 @@ def stop_numbers(laps: DataFrame, keys: list[str]) -> DataFrame:
     """In-laps numbered from 0 within each group."""
     w = Window.partitionBy(*keys).orderBy("lap_number")
     return laps.where("pit_in").select(*keys, "lap_number", (F.row_number().over(w) - 1).cast("bigint").alias("nth_stop"))
+
+
+def lap_spine(laps: DataFrame, keys: list[str]) -> DataFrame:
+    """Every lap from 1 to a group's last one, with whether it was recorded."""
+    spine = laps.groupBy(*keys).agg(F.max("lap_number").alias("n")).select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("lap_number"))
+    seen = laps.select(*keys, F.col("lap_number").cast("bigint").alias("lap_number"), F.lit(True).alias("seen")).distinct()
+    return spine.join(seen, [*keys, "lap_number"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+
+
+def stint_offsets(laps: DataFrame) -> DataFrame:
+    """Laps of each stint and where it starts when a driver's stints are stacked."""
+    w = Window.partitionBy("round", "driver").orderBy("stint").rowsBetween(Window.unboundedPreceding, -1)
+    d = laps.groupBy("round", "driver", "stint").agg(F.count(F.lit(1)).alias("n_laps"))
+    return d.withColumn("start_at", F.coalesce(F.sum("n_laps").over(w), F.lit(0).cast("bigint")))
+
+
+def neutral_stops(stops: DataFrame, laps: DataFrame) -> DataFrame:
+    """Stops by the track status of their in-lap: green, neutral (safety car, real or virtual) or other."""
+    status = laps.select("round", "driver", F.col("lap_number").alias("in_lap"), "track_status")
+    kind = F.when(F.col("track_status").rlike("[467]"), "neutral").when(F.col("track_status") == "1", "green").otherwise("other")
+    d = stops.join(status, ["round", "driver", "in_lap"]).withColumn("kind", kind)
+    return d.groupBy("round", "kind").agg(F.count(F.lit(1)).alias("n_stops"), F.round(F.median("duration_s"), 4).alias("median_s"))
+
+
+def session_evolution(laps: DataFrame) -> DataFrame:
+    """Laps that were the session's quickest when they ended."""
+    w = Window.partitionBy("round").orderBy("end_ms", "driver", "lap_number").rowsBetween(Window.unboundedPreceding, -1)
+    d = laps.withColumn("before", F.min("lap_ms").over(w))
+    return d.where(F.col("before").isNull() | (F.col("lap_ms") < F.col("before"))).select("round", "driver", "lap_number", "end_ms", "lap_ms", (F.col("before") - F.col("lap_ms")).alias("gain_ms"))
+
+
+def lap_features(laps: DataFrame) -> DataFrame:
+    """The field on each lap: cars, median time, share of box laps, share of fresh tyres."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    return laps.groupBy("round", "lap_number").agg(
+        F.count(F.lit(1)).alias("n_cars"), F.round(F.median("lap_time_s"), 4).alias("median_s"), share("pit_in").alias("pit_share"), share("fresh_tyre").alias("fresh_share")
+    )
+
+
+def lap_histogram(laps: DataFrame, width_ms: int) -> DataFrame:
+    """Laps of a round by bins of equal width."""
+    at = F.floor(F.col("lap_ms") / F.lit(width_ms)) * width_ms
+    return laps.groupBy("round", at.cast("bigint").alias("from_ms")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def set_overlap(laps: DataFrame, keys: list[str], a: Column, b: Column, item: str = "driver") -> DataFrame:
+    """How many items have rows with ``a``, with ``b``, with both and with either."""
+    one = laps.groupBy(*keys, item).agg(F.bool_or(F.coalesce(a, F.lit(False))).alias("a"), F.bool_or(F.coalesce(b, F.lit(False))).alias("b"))
+    return one.groupBy(*keys).agg(F.count_if("a").alias("n_a"), F.count_if("b").alias("n_b"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") | F.col("b")).alias("n_either"))

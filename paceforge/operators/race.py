@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PENALTY = r"(?i)(\d+) SECOND TIME PENALTY FOR CAR (\d+) \(([A-Z0-9]+)\) - (.*)"
+PENALTY = r"(?i)(?:(\d+) SECOND )?(TIME PENALTY|STOP/GO PENALTY|DRIVE.?THROUGH PENALTY|REPRIMAND) FOR CAR (\d+) \(([A-Z0-9]+)\)(?: - (.*))?"
 TRACK_LIMITS = r"(?i)CAR (\d+) \(([A-Z0-9]+)\).*TRACK LIMITS AT TURN (\d+)"
 TRACK_LIMITS_LAP = r"(?i)TRACK LIMITS AT TURN \d+ LAP (\d+)"
 
 
-def position_progression(laps: DataFrame, drivers: list[int]) -> DataFrame:
-    """Lap by driver, wide; the drivers are given so that no pass has to find them."""
-    return laps.groupBy("round", "lap_number").pivot("driver", drivers).agg(F.min("position"))
+def position_progression(laps: DataFrame, who: str = "driver") -> DataFrame:
+    """Best position of each driver (or team) on each lap, long."""
+    return laps.groupBy("round", "lap_number", who).agg(F.min("position").alias("position"))
+
+
+def position_table(laps: DataFrame, who: str, values: list[int]) -> DataFrame:
+    """The same, wide; the columns are given so that no pass has to find them."""
+    return laps.groupBy("round", "lap_number").pivot(who, values).agg(F.min("position"))
 
 
 def with_previous(laps: DataFrame) -> DataFrame:
@@ -59,8 +64,10 @@ def _group(pattern: str, k: int) -> Column:
 
 
 def penalties(messages: DataFrame) -> DataFrame:
+    """Penalties of every kind; seconds and reason are null where the message names none."""
     d = messages.where(F.col("message").rlike(PENALTY))
-    return d.select("season", "msg_id", _group(PENALTY, 1).cast("bigint").alias("seconds"), _group(PENALTY, 2).cast("bigint").alias("car"), _group(PENALTY, 3).alias("code"), _group(PENALTY, 4).alias("reason"))
+    whole = {"seconds": _group(PENALTY, 1).cast("bigint"), "kind": F.upper(_group(PENALTY, 2)), "car": _group(PENALTY, 3).cast("bigint"), "code": _group(PENALTY, 4), "reason": _group(PENALTY, 5)}
+    return d.select("season", "msg_id", *(c.alias(n) for n, c in whole.items()))
 
 
 def track_limits(messages: DataFrame) -> DataFrame:
@@ -143,3 +150,28 @@ def elo(duels: DataFrame, k: float = 24.0, start: float = 1500.0, scale: float =
 def podium_matrix(results: DataFrame, places: int = 3) -> DataFrame:
     """How often each team took each of the first ``places`` in a season; 0 where it never did."""
     return results.groupBy("season", "team").agg(*(F.count_if(F.col("position") == p).alias(f"p{p}") for p in range(1, places + 1)))
+
+
+def team_form(results: DataFrame, size: int = 3) -> DataFrame:
+    """Mean points of a team over its previous ``size`` rounds, all its cars together; the current round never counts."""
+    total = results.groupBy("season", "round", "team").agg(F.sum("points").alias("points"))
+    w = Window.partitionBy("team").orderBy("season", "round").rowsBetween(-size, -1)
+    return total.select("season", "round", "team", "points", F.round(F.avg("points").over(w), 4).alias("form"))
+
+
+def first_lap_gains(results: DataFrame, laps: DataFrame) -> DataFrame:
+    """Grid place against the place after lap 1."""
+    first = laps.where("lap_number = 1").select("round", "driver", F.col("position").alias("lap1"))
+    return results.join(first, ["round", "driver"]).select("season", "round", "driver", "grid", "lap1", (F.col("grid") - F.col("lap1")).alias("gained"))
+
+
+def stops_and_results(results: DataFrame, laps: DataFrame) -> DataFrame:
+    """Every result with its number of stops, 0 where none is known."""
+    stops = laps.where("pit_in").groupBy("round", "driver").agg(F.count(F.lit(1)).alias("n_stops"))
+    return results.join(stops, ["round", "driver"], "left").select("season", "round", "driver", "position", F.coalesce("n_stops", F.lit(0).cast("bigint")).alias("n_stops"))
+
+
+def winner_order(results: DataFrame) -> DataFrame:
+    """A team's finishers of a round as one string in order of finish."""
+    d = results.groupBy("season", "round", "team").agg(F.array_sort(F.collect_list(F.struct("position", "driver"))).alias("p"))  # a team's few cars
+    return d.select("season", "round", "team", F.array_join(F.transform("p", lambda x: x["driver"].cast("string")), ",").alias("drivers"))

@@ -201,3 +201,21 @@ def time_slice(samples: DataFrame, time: str, start: int, end: int) -> DataFrame
     first = samples.agg(F.min(time).alias("first"))
     offset = F.col(time) - first.scalar()
     return samples.where((offset >= start) & (offset < end))
+
+
+def speed_profile(samples: DataFrame, keys: list[str], width_m: float) -> DataFrame:
+    """Speed by stretch of equal length."""
+    at = F.floor(F.col("distance_m") / F.lit(width_m)).cast("bigint")
+    return samples.groupBy(*keys, at.alias("stretch")).agg(F.round(F.avg("speed"), 4).alias("v_mean"), F.min("speed").alias("v_min"), F.count(F.lit(1)).alias("n"))
+
+
+def rotated(samples: DataFrame, degrees: float) -> DataFrame:
+    """x and y turned about the origin."""
+    c, s = F.cos(F.radians(F.lit(degrees))), F.sin(F.radians(F.lit(degrees)))
+    return samples.withColumns({"x": F.col("x") * c - F.col("y") * s, "y": F.col("x") * s + F.col("y") * c})
+
+
+def wet_sessions(weather: DataFrame, least: float = 0.2) -> DataFrame:
+    """Sessions with the share of their samples in rain, wet from ``least`` on."""
+    d = weather.groupBy("session").agg(F.avg(F.col("rainfall").cast("double")).alias("share"))
+    return d.select("session", F.round("share", 4).alias("share"), (F.col("share") >= least).alias("wet"))

@@ -221,9 +221,17 @@ def current_board(t):
     return L.current_board(L.rolling_pace(t("laps")))
 
 
-@query('SELECT round, lap_number, min(position) FILTER (driver = 1) AS "1", min(position) FILTER (driver = 2) AS "2", min(position) FILTER (driver = 5) AS "5" FROM laps GROUP BY 1, 2', "laps")
+@query("SELECT round, lap_number, driver, min(position) AS position FROM laps GROUP BY ALL", "laps")
 def position_progression(t):
-    return R.position_progression(t("laps"), [1, 2, 5])
+    return R.position_progression(t("laps"))
+
+
+TEAMS = range(25)  # the stand-in's teams are the 25 nations
+
+
+@query("SELECT round, lap_number, " + ", ".join(f'min(position) FILTER (team = {k}) AS "{k}"' for k in TEAMS) + " FROM laps GROUP BY 1, 2", "laps")
+def team_positions(t):
+    return R.position_table(t("laps"), "team", list(TEAMS))
 
 
 @query(f"WITH {PREV} SELECT * FROM {EVENTS}", "laps")
@@ -245,11 +253,10 @@ def overtakes_matrix(t):
     "laps",
 )
 def undercut_duels(t):
-    # the stored stops all fall on the same laps, so a second car's stops are moved by its number
     return R.undercut_duels(t("laps"))
 
 
-@query("SELECT season, msg_id, CAST(regexp_extract(message, '(\\d+) SECOND TIME', 1) AS BIGINT) AS seconds, CAST(regexp_extract(message, 'FOR CAR (\\d+)', 1) AS BIGINT) AS car, regexp_extract(message, '\\((\\w+)\\)', 1) AS code, regexp_extract(message, ' - (.*)', 1) AS reason FROM race_control WHERE regexp_matches(message, 'SECOND TIME PENALTY FOR CAR')", "race_control")
+@query("SELECT season, msg_id, CAST(nullif(regexp_extract(message, '(\\d+) SECOND', 1), '') AS BIGINT) AS seconds, regexp_extract(message, '(TIME PENALTY|STOP/GO PENALTY|DRIVE THROUGH PENALTY|REPRIMAND)', 1) AS kind, CAST(regexp_extract(message, 'FOR CAR (\\d+)', 1) AS BIGINT) AS car, regexp_extract(message, '\\((\\w+)\\)', 1) AS code, nullif(regexp_extract(message, ' - (.*)', 1), '') AS reason FROM race_control WHERE regexp_matches(message, '(PENALTY|REPRIMAND) FOR CAR')", "race_control")
 def penalties_parsed(t):
     return R.penalties(t("race_control"))
 
@@ -583,7 +590,7 @@ def sc_marginals(t):
 
 @query()
 def gap_evolution(t):
-    d = t("laps").where("lap_number <= 60").select(F.col("driver").alias("grp"), "lap_number", (F.col("lap_ms") % 1000 / 1000 - 0.55).alias("delta"), (F.col("lap_ms") % 4 == 0).alias("passes"), F.lit(1.0).alias("gap0"))
+    d = t("laps").select(F.col("driver").alias("grp"), "lap_number", (F.col("lap_ms") % 1000 / 1000 - 0.55).alias("delta"), (F.col("lap_ms") % 4 == 0).alias("passes"), F.lit(1.0).alias("gap0"))
     return G.gap_evolution(d.withColumnRenamed("lap_number", "lap"))
 
 
@@ -690,8 +697,10 @@ def sc_deployment_sector(t):
 
 @query()
 def dtw_profiles(t):
-    d = t("telemetry").where("ord <= 60").groupBy((F.col("driver") % 10).alias("track"), "driver").agg(F.array_sort(F.collect_list(F.struct("ord", "speed"))).alias("s"))
-    return K.dtw_pairs(d.select("track", "driver", F.col("s.speed").alias("v")), "track")
+    """Each driver's mean speed by day, against the driver with the next number; a month bounds a profile."""
+    days = t("telemetry").groupBy("driver", "lap_number").agg(F.avg("speed").alias("v"))
+    d = days.groupBy("driver").agg(F.array_sort(F.collect_list(F.struct("lap_number", "v"))).alias("s")).select(F.lit(0).alias("track"), "driver", F.col("s.v").alias("v"))
+    return K.dtw_pairs(d, "track", d.select("track", F.col("driver").alias("driver_a"), (F.col("driver") + 1).alias("driver_b")))
 
 
 @query()
@@ -754,3 +763,73 @@ def stop_numbers(t):
 @query("SELECT season, team, count(*) FILTER (WHERE position = 1) AS p1, count(*) FILTER (WHERE position = 2) AS p2, count(*) FILTER (WHERE position = 3) AS p3 FROM results GROUP BY ALL", "results")
 def podium_matrix(t):
     return R.podium_matrix(t("results"))
+
+
+@query("SELECT season, round, team, points, round(avg(points) OVER (PARTITION BY team ORDER BY season, round ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS form FROM (SELECT season, round, team, CAST(sum(points) AS BIGINT) AS points FROM results GROUP BY ALL)", "results")
+def team_form(t):
+    return R.team_form(t("results"))
+
+
+@query("SELECT season, r.round, r.driver, grid, l.position AS lap1, grid - l.position AS gained FROM results r JOIN laps l ON r.round = l.round AND r.driver = l.driver AND l.lap_number = 1", "results", "laps")
+def first_lap_gains(t):
+    return R.first_lap_gains(t("results"), t("laps"))
+
+
+@query("SELECT season, r.round, r.driver, position, coalesce(n, 0) AS n_stops FROM results r LEFT JOIN (SELECT round, driver, count(*) AS n FROM laps WHERE pit_in GROUP BY 1, 2) s ON r.round = s.round AND r.driver = s.driver", "results", "laps")
+def stops_and_results(t):
+    return R.stops_and_results(t("results"), t("laps"))
+
+
+@query("SELECT season, round, team, string_agg(CAST(driver AS VARCHAR), ',' ORDER BY position, driver) AS drivers FROM results GROUP BY ALL", "results")
+def winner_order(t):
+    return R.winner_order(t("results"))
+
+
+@query("SELECT s.*, l.lap_number IS NOT NULL AS seen FROM (SELECT round, driver, unnest(range(1, max(lap_number) + 1)) AS lap_number FROM laps WHERE NOT pit_in GROUP BY 1, 2) s LEFT JOIN (SELECT * FROM laps WHERE NOT pit_in) l ON s.round = l.round AND s.driver = l.driver AND s.lap_number = l.lap_number", "laps")
+def lap_spine(t):
+    return L.lap_spine(t("laps").where("not pit_in"), ["round", "driver"])
+
+
+@query("SELECT *, coalesce(CAST(sum(n_laps) OVER (PARTITION BY round, driver ORDER BY stint ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start_at FROM (SELECT round, driver, stint, count(*) AS n_laps FROM laps GROUP BY ALL)", "laps")
+def stint_offsets(t):
+    return L.stint_offsets(t("laps"))
+
+
+@query(f"SELECT s.round, CASE WHEN regexp_matches(track_status, '[467]') THEN 'neutral' WHEN track_status = '1' THEN 'green' ELSE 'other' END AS kind, count(*) AS n_stops, round(median(duration_s), 4) AS median_s FROM {STOPS} s JOIN laps l ON s.round = l.round AND s.driver = l.driver AND s.in_lap = l.lap_number GROUP BY 1, 2", "laps")
+def neutral_stops(t):
+    return L.neutral_stops(L.pit_stops(t("laps")), t("laps"))
+
+
+@query("SELECT round, driver, lap_number, end_ms, lap_ms, b - lap_ms AS gain_ms FROM (SELECT *, min(lap_ms) OVER (PARTITION BY round ORDER BY end_ms, driver, lap_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM laps) WHERE b IS NULL OR lap_ms < b", "laps")
+def session_evolution(t):
+    return L.session_evolution(t("laps"))
+
+
+@query("SELECT round, lap_number, count(*) AS n_cars, round(median(lap_time_s), 4) AS median_s, round(avg(pit_in::INT), 4) AS pit_share, round(avg(fresh_tyre::INT), 4) AS fresh_share FROM laps GROUP BY 1, 2", "laps")
+def lap_features(t):
+    return L.lap_features(t("laps"))
+
+
+@query("SELECT round, CAST(floor(lap_ms / 5000) * 5000 AS BIGINT) AS from_ms, count(*) AS n FROM laps GROUP BY 1, 2", "laps")
+def lap_histogram(t):
+    return L.lap_histogram(t("laps"), 5000)
+
+
+@query("WITH o AS (SELECT round, driver, bool_or(coalesce(deleted, false)) AS a, bool_or(pit_in AND track_status = '1') AS b FROM laps GROUP BY 1, 2) SELECT round, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (a OR b) AS n_either FROM o GROUP BY 1", "laps")
+def deleted_and_green_stops(t):
+    return L.set_overlap(t("laps"), ["round"], F.col("deleted"), F.col("pit_in") & (F.col("track_status") == "1"))
+
+
+@query("SELECT driver, CAST(floor(distance_m / 50) AS BIGINT) AS stretch, round(avg(speed), 4) AS v_mean, min(speed) AS v_min, count(*) AS n FROM telemetry GROUP BY 1, 2", "telemetry")
+def speed_profile(t):
+    return T.speed_profile(t("telemetry"), ["driver"], 50.0)
+
+
+@query("SELECT driver, ord, round(x * cos(radians(30)) - y * sin(radians(30)), 4) AS x, round(x * sin(radians(30)) + y * cos(radians(30)), 4) AS y FROM telemetry", "telemetry")
+def rotated_track(t):
+    return T.rotated(t("telemetry"), 30.0).select("driver", "ord", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("SELECT session, round(s, 4) AS share, s >= 0.2 AS wet FROM (SELECT session, avg(rainfall::INT) AS s FROM weather GROUP BY 1)", "weather")
+def wet_sessions(t):
+    return T.wet_sessions(t("weather"))

@@ -69,7 +69,8 @@ FROM (
 RACE_CONTROL = """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS season, o_orderkey AS msg_id, CAST(o_orderkey % 60 + 1 AS BIGINT) AS lap,
   CASE o_orderkey % 5
-    WHEN 0 THEN CAST(o_custkey % 4 * 5 + 5 AS VARCHAR(9)) || ' SECOND TIME PENALTY FOR CAR ' || CAST(o_custkey % 30 + 1 AS VARCHAR(9)) || ' (D' || CAST(10 + o_custkey % 30 AS VARCHAR(9)) || ') - CAUSING A COLLISION'
+    WHEN 0 THEN CASE o_custkey % 8 WHEN 0 THEN 'DRIVE THROUGH PENALTY' WHEN 1 THEN 'REPRIMAND' WHEN 2 THEN '10 SECOND STOP/GO PENALTY' ELSE CAST(o_custkey % 4 * 5 + 5 AS VARCHAR(9)) || ' SECOND TIME PENALTY' END
+      || ' FOR CAR ' || CAST(o_custkey % 30 + 1 AS VARCHAR(9)) || ' (D' || CAST(10 + o_custkey % 30 AS VARCHAR(9)) || ')' || CASE WHEN o_custkey % 7 = 0 THEN '' ELSE ' - CAUSING A COLLISION' END
     WHEN 1 THEN 'CAR ' || CAST(o_custkey % 30 + 1 AS VARCHAR(9)) || ' (D' || CAST(10 + o_custkey % 30 AS VARCHAR(9)) || ') TIME 1:2' || CAST(o_orderkey % 10 AS VARCHAR(9)) || '.345 DELETED - TRACK LIMITS AT TURN ' || CAST(o_orderkey % 15 + 1 AS VARCHAR(9)) || ' LAP ' || CAST(o_orderkey % 60 + 1 AS VARCHAR(9))
     WHEN 2 THEN 'WAVED BLUE FLAG FOR CAR ' || CAST(o_custkey % 30 + 1 AS VARCHAR(9)) || ' TIMED AT 14:00:00'
     ELSE 'GREEN LIGHT - PIT EXIT OPEN' END AS message,
