@@ -109,8 +109,8 @@ def interpolate(samples: DataFrame, grid: DataFrame, keys: list[str], x: str, y:
 
 
 def mini_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
-    """Fastest driver through each of n equal stretches of the distance that all drivers of a lap cover."""
-    top = tele.groupBy("lap_number", "driver").agg(F.min("distance_m").alias("lo"), F.max("distance_m").alias("hi"))
+    """Fastest driver through each of n equal stretches of the distance that all drivers of a lap cover; who covers none is left out."""
+    top = tele.groupBy("lap_number", "driver").agg(F.min("distance_m").alias("lo"), F.max("distance_m").alias("hi")).where("hi > lo")
     common = top.groupBy("lap_number").agg(F.min(F.col("hi") - F.col("lo")).alias("len"), F.countDistinct("driver").alias("n_drivers")).where("n_drivers >= 2 and len > 0")
     grid = top.join(common, "lap_number").select("lap_number", "driver", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("edge"), "lo", "len")
     grid = grid.select("lap_number", "driver", "edge", (F.col("lo") + F.col("len") * F.col("edge") / n).alias("distance_m"))

@@ -168,3 +168,17 @@ def test_cache_inventory(spark, tmp_path):
 def test_safety_car_marginals_are_chances(spark, n):
     q = [r.q for r in G.safety_car_marginals(spark, n).orderBy("lap").collect()]
     assert q[0] == 0 and all(0 <= x <= 1 for x in q) and len(q) == n
+
+
+def test_mini_sectors(spark):
+    """The faster of two cars wins every stretch of a lap; a car with one sample changes nothing."""
+    rows = [(1, d, 10.0 * i, i * (1.0 if d == 1 else 2.0)) for d in (1, 2) for i in range(11)] + [(1, 3, 5.0, 0.0)]
+    got = T.mini_sectors(spark.createDataFrame(rows, "lap_number bigint, driver bigint, distance_m double, t_s double"), 5).collect()
+    assert sorted((r.edge, r.winner, r.best_s) for r in got) == [(k, 1, 2.0) for k in range(1, 6)]
+
+
+def test_penalties_of_every_kind(spark):
+    texts = ["5 SECOND TIME PENALTY FOR CAR 14 (ALO) - SPEEDING", "10 SECOND STOP/GO PENALTY FOR CAR 1 (VER)", "DRIVE THROUGH PENALTY FOR CAR 2 (SAR) - JUMP START", "REPRIMAND FOR CAR 4 (NOR)", "CAR 4 (NOR) UNDER INVESTIGATION"]
+    d = spark.createDataFrame([(2024, i, t) for i, t in enumerate(texts)], "season bigint, msg_id bigint, message string")
+    want = [(0, 5, "TIME PENALTY", 14, "ALO", "SPEEDING"), (1, 10, "STOP/GO PENALTY", 1, "VER", None), (2, None, "DRIVE THROUGH PENALTY", 2, "SAR", "JUMP START"), (3, None, "REPRIMAND", 4, "NOR", None)]
+    assert [t[1:] for t in one(R.penalties(d).orderBy("msg_id"))] == want
