@@ -1,7 +1,7 @@
 """Logical tables of a motorsport season, projected from the tables at hand.
 
 Each projection is one statement that Spark and DuckDB both read; the few words that
-differ between them are named in ``SPARK`` and ``DUCKDB``. A round has a field of 20 cars, whose stops fall on different laps. Times are whole milliseconds, so that
+differ between them are named in ``SPARK`` and ``DUCKDB``. There are at least four rounds, with fields of 20 cars at most, whose stops fall on different laps. Times are whole milliseconds, so that
 running sums are exact in any order of evaluation.
 """
 
@@ -15,13 +15,13 @@ DUCKDB = {"micros": "epoch_us(ts)"}
 LAPS = """
 SELECT q.*, row_number() OVER (PARTITION BY round, lap_number ORDER BY end_ms, driver) AS position
 FROM (
-  SELECT p.*, CAST(floor((lap_number - 1 + driver % 5) / 20e0) AS BIGINT) + 1 AS stint,
-         (lap_number + driver % 5) % 20 = 0 AS pit_in, (lap_number + driver % 5) % 20 = 1 AND lap_number > 1 AS pit_out,
+  SELECT p.*, CAST(floor((lap_number - 1 + driver % 7) / 20e0) AS BIGINT) + 1 AS stint,
+         (lap_number + driver % 7) % 20 = 0 AS pit_in, (lap_number + driver % 7) % 20 = 1 AND lap_number > 1 AS pit_out,
          lap_ms / 1000e0 AS lap_time_s, lap_ms - s1_ms - s2_ms AS s3_ms,
          count(*) OVER (PARTITION BY driver) AS total_laps,
          CAST(sum(lap_ms) OVER (PARTITION BY driver ORDER BY lap_number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_ms
   FROM (
-    SELECT l_suppkey AS driver, CAST(s_nationkey AS BIGINT) AS team, CAST(floor((l_suppkey - 1) / 20e0) AS BIGINT) + 1 AS round,
+    SELECT l_suppkey AS driver, CAST(s_nationkey AS BIGINT) AS team, l_suppkey % (SELECT greatest(4, CAST(ceil(count(*) / 20e0) AS BIGINT)) FROM {supplier}) + 1 AS round,
            row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS lap_number,
            l_returnflag AS compound, l_quantity AS tyre_life, CASE l_linestatus WHEN 'O' THEN '1' ELSE '4' END AS track_status,
            CAST(round(l_extendedprice) AS BIGINT) AS lap_ms, CAST(floor(round(l_extendedprice) * 3 / 10e0) AS BIGINT) AS s1_ms,
