@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm import decontaminate, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality_crf, simhash, token_counts, toxicity
+from paceforge.llm import alignment, collocations, decontaminate, embedding_dedup, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality_crf, simhash, token_counts, toxicity
 from paceforge.llm.common import bucket_of, read_table
 
 
@@ -52,5 +52,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_decontaminate, op4_exact_dedup, op5_token_counts, op6_line_dedup, op7_quality, op8_simhash, op9_packing, op10_licenses)}
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_decontaminate, op4_exact_dedup, op5_token_counts, op6_line_dedup, op7_quality, op8_simhash, op9_packing, op10_licenses, op11_embedding_dedup, op12_alignment, op13_collocations)}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op11_embedding_dedup": embedding_dedup.ORACLE, "op13_collocations": collocations.ORACLE}
