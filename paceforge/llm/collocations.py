@@ -4,12 +4,13 @@ Texts are cut into pieces, pieces into words. Nodes of the graph are runs of ``L
 words, an edge is a run of ``LONGEST`` words that joins the node of its first words with that of its
 last, weighted by how often it occurs.
 
-1. Words that can't be part of a candidate go: a phrase is at most as frequent as the words and
-   word pairs in it, so pieces also break at words and then at pairs with fewer than
-   ``min_count`` occurrences. Frequent ones are marked in bit tables of fixed size; another key
-   on the same bit costs work and changes no result, as every count is taken exactly later.
-2. Tasks count edges, and the ends of pieces ("tails", the last 1 to 4 words), in chunks
-   of text; Spark adds them up.
+1. What can't be part of a candidate stays out: a phrase is at most as frequent as the words,
+   pairs, and runs of three and four words in it. Three passes count those in slots of a hashed
+   table of fixed size; each task sends what its slots hold once. Slots under ``min_count``
+   break the runs of words. Keys that share a slot cost work and change no result, as every
+   count is taken exactly later.
+2. Tasks count edges, and where the walk through the graph ends (at the end of a piece or a break)
+   the "tails", its last 1 to 4 words; Spark adds them up.
 3. Unary paths are compacted: where a node has one edge in and one out, of equal weight and
    without a tail, its two edges become parts of one path, by pointers that double each round. What a
    passage of a hundred words needs is one row then and not 96.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from paceforge.llm.common import LOWER, checkpoint, written
 
 LONGEST = 5
-FILTER_BITS = 1 << 26
-BLOCK_BITS = 1 << 16
+SLOTS = 1 << 26
+BLOCK = 1 << 16
 CHUNK_BYTES = 8 << 20
 SALTS = 64
 
@@ -42,41 +43,12 @@ _BREAK = _PIECE_END.copy()
 _BREAK[[9, 32]] = True
 
 
-def slots(keys: list[bytes]) -> np.ndarray:
-    """Places of keys in a bit table: XXH64 with seed 42, as Spark's xxhash64 of a string."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys)).astype(np.uint64) % np.uint64(FILTER_BITS)
-
-
-def bit_table(keys: DataFrame) -> bytes:
-    """The bit table of ``keys.key``; blocks of it are built in tasks, the driver gets its fixed size."""
-    slot = F.xxhash64("key").bitwiseAND(FILTER_BITS - 1)  # a power of two, so the sign doesn't matter
-    at = keys.select(slot.alias("slot")).distinct().select((F.col("slot") / BLOCK_BITS).cast("int").alias("block"), (F.col("slot") % BLOCK_BITS).cast("int").alias("bit"))
-
-    def build(table):
-        import pyarrow as pa
-
-        bits = np.zeros(BLOCK_BITS, bool)
-        bits[table.column("bit").to_numpy()] = True
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = bytearray(FILTER_BITS // 8)
-    for row in at.groupBy("block").applyInArrow(build, "block int, bits binary").toLocalIterator():
-        out[row["block"] * BLOCK_BITS // 8 : (row["block"] + 1) * BLOCK_BITS // 8] = row["bits"]
-    return bytes(out)
-
-
-def holds(table: bytes, keys: list[bytes]) -> np.ndarray:
-    at = slots(keys)
-    return (np.frombuffer(table, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 class Chunk:
     """Words of some texts of one language as codes, with the number of the piece that each is in."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, lang: bytes, texts: list[bytes]):
         import pyarrow as pa
+        import xxhash
 
         raw = np.frombuffer(b"\n".join([*texts, b""]).translate(LOWER), np.uint8)
         blank = _BREAK[raw]
@@ -86,17 +58,32 @@ class Chunk:
         coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(raw[~blank].tobytes())]).dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         self.pieces = np.cumsum(_PIECE_END[raw])[first]
-
-    def links(self, lang: bytes, words: bytes, pairs: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Which words may be frequent, and which of them are linked with the next one."""
-        known = holds(words, [lang + b"\t" + w for w in self.words.to_pylist()])[self.codes] if len(self.codes) else np.zeros(0, bool)
-        link = np.zeros(len(self.codes), bool)
-        link[:-1] = known[1:] & known[:-1] & (self.pieces[1:] == self.pieces[:-1])
-        if pairs is not None and link.any():
-            at = np.flatnonzero(link)
-            both, where = np.unique(self.codes[at] * len(self.words) + self.codes[at + 1], return_inverse=True)
-            link[at] = holds(pairs, [lang + b"\t" + p for p in self.phrases([both // len(self.words), both % len(self.words)]).to_pylist()])[where]
-        return known, link
+        key = lang + b"\t"
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(key + w) for w in self.words.to_pylist()), np.uint64, len(self.words))
+
+    def slots(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Slots of the runs of k words that start at the places."""
+        h = self.hashes[self.codes[at]]
+        for j in range(1, k):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.codes[at + j]]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(38)).astype(np.int64)  # the upper 26 bits
+
+    def reach(self, tables: list[bytes]) -> list[np.ndarray]:
+        """For k of 1 to 5, where a run of k words starts in which all shorter runs pass the tables (words, pairs, longer ones) given so far."""
+        out: list[np.ndarray] = []
+        for k in range(1, LONGEST + 1):
+            if k == 1:
+                ok = np.ones(len(self.codes), bool)
+            else:
+                ok = np.zeros(len(self.codes), bool)
+                ok[:-1] = out[-1][:-1] & out[-1][1:] & (self.pieces[1:] == self.pieces[:-1])
+            if k < LONGEST and len(tables) >= min(k, 3):
+                at = np.flatnonzero(ok)
+                s = self.slots(at, k)
+                ok[at] = np.frombuffer(tables[min(k, 3) - 1], np.uint8)[s >> 3] >> (s & 7).astype(np.uint8) & 1
+            out.append(ok)
+        return out
 
     def phrases(self, columns: list[np.ndarray]):
         """Words of the columns, joined row by row."""
@@ -118,67 +105,111 @@ class Chunk:
         return self.phrases([self.codes[at[first] + j] for j in range(k)]), pa.array(n, pa.int64())
 
 
-def _counted_grams(texts: DataFrame, step: int, words: bytes | None, pairs: bytes | None) -> DataFrame:
-    """Counts of a chunk: words (step 1), linked word pairs (step 2), edges and tails (step 3)."""
-    sent = texts.sparkSession.sparkContext.broadcast((words, pairs))  # bit tables of fixed size
+def chunks_of(batches: Iterator) -> Iterator[tuple[bytes, Chunk]]:
+    """Chunks of the rows (lang, text), one for each language at a time."""
+    held: dict[bytes, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield from ((k, Chunk(k, v)) for k, v in held.items())
+                    held, size = {}, 0
+    yield from ((k, Chunk(k, v)) for k, v in held.items())
+
+
+def slot_counts(texts: DataFrame, tables: list[bytes]) -> DataFrame:
+    """Of each task, the counts (255 at most) in the slots that it has met, by block; with no table yet, also its words of each language."""
+    sent = texts.sparkSession.sparkContext.broadcast(tables)  # each of a fixed size
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, pairs = sent.value
-        held: dict[bytes, list[bytes]] = {}
-        size = 0
-
-        def flush() -> Iterator:
-            for lang, own in held.items():
-                chunk = Chunk(own)
-                if not len(chunk.codes):
-                    continue
-                if step == 1:
-                    found = [(1, *chunk.counted(np.arange(len(chunk.codes)), 1))]
-                else:
-                    known, link = chunk.links(lang, words, pairs)
-                    if step == 2:
-                        found = [(2, *chunk.counted(np.flatnonzero(link), 2))] if link.any() else []
-                    else:
-                        left = np.zeros(len(link), np.int64)  # words from here to the end of the run
-                        ends = np.flatnonzero(~link)
-                        left = ends[np.searchsorted(ends, np.arange(len(link)))] - np.arange(len(link)) + 1
-                        left = np.where(known, np.minimum(left, LONGEST), 0)
-                        found = [(k, *chunk.counted(at, k)) for k in range(1, LONGEST + 1) if len(at := np.flatnonzero(left == k))]
-                for k, grams, n in found:
-                    for at in range(0, len(grams), 16384):
-                        part = grams.slice(at, 16384)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang.decode("utf-8", "replace")] * len(part), pa.string()), pa.array([k] * len(part), pa.int32()), part.cast(pa.large_string()).cast(pa.string()), n.slice(at, 16384)],
-                            names=["lang", "k", "gram", "n"],
-                        )
-            held.clear()
+        counter, total, lengths = np.zeros(SLOTS, np.uint8), {}, ((1,), (2,), (3, 4))[len(sent.value)]
+        for lang, chunk in chunks_of(batches):
+            starts = chunk.reach(sent.value)
+            for k in lengths:
+                at, n = np.unique(chunk.slots(np.flatnonzero(starts[k - 1]), k), return_counts=True)
+                counter[at] = np.minimum(counter[at] + n, 255)
+            total[lang] = total.get(lang, 0) + len(chunk.codes)
+        met = np.flatnonzero(counter)
+        cuts = np.searchsorted(met, np.arange(0, SLOTS + 1, BLOCK))
+        rows = [(-1, lang.decode("utf-8", "replace"), n, None, None) for lang, n in total.items()] if not sent.value else []
+        for block in np.flatnonzero(np.diff(cuts)).tolist():
+            own = met[cuts[block] : cuts[block + 1]]
+            rows.append((block, None, None, (own % BLOCK).astype(np.uint16).tobytes(), counter[own].tobytes()))
+        for at in range(0, len(rows), 128):
+            cols = zip(*rows[at : at + 128], strict=True)
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["block", "lang", "n", "slots", "counts"])
+
+    return texts.mapInArrow(run, "block int, lang string, n bigint, slots binary, counts binary")
+
+
+def bit_table(counts: DataFrame, min_count: int) -> bytes:
+    """A bit for each slot with at least ``min_count``. Blocks are added up in tasks, row by row; the driver gets the table's fixed size."""
+    least = min(min_count, 255)
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def row(block, total):
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+        now, total = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    held.setdefault(lang, []).append(text)
-                    size += len(text)
-                    if size >= CHUNK_BYTES:
-                        yield from flush()
-                        size = 0
-        yield from flush()
+            for block, slots, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield row(now, total)
+                    now, total = block, np.zeros(BLOCK, np.int64)
+                total[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.uint8)
+        if now is not None:
+            yield row(now, total)
+
+    dealt = counts.where("block >= 0").select("block", "slots", "counts").repartition("block").sortWithinPartitions("block")
+    out = bytearray(SLOTS // 8)
+    for r in dealt.mapInArrow(run, "block int, bits binary").toLocalIterator():
+        out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = r["bits"]
+    return bytes(out)
+
+
+def counted_grams(texts: DataFrame, tables: list[bytes]) -> DataFrame:
+    """Edges (k = 5) and tails (k < 5) of each chunk with their counts."""
+    sent = texts.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for lang, chunk in chunks_of(batches):
+            if not len(chunk.codes):
+                continue
+            reach = np.sum(chunk.reach(sent.value), axis=0)
+            for k in range(1, LONGEST + 1):
+                at = np.flatnonzero(reach == k)
+                grams, n = chunk.counted(at, k) if len(at) else ([], [])
+                for j in range(0, len(grams), 16384):
+                    part = grams.slice(j, 16384)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang.decode("utf-8", "replace")] * len(part), pa.string()), pa.array([k] * len(part), pa.int32()), part.cast(pa.large_string()).cast(pa.string()), n.slice(j, 16384)],
+                        names=["lang", "k", "gram", "n"],
+                    )
 
     return texts.mapInArrow(run, "lang string, k int, gram string, n bigint")
 
 
 def gram_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100) -> tuple[DataFrame, DataFrame]:
-    """((lang, n): all words of a language; (lang, k, gram, n): edges, k = 5, and tails, k < 5, between possibly frequent words and pairs)."""
+    """((lang, n): all words of a language; (lang, k, gram, n): edges and tails between possibly frequent runs)."""
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).cast("binary").alias("lang"), F.col(text_col).cast("binary").alias("text")).where("length(text) > 0")
-    words = written(_counted_grams(texts, 1, None, None).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    key = F.concat("lang", F.lit("\t"), "gram").alias("key")
-    word_bits = bit_table(words.where(F.col("n") >= min_count).select(key))
-    pairs = _counted_grams(texts, 2, word_bits, None).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    pair_bits = bit_table(pairs.where(F.col("n") >= min_count).select(key))
-    grams = _counted_grams(texts, 3, word_bits, pair_bits).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    return words.groupBy("lang").agg(F.sum("n").alias("n")), written(grams)
+    first = written(slot_counts(texts, []))
+    tables = [bit_table(first, min_count)]
+    for _ in range(2):
+        tables.append(bit_table(slot_counts(texts, tables), min_count))
+    totals = first.where("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    return totals, written(counted_grams(texts, tables).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
 
 
 def compact_paths(grams: DataFrame, max_rounds: int = 60) -> DataFrame:
