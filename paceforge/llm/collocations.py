@@ -5,8 +5,8 @@ words, an edge is a run of ``LONGEST`` words that joins the node of its first wo
 last, weighted by how often it occurs.
 
 1. What can't be part of a candidate stays out: a phrase is at most as frequent as the words,
-   pairs, and runs of three and four words in it. Three passes count those in slots of a hashed
-   table of fixed size; each task sends what its slots hold once. Slots under ``min_count``
+   pairs, and runs of three and four words in it, and each of its words is in a frequent pair.
+   Three passes count those in slots of hashed tables of fixed size; each task sends what its slots hold once. Slots under ``min_count``
    break the runs of words. Keys that share a slot cost work and change no result, as every
    count is taken exactly later.
 2. Tasks count edges, and where the walk through the graph ends (at the end of a piece or a break)
@@ -36,6 +36,7 @@ SLOTS = 1 << 26
 BLOCK = 1 << 16
 CHUNK_BYTES = 8 << 20
 SALTS = 64
+MEMBER = 0x5BF03635  # tag of the slots of words that are in a frequent pair
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -43,6 +44,10 @@ _BREAK = _PIECE_END.copy()
 _BREAK[[9, 32]] = True
 
 
+def passes(table: bytes, slots: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(table, np.uint8)[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Chunk:
     """Words of some texts of one language as codes, with the number of the piece that each is in."""
 
@@ -61,9 +66,9 @@ class Chunk:
         key = lang + b"\t"
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(key + w) for w in self.words.to_pylist()), np.uint64, len(self.words))
 
-    def slots(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Slots of the runs of k words that start at the places."""
-        h = self.hashes[self.codes[at]]
+    def slots(self, at: np.ndarray, k: int, tag: int = 0) -> np.ndarray:
+        """Slots of the runs of k words that start at the places; another tag gives other slots."""
+        h = self.hashes[self.codes[at]] ^ np.uint64(tag)
         for j in range(1, k):
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.codes[at + j]]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -80,8 +85,7 @@ class Chunk:
                 ok[:-1] = out[-1][:-1] & out[-1][1:] & (self.pieces[1:] == self.pieces[:-1])
             if k < LONGEST and len(tables) >= min(k, 3):
                 at = np.flatnonzero(ok)
-                s = self.slots(at, k)
-                ok[at] = np.frombuffer(tables[min(k, 3) - 1], np.uint8)[s >> 3] >> (s & 7).astype(np.uint8) & 1
+                ok[at] = passes(tables[min(k, 3) - 1], self.slots(at, k))
             out.append(ok)
         return out
 
@@ -105,6 +109,13 @@ class Chunk:
         return self.phrases([self.codes[at[first] + j] for j in range(k)]), pa.array(n, pa.int64())
 
 
+def paired(starts: np.ndarray) -> np.ndarray:
+    """Words in a pair, from where pairs start."""
+    out = starts.copy()
+    out[1:] |= starts[:-1]
+    return out
+
+
 def chunks_of(batches: Iterator) -> Iterator[tuple[bytes, Chunk]]:
     """Chunks of the rows (lang, text), one for each language at a time."""
     held: dict[bytes, list[bytes]] = {}
@@ -128,11 +139,12 @@ def slot_counts(texts: DataFrame, tables: list[bytes]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter, total, lengths = np.zeros(SLOTS, np.uint8), {}, ((1,), (2,), (3, 4))[len(sent.value)]
+        counter, total, lengths = np.zeros(SLOTS, np.uint8), {}, ((1,), (2,), (0, 3, 4))[len(sent.value)]  # 0: words of pairs that pass
         for lang, chunk in chunks_of(batches):
             starts = chunk.reach(sent.value)
             for k in lengths:
-                at, n = np.unique(chunk.slots(np.flatnonzero(starts[k - 1]), k), return_counts=True)
+                seen = chunk.slots(np.flatnonzero(starts[k - 1]), k) if k else chunk.slots(np.flatnonzero(paired(starts[1])), 1, MEMBER)
+                at, n = np.unique(seen, return_counts=True)
                 counter[at] = np.minimum(counter[at] + n, 255)
             total[lang] = total.get(lang, 0) + len(chunk.codes)
         met = np.flatnonzero(counter)
@@ -187,7 +199,10 @@ def counted_grams(texts: DataFrame, tables: list[bytes]) -> DataFrame:
         for lang, chunk in chunks_of(batches):
             if not len(chunk.codes):
                 continue
-            reach = np.sum(chunk.reach(sent.value), axis=0)
+            starts = chunk.reach(sent.value)
+            reach = np.sum(starts, axis=0)
+            alone = np.flatnonzero(reach == 1)  # a word that is in no frequent pair anywhere is part of no candidate
+            reach[alone[~passes(sent.value[2], chunk.slots(alone, 1, MEMBER))]] = 0
             for k in range(1, LONGEST + 1):
                 at = np.flatnonzero(reach == k)
                 grams, n = chunk.counted(at, k) if len(at) else ([], [])
