@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceforge.functions import tails
+
 
 def t_statistic(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
     """Welch's t and its degrees of freedom for group true against false; t is null without spread."""
@@ -56,6 +58,44 @@ def chi_square(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return d.where(margin > 0).select(*keys, F.round(n * top**2 / margin, 6).alias("chi2"))
 
 
+def welch_test(df: DataFrame, keys: list[str], value: str, group: str, tests: int = 1) -> DataFrame:
+    """``t_statistic`` with its two-sided p, and p for the number of tests that were made (Bonferroni)."""
+    p = tails.t_two_sided(F.col("t"), F.col("dof"))
+    return t_statistic(df, keys, value, group).withColumns({"p": p, "p_adjusted": tails.bonferroni(p, tests)})
+
+
+def tie_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sum of t^3 - t over groups of t equal values."""
+    n = F.count(F.lit(1)).cast("double")
+    return df.groupBy(*keys, value).agg((n * n * n - n).alias("t")).groupBy(*keys).agg(F.sum("t").alias("ties"))
+
+
+def mann_whitney_test(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
+    """``mann_whitney`` with its two-sided p by the normal approximation, corrected for ties and continuity; null where all values tie."""
+    d = mann_whitney(df, keys, value, group).join(tie_sums(df.where(F.col(group).isNotNull() & F.col(value).isNotNull()), keys, value), keys)
+    n = F.col("n1") + F.col("n0")
+    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    apart = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2.0) - 0.5, F.lit(0.0))
+    return d.withColumn("p", F.when(spread > 0, tails.normal_two_sided(apart / spread))).drop("ties")
+
+
+def wilcoxon_test(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
+    """``wilcoxon`` with its two-sided p by the normal approximation, corrected for ties."""
+    sizes = df.where(F.col(diff) != 0).withColumn("__a", F.abs(F.col(diff)))
+    d = wilcoxon(df, keys, diff).join(tie_sums(sizes, keys, "__a"), keys)
+    n = F.col("n")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / spread
+    return d.withColumn("p", F.when(spread > 0, tails.normal_two_sided(z))).drop("ties")
+
+
+def success_test(df: DataFrame, keys: list[str], success: str, chance: float = 0.5, confidence: float = 0.95) -> DataFrame:
+    """Successes of each group: n, k, rate, the exact two-sided binomial p against ``chance``, and the exact interval of the rate."""
+    d = df.where(F.col(success).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(success)).alias("k"))
+    low, high = tails.binomial_interval(F.col("k"), F.col("n"), confidence)
+    return d.withColumns({"rate": F.col("k") / F.col("n"), "p": tails.binomial_two_sided(F.col("k"), F.col("n"), chance), "low": low, "high": high})
+
+
 def calibration(df: DataFrame, score: str, outcome: str, bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("bigint")
     return df.groupBy(b.alias("bin")).agg(F.round(F.avg(score), 6).alias("mean_score"), F.round(F.avg(outcome), 6).alias("rate"), F.count(F.lit(1)).alias("n"))

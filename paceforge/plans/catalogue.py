@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paceforge.operators import following as W
 from paceforge.operators import laps as L
 from paceforge.operators import models as M
+from paceforge.operators import phases as P
 from paceforge.operators import race as R
 from paceforge.operators import statistics as S
 from paceforge.operators import strategy as G
 from paceforge.operators import timeseries as T
 from paceforge.operators import tracks as K
 from paceforge.sources.tables import oracle, read
+from paceforge.streaming import feed
 
 Read = Callable[[str], DataFrame]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -833,3 +836,138 @@ def rotated_track(t):
 @query("SELECT session, round(s, 4) AS share, s >= 0.2 AS wet FROM (SELECT session, avg(rainfall::INT) AS s FROM weather GROUP BY 1)", "weather")
 def wet_sessions(t):
     return T.wet_sessions(t("weather"))
+
+
+# Cars by sampled position: a lap of 1000 m, samples of six hours in one bucket, as the events at hand are minutes apart.
+CARS = "(SELECT r.round, t.* FROM telemetry t JOIN (SELECT DISTINCT round, driver FROM laps) r ON t.driver = r.driver)"
+FOLLOWING = f"""(SELECT round, driver, lap_number, bucket, t_us, place_m, coalesce(nx, fr) AS ahead, round(coalesce(nm, fm + 1000) - place_m, 4) AS gap_m FROM (
+  SELECT *, lead(driver) OVER w AS nx, lead(place_m) OVER w AS nm, first(driver) OVER w AS fr, first(place_m) OVER w AS fm, count(*) OVER (PARTITION BY round, bucket) AS cars FROM (
+    SELECT round, driver, lap_number, CAST(t_us // 21600000000 AS BIGINT) AS bucket, t_us, distance_m - floor(distance_m / 1000) * 1000 AS place_m FROM {CARS}
+    QUALIFY row_number() OVER (PARTITION BY round, t_us // 21600000000, driver ORDER BY t_us DESC, lap_number DESC, distance_m DESC) = 1)
+  WINDOW w AS (PARTITION BY round, bucket ORDER BY place_m, driver)) WHERE cars > 1)"""
+APPROACH = f"""(SELECT f.round, f.driver, f.ahead AS rival, f.lap_number, min(gap_m) AS least_m, count(*) AS n_samples FROM {FOLLOWING} f
+  JOIN laps me ON me.round = f.round AND me.driver = f.driver AND me.lap_number = f.lap_number - 1 JOIN laps it ON it.round = f.round AND it.driver = f.ahead AND it.lap_number = f.lap_number - 1 AND it.position = me.position - 1
+  JOIN laps now ON now.round = f.round AND now.driver = f.driver AND now.lap_number = f.lap_number AND now.track_status = '1' GROUP BY ALL)"""
+
+
+def _following(t):
+    cars = t("telemetry").join(t("laps").select("round", "driver").distinct(), "driver")
+    return W.driver_ahead(cars, ["round"], 1000.0, 21_600_000_000)
+
+
+@query(f"SELECT * FROM {FOLLOWING}", "laps", "telemetry")
+def driver_ahead(t):
+    return _following(t)
+
+
+@query(f"SELECT * FROM {APPROACH}", "laps", "telemetry")
+def closest_approach(t):
+    return W.closest_approach(_following(t), t("laps"), ["round"])
+
+
+@query(
+    f"""SELECT a.round, a.driver, a.rival, a.lap_number, least_m, coalesce(m.position < r.position, false) AS success FROM {APPROACH} a
+    LEFT JOIN laps m ON m.round = a.round AND m.driver = a.driver AND m.lap_number = a.lap_number LEFT JOIN laps r ON r.round = a.round AND r.driver = a.rival AND r.lap_number = a.lap_number WHERE least_m < 60""",
+    "laps",
+    "telemetry",
+)
+def overtake_attempts(t):
+    return W.attempts(W.closest_approach(_following(t), t("laps"), ["round"]), t("laps"), ["round"], 60.0)
+
+
+# zones from the brake marks of one driver of the round, on the same circle
+@query(
+    f"""WITH {PREV}, e AS {EVENTS}, z AS (SELECT round, floor(min(place_m) / 50) * 50 AS start_m, floor(min(place_m) / 50) * 50 + 120 AS end_m FROM (SELECT round, lap_number, distance_m - floor(distance_m / 1000) * 1000 AS place_m FROM {CARS} WHERE drs IN (10, 12, 14)) GROUP BY round, lap_number),
+    l AS (SELECT e.round, e.lap_number, gainer, loser, round(arg_max(place_m, (t_us, place_m)), 1) AS place_m FROM e JOIN {FOLLOWING} f ON f.round = e.round AND f.lap_number = e.lap_number AND f.driver = gainer AND f.ahead = loser WHERE gap_m < 300 GROUP BY ALL)
+    SELECT l.*, EXISTS (SELECT 1 FROM z WHERE z.round = l.round AND l.place_m BETWEEN z.start_m AND z.end_m) AS in_zone FROM l""",
+    "laps",
+    "telemetry",
+)
+def overtake_places(t):
+    cars = t("telemetry").where("drs IN (10, 12, 14)").join(t("laps").select("round", "driver").distinct(), "driver")
+    low = F.floor(F.min(F.col("distance_m") - F.floor(F.col("distance_m") / 1000) * 1000) / 50) * 50
+    zones = cars.groupBy("round", "lap_number").agg(low.cast("double").alias("start_m"), (low + 120).cast("double").alias("end_m"))
+    return W.locate_overtakes(R.overtake_events(t("laps")), _following(t), zones, ["round"], ["round"], 300.0)
+
+
+# Phases of a round: the log of all its marshals' posts, on the clock of the laps (a tenth of a second of the log is one of their milliseconds).
+LOG = "(SELECT session % (SELECT max(round) FROM laps) + 1 AS round, (t_us - 1704067200000000) // 100000 AS t_ms, status FROM status_log)"
+PHASES = f"""pn AS (SELECT round, t_ms, CASE max(status) WHEN '1' THEN 'green' WHEN '2' THEN 'yellow' WHEN '4' THEN 'safety car' WHEN '5' THEN 'red' WHEN '6' THEN 'virtual safety car' END AS phase FROM {LOG} GROUP BY 1, 2),
+  pf AS (SELECT *, lead(t_ms) OVER (PARTITION BY round ORDER BY t_ms) AS nx FROM (SELECT *, lag(phase) OVER (PARTITION BY round ORDER BY t_ms) AS b FROM pn) WHERE b IS NULL OR b <> phase),
+  pe AS (SELECT f.round, phase, t_ms AS start_ms, coalesce(nx, l.e) AS end_ms FROM pf f LEFT JOIN (SELECT round, max(end_ms) AS e FROM laps GROUP BY 1) l ON l.round = f.round),
+  lead_laps AS (SELECT round, end_ms - lap_ms AS at_ms, max(lap_number) OVER (PARTITION BY round ORDER BY end_ms - lap_ms) AS lap FROM laps WHERE position = 1),
+  one_lead AS (SELECT round, at_ms, max(lap) AS lap FROM lead_laps GROUP BY 1, 2),
+  p AS (SELECT e.round, phase, start_ms, end_ms, end_ms - start_ms AS duration_ms, coalesce(a.lap, 0) AS lap_start, coalesce(b.lap, 0) AS lap_end FROM pe e
+    ASOF LEFT JOIN one_lead a ON a.round = e.round AND e.start_ms >= a.at_ms ASOF LEFT JOIN one_lead b ON b.round = e.round AND e.end_ms >= b.at_ms)"""
+
+
+def _phases(t):
+    rounds = t("laps").agg(F.max("round").alias("n"))
+    log = t("status_log").join(F.broadcast(rounds), F.lit(True))  # one row
+    log = log.select((F.col("session") % F.col("n") + 1).alias("round"), F.floor((F.col("t_us") - 1704067200000000) / 100000).alias("t_ms"), "status")
+    return P.phases_with_laps(log, t("laps"), ["round"])
+
+
+@query(f"WITH {PHASES} SELECT * FROM p", "laps", "status_log")
+def phase_laps(t):
+    return _phases(t)
+
+
+@query(
+    f"""WITH {PHASES}, s AS (SELECT p.round, start_ms, lap_start, lap_end, driver, min(lap_number) FILTER (lap_number < lap_start) AS early, min(lap_number) FILTER (lap_number >= lap_start) AS inside FROM p JOIN laps l ON l.round = p.round AND pit_in
+      AND lap_number >= lap_start - 3 AND lap_number <= greatest(lap_end, lap_start - 1) WHERE phase IN ('safety car', 'virtual safety car') GROUP BY ALL)
+    SELECT s.round, start_ms, s.driver, CASE WHEN early IS NOT NULL THEN 'before' ELSE 'during' END AS class, coalesce(early, inside) AS stop, a.position - b.position AS gained
+    FROM s JOIN laps a ON a.round = s.round AND a.driver = s.driver AND a.lap_number = coalesce(early, inside) - 1 JOIN laps b ON b.round = s.round AND b.driver = s.driver AND b.lap_number = lap_end""",
+    "laps",
+    "status_log",
+)
+def neutral_stop_classes(t):
+    return P.stop_classes(_phases(t), t("laps"), ["round"])
+
+
+@query(
+    f"""WITH f AS (SELECT l.*, phase_ends.phase_id, lap_start, lap_end FROM (SELECT round, lap_number, max(end_ms) - min(end_ms) AS s FROM laps GROUP BY 1, 2) l JOIN (WITH {PHASES} SELECT round, start_ms AS phase_id, lap_start, lap_end FROM p WHERE phase = 'safety car') phase_ends ON phase_ends.round = l.round AND lap_number BETWEEN lap_start - 3 AND greatest(lap_end, lap_start))
+    SELECT *, round((1 - inside_ms / before_ms) * 100, 4) AS compaction_pct FROM (SELECT round, phase_id, median(s) FILTER (lap_number < lap_start) AS before_ms, min(s) FILTER (lap_number >= lap_start) AS inside_ms FROM f GROUP BY 1, 2) WHERE before_ms > 0""",
+    "laps",
+    "status_log",
+)
+def safety_car_compaction(t):
+    """Field spread before and in the phases of the status log, in place of phases by lap number."""
+    phases = _phases(t).where("phase = 'safety car'").select("round", F.col("start_ms").alias("phase_id"), "lap_start", F.greatest("lap_end", "lap_start").alias("lap_end"))
+    return K.neutral_compaction(L.field_spread(t("laps")), phases)
+
+
+# A feed of laps: every eleventh lap comes 200 s late; batches of 120 s, laps may be 60 s late.
+@query(
+    """WITH a AS (SELECT round, driver, lap_number, end_ms, lap_time_s, (end_ms + CASE WHEN lap_number % 11 = 0 THEN 200000 ELSE 0 END) // 120000 AS batch FROM laps),
+    m AS (SELECT round, batch, max(e) OVER (PARTITION BY round ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60000 AS mark FROM (SELECT round, batch, max(end_ms) AS e FROM a GROUP BY 1, 2)),
+    o AS (SELECT a.* FROM a JOIN m ON m.round = a.round AND m.batch = a.batch WHERE mark IS NULL OR end_ms > mark)
+    SELECT round, driver, lap_number, end_ms, r AS rolling_s FROM (SELECT *, count(*) OVER w AS n, round(median(lap_time_s) OVER w, 4) AS r FROM o WINDOW w AS (PARTITION BY round, driver ORDER BY end_ms, lap_number ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n >= 3""",
+    "laps",
+)
+def late_lap_pace(t):
+    arrives = F.col("end_ms") + F.when(F.col("lap_number") % 11 == 0, 200000).otherwise(0)
+    laps = t("laps").withColumn("batch", F.floor(arrives / 120000))
+    return feed.batch_snapshots(feed.on_time(laps, ["round"], "batch", "end_ms", 60000), ["round"], "end_ms")
+
+
+@query()
+def parity_test(t):
+    d = S.welch_test(t("laps"), ["round"], "lap_time_s", "fresh_tyre")
+    n = Window.partitionBy()  # a row for each round
+    return d.withColumn("p_adjusted", F.least(F.col("p") * F.count(F.lit(1)).over(n), F.lit(1.0)))
+
+
+@query()
+def rank_test(t):
+    return S.mann_whitney_test(t("laps"), ["round"], "lap_ms", "fresh_tyre")
+
+
+@query()
+def signed_rank_test(t):
+    return S.wilcoxon_test(t("results").select("season", (F.col("grid") - F.col("position")).alias("d")), ["season"], "d")
+
+
+@query()
+def undercut_success(t):
+    return S.success_test(R.undercut_duels(t("laps")), ["round"], "success")
