@@ -175,3 +175,28 @@ def winner_order(results: DataFrame) -> DataFrame:
     """A team's finishers of a round as one string in order of finish."""
     d = results.groupBy("season", "round", "team").agg(F.array_sort(F.collect_list(F.struct("position", "driver"))).alias("p"))  # a team's few cars
     return d.select("season", "round", "team", F.array_join(F.transform("p", lambda x: x["driver"].cast("string")), ",").alias("drivers"))
+
+
+def messages_near(events: DataFrame, messages: DataFrame, keys: list[str], laps: int = 2) -> DataFrame:
+    """The first message that names the driver's code within ``laps`` laps of each event, either way; empty where there is none.
+
+    ``events``: keys, driver, code, lap_number, any more; ``messages``: keys, lap, msg_id, message. First is the
+    smallest msg_id. Events are dealt to the laps of their band, so that the band join is an equi join.
+    """
+    asked = events.select(*keys, "driver", "code", "lap_number").distinct()
+    band = asked.withColumn("lap", F.explode(F.sequence(F.col("lap_number") - laps, F.col("lap_number") + laps)))
+    met = band.join(messages.select(*keys, "lap", "msg_id", "message"), [*keys, "lap"]).where(F.contains("message", "code"))
+    first = met.groupBy(*keys, "driver", "code", "lap_number").agg(F.min_by("message", "msg_id").alias("message"))
+    return events.join(first, [*keys, "driver", "code", "lap_number"], "left").withColumn("message", F.coalesce("message", F.lit("")))
+
+
+def retirement_lead(laps: DataFrame, anomalies: DataFrame, retired: DataFrame, keys: list[str]) -> DataFrame:
+    """For each retired driver: last lap, anomalies before it in box laps and on the track, and laps from the last one on the track to the end.
+
+    ``anomalies``: keys, driver, lap_number, box_lap; ``retired``: keys, driver. lead_laps is null without an anomaly on the track.
+    """
+    last = laps.groupBy(*keys, "driver").agg(F.max("lap_number").alias("last_lap")).join(retired.select(*keys, "driver").distinct(), [*keys, "driver"])
+    own = last.join(anomalies.select(*keys, "driver", "lap_number", "box_lap"), [*keys, "driver"], "left")
+    before = F.col("lap_number") < F.col("last_lap")
+    out = own.groupBy(*keys, "driver", "last_lap").agg(F.count_if(before & F.col("box_lap")).alias("n_box"), F.count_if(before & ~F.col("box_lap")).alias("n_track"), F.max(F.when(before & ~F.col("box_lap"), F.col("lap_number"))).alias("warned"))
+    return out.withColumn("lead_laps", F.col("last_lap") - F.col("warned"))

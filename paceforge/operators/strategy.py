@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,13 +12,16 @@ def lap_cost(age: Column, base: str = "base", lin: str = "lin", quad: str = "qua
     return F.col(base) + F.col(lin) * (age - 1) + F.col(quad) * (age - 1) ** 2
 
 
-def undercut_grid(spark: SparkSession, max_laps: int = 10, penalties: tuple[float, ...] = (0.0, 0.5, 1.0), deg_old: float = 0.12, deg_new: float = 0.08) -> DataFrame:
-    """Gain of n laps on new tyres against the rival's old ones, for each n and warm-up penalty."""
-    n = spark.range(1, max_laps + 1).withColumnRenamed("id", "n_laps")
-    grid = n.select("n_laps", F.explode(F.array(*map(F.lit, penalties))).alias("penalty"))
+def undercut_gains(slopes: DataFrame, max_laps: int = 10, penalties: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
+    """Gain of n laps on new tyres of one compound against a rival's old ones of another, for each n and warm-up penalty.
+
+    ``slopes``: compound, slope (seconds a lap), few rows: every two compounds meet.
+    """
+    old, new = slopes.select(F.col("compound").alias("old"), F.col("slope").alias("so")), slopes.select(F.col("compound").alias("new"), F.col("slope").alias("sn"))
+    grid = old.join(new, F.lit(True)).select("*", F.explode(F.sequence(F.lit(1), F.lit(max_laps))).alias("n_laps")).select("*", F.explode(F.array(*map(F.lit, penalties))).alias("penalty"))
     k = F.col("n_laps")
-    # old tyres lose deg_old more each lap from now on, new ones deg_new each lap from the second
-    return grid.select("n_laps", "penalty", F.round(F.lit(deg_old) * k * (k + 1) / 2 - F.lit(deg_new) * k * (k - 1) / 2 - F.col("penalty"), 6).alias("gain_s"))
+    # old tyres lose more each lap from now on, new ones from the second
+    return grid.select("old", "new", k.cast("bigint").alias("n_laps"), "penalty", F.round(F.col("so") * k * (k + 1) / 2 - F.col("sn") * k * (k - 1) / 2 - F.col("penalty") + 1e-8, 6).alias("gain_s"))
 
 
 def stint_arcs(tyres: DataFrame, n_laps: int, pit_loss: float, min_stint: int) -> DataFrame:
@@ -75,13 +78,19 @@ def strategy_laps(plan: DataFrame, pit_loss: float) -> DataFrame:
     return d.select("strategy", "lap", "compound", F.round(lap_cost(F.col("lap") - F.col("first") + 1) + stop, 6).alias("lap_time_s"))
 
 
-def safety_car_marginals(spark: SparkSession, n_laps: int, p_deploy: float = 0.025, p_end: float = 0.25) -> DataFrame:
-    """Chance that each lap runs under the safety car; the race starts green. A fold over laps."""
-    steps = F.aggregate(
-        F.filter(F.sequence(F.lit(1), F.lit(n_laps)), lambda lap: lap > 1), F.array(F.lit(0.0)),
-        lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) * (1 - p_end) + (1 - F.element_at(acc, -1)) * p_deploy)),
-    )
-    return spark.range(1).select(F.posexplode(steps).alias("i", "q")).select((F.col("i") + 1).cast("bigint").alias("lap"), F.round("q", 9).alias("q"))
+def safety_car_rates(phases: DataFrame, laps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_laps, p_deploy, p_end of each session: deployments for each green lap, and ends for each lap under a safety car, 1 at most."""
+    cars = phases.where("phase = 'safety car' and lap_start > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.col("lap_end") - F.col("lap_start"), F.lit(0)) + 1).alias("under"))
+    d = laps.groupBy(*keys).agg(F.max("lap_number").alias("n_laps")).join(cars, keys)
+    green = F.greatest(F.col("n_laps") - F.col("under"), F.lit(1))
+    return d.select(*keys, "n_laps", F.least(F.col("n") / green, F.lit(1.0)).alias("p_deploy"), F.least(F.col("n") / F.col("under"), F.lit(1.0)).alias("p_end"))
+
+
+def safety_car_marginals(rates: DataFrame, keys: list[str]) -> DataFrame:
+    """Chance that each lap runs under the safety car; a race starts green. The chain of two states in closed form."""
+    both = F.col("p_deploy") + F.col("p_end")
+    d = rates.where("p_deploy + p_end > 0").select(*keys, "p_deploy", "p_end", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_laps").cast("bigint"))).alias("lap"))
+    return d.select(*keys, "lap", F.round(F.col("p_deploy") / both * (1 - F.pow(1 - both, F.col("lap") - 1)), 9).alias("q"))
 
 
 def gap_evolution(laps: DataFrame, block_gap: float = 0.5) -> DataFrame:

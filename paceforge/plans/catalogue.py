@@ -556,9 +556,15 @@ def championship_mc(t):
     return S.title_odds(t("results"))
 
 
-@query("SELECT n_laps, penalty, round(0.12e0 * n_laps * (n_laps + 1) / 2 - 0.08e0 * n_laps * (n_laps - 1) / 2 - penalty, 6) AS gain_s FROM range(1, 11) r(n_laps), (VALUES (0.0e0), (0.5e0), (1.0e0)) p(penalty)")
+@query(
+    f"""WITH s AS (SELECT compound, round(avg(slope), 4) AS slope FROM {FITS} WHERE reliable GROUP BY 1)
+    SELECT o.compound AS old, w.compound AS new, n_laps, penalty, round(o.slope * n_laps * (n_laps + 1) / 2 - w.slope * n_laps * (n_laps - 1) / 2 - penalty + 1e-8, 6) AS gain_s FROM s o, s w, range(1, 11) r(n_laps), (VALUES (0.0e0), (0.5e0), (1.0e0)) p(penalty)""",
+    "laps",
+)
 def undercut_gain_grid(t):
-    return G.undercut_grid(t("region").sparkSession)
+    """From the measured wear of each compound."""
+    fits = L.degradation_by(L.degradation(t("laps"), 100.0, 4).where("reliable"), "compound")
+    return G.undercut_gains(fits.select("compound", F.col("mean_slope").alias("slope")))
 
 
 def _tyres(t):
@@ -586,11 +592,6 @@ def optimal_strategy(t):
     return G.best_strategies(dear, ["scenario"], 40)
 
 
-@query("WITH RECURSIVE m(lap, q) AS (SELECT 1::BIGINT, 0.0e0 UNION ALL SELECT lap + 1, q * (1 - 0.25e0) + (1 - q) * 0.025e0 FROM m WHERE lap < 60) SELECT lap, round(q, 9) AS q FROM m")
-def sc_marginals(t):
-    return G.safety_car_marginals(t("region").sparkSession, 60)
-
-
 @query()
 def gap_evolution(t):
     d = t("laps").select(F.col("driver").alias("grp"), "lap_number", (F.col("lap_ms") % 1000 / 1000 - 0.55).alias("delta"), (F.col("lap_ms") % 4 == 0).alias("passes"), F.lit(1.0).alias("gap0"))
@@ -971,3 +972,82 @@ def signed_rank_test(t):
 @query()
 def undercut_success(t):
     return S.success_test(R.undercut_duels(t("laps")), ["round"], "success")
+
+
+@query(
+    f"""WITH {PHASES}, c AS (SELECT round, count(*) AS n, sum(greatest(lap_end - lap_start, 0) + 1) AS u FROM p WHERE phase = 'safety car' AND lap_start > 0 GROUP BY 1),
+    r AS (SELECT c.round, n_laps, least(n / greatest(n_laps - u, 1), 1e0) AS d, least(n / u, 1e0) AS e FROM c JOIN (SELECT round, max(lap_number) AS n_laps FROM laps GROUP BY 1) l ON l.round = c.round)
+    SELECT round, lap, round(d / (d + e) * (1 - pow(1 - (d + e), lap - 1)), 9) AS q FROM (SELECT *, unnest(range(1, n_laps + 1)) AS lap FROM r)""",
+    "laps",
+    "status_log",
+)
+def sc_marginals(t):
+    """Rates from the phases of each round."""
+    return G.safety_car_marginals(G.safety_car_rates(_phases(t), t("laps"), ["round"]), ["round"])
+
+
+# A lap that was taken away stands for an anomaly; a driver's code is D and two digits, as in the messages. Drivers of a team with an odd number retire.
+@query(
+    """WITH a AS (SELECT round, driver, lap_number, pit_in OR pit_out AS box FROM laps WHERE deleted), l AS (SELECT round, driver, max(lap_number) AS last_lap FROM laps WHERE team % 2 = 1 GROUP BY 1, 2),
+    r AS (SELECT l.round, l.driver, last_lap, count(*) FILTER (box AND lap_number < last_lap) AS n_box, count(*) FILTER (NOT box AND lap_number < last_lap) AS n_track, max(lap_number) FILTER (NOT box AND lap_number < last_lap) AS warned
+      FROM l LEFT JOIN a ON a.round = l.round AND a.driver = l.driver GROUP BY ALL),
+    e AS (SELECT *, last_lap - warned AS lead_laps, 1991 + round AS season, 'D' || CAST(10 + driver % 30 AS VARCHAR) AS code, warned % 60 + 1 AS lap_number FROM r WHERE warned IS NOT NULL)
+    SELECT e.season, driver, code, lap_number, round, last_lap, n_box, n_track, warned, lead_laps, coalesce((SELECT arg_min(m.message, m.msg_id) FROM race_control m WHERE m.season = e.season AND m.lap BETWEEN lap_number - 2 AND lap_number + 2 AND contains(m.message, code)), '') AS message FROM e""",
+    "laps",
+    "race_control",
+)
+def retirement_warnings(t):
+    laps = t("laps")
+    anomalies = laps.where("deleted").select("round", "driver", "lap_number", (F.col("pit_in") | F.col("pit_out")).alias("box_lap"))
+    lead = R.retirement_lead(laps, anomalies, laps.where("team % 2 = 1").select("round", "driver"), ["round"]).where("warned is not null")
+    events = lead.select((F.col("round") + 1991).alias("season"), "driver", F.concat(F.lit("D"), (F.col("driver") % 30 + 10).cast("string")).alias("code"), (F.col("warned") % 60 + 1).alias("lap_number"), "round", "last_lap", "n_box", "n_track", "warned", "lead_laps")
+    return R.messages_near(events, t("race_control"), ["season"])
+
+
+@query(
+    """WITH s AS (SELECT 1 AS track, lap_number AS corner, driver, min(speed) AS v_min FROM telemetry GROUP BY ALL), d AS (SELECT *, v_min - max(v_min) OVER (PARTITION BY corner) AS rel, median(v_min) OVER (PARTITION BY corner) AS mid FROM s),
+    e AS (SELECT *, avg(rel) OVER (PARTITION BY driver) AS m FROM d), f AS (SELECT *, rel - m AS rest FROM e),
+    c AS (SELECT driver, CASE WHEN var_pop(rest) > 1e-12 AND var_pop(mid) > 1e-12 THEN corr(rest, mid) END AS c FROM f GROUP BY 1)
+    SELECT track, corner, f.driver, v_min, round(rel, 4) AS rel, round(m + 1e-7, 4) AS mean_rel, round(c, 4) AS profile_corr FROM f JOIN c ON c.driver = f.driver""",
+    "telemetry",
+)
+def corner_matrix(t):
+    """Each day of the month stands for a corner."""
+    speeds = t("telemetry").groupBy(F.lit(1).alias("track"), F.col("lap_number").alias("corner"), "driver").agg(F.min("speed").alias("v_min"))
+    return K.corner_matrix(speeds, ["track"])
+
+
+@query()
+def profile_years(t):
+    """The two halves of the month stand for two years of a driver's fastest laps."""
+    d = t("telemetry").withColumn("year", F.when(F.col("lap_number") <= 15, 1).otherwise(2))
+    return K.profile_differences(K.relative_profiles(d, ["driver", "year"], "distance_m", "speed", 200), ["driver"], "year", "speed")
+
+
+@query(
+    """WITH c AS (SELECT compound AS a, tyre_life % 3 AS b, CAST(count(*) AS DOUBLE) AS n FROM laps GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c),
+    a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT a, sum(n) AS n FROM c GROUP BY 1)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT b, sum(n) AS n FROM c GROUP BY 1))
+    SELECT CAST(t AS BIGINT) AS n, round((s - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS rand FROM s, a, b""",
+    "laps",
+)
+def cluster_agreement(t):
+    return M.adjusted_rand(t("laps").withColumn("b", F.col("tyre_life") % 3), "compound", "b")
+
+
+@query()
+def wet_dry_left_out(t):
+    """A lap number of all rounds is a fold; compound R stands for rain tyres."""
+    laps = t("laps").where("is_accurate").groupBy("round", "lap_number").agg(F.stddev_samp("lap_time_s").alias("std_s"), F.avg("speed_fl").alias("speed"), F.count(F.lit(1)).alias("n"), F.mode("compound", True).alias("compound"))
+    d = laps.where("n >= 10").withColumn("wet", (F.col("compound") == "R").cast("int"))
+    return M.confusion(M.leave_out_logistic(d, ["std_s", "speed"], "wet", "lap_number"), "wet", "predicted")
+
+
+@query()
+def isolated_laps(t):
+    return M.isolation_forest(T.lap_profile(t("telemetry")), ["v_max", "v_mean", "throttle", "brake_pct", "gear"]).withColumn("score", F.round("score", 9))
+
+
+@query()
+def position_forecast(t):
+    d = R.shifted_form(t("results")).join(t("results").select("season", "round", "driver", "grid", F.col("position").cast("double").alias("finish")), ["season", "round", "driver"]).na.fill({"form": 0.0})
+    return M.time_ordered_scores(d.withColumn("grid", F.col("grid").cast("double")), ["form", "grid"], "finish", "season", "grid", ["season", "round", "driver"])

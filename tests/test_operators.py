@@ -166,8 +166,15 @@ def test_cache_inventory(spark, tmp_path):
 
 @pytest.mark.parametrize("n", [1, 60])
 def test_safety_car_marginals_are_chances(spark, n):
-    q = [r.q for r in G.safety_car_marginals(spark, n).orderBy("lap").collect()]
-    assert q[0] == 0 and all(0 <= x <= 1 for x in q) and len(q) == n
+    """As the chain taken lap by lap."""
+    rates = spark.createDataFrame([(1, n, 0.025, 0.25), (2, n, 1.0, 1.0)], "round int, n_laps bigint, p_deploy double, p_end double")
+    got = {(r.round, r.lap): r.q for r in G.safety_car_marginals(rates, ["round"]).collect()}
+    for k, p, e in ((1, 0.025, 0.25), (2, 1.0, 1.0)):
+        q = 0.0
+        for lap in range(1, n + 1):
+            assert abs(got[k, lap] - q) < 1e-8
+            q = q * (1 - e) + (1 - q) * p
+    assert len(got) == 2 * n
 
 
 def test_mini_sectors(spark):
