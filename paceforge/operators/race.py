@@ -160,15 +160,15 @@ def team_form(results: DataFrame, size: int = 3) -> DataFrame:
 
 
 def first_lap_gains(results: DataFrame, laps: DataFrame) -> DataFrame:
-    """Grid place against the place after lap 1."""
-    first = laps.where("lap_number = 1").select("round", "driver", F.col("position").alias("lap1"))
-    return results.join(first, ["round", "driver"]).select("season", "round", "driver", "grid", "lap1", (F.col("grid") - F.col("lap1")).alias("gained"))
+    """Grid place against the place after lap 1; both sides have season, round and driver."""
+    first = laps.where("lap_number = 1").select("season", "round", "driver", F.col("position").alias("lap1"))
+    return results.join(first, ["season", "round", "driver"]).select("season", "round", "driver", "grid", "lap1", (F.col("grid") - F.col("lap1")).alias("gained"))
 
 
 def stops_and_results(results: DataFrame, laps: DataFrame) -> DataFrame:
     """Every result with its number of stops, 0 where none is known."""
-    stops = laps.where("pit_in").groupBy("round", "driver").agg(F.count(F.lit(1)).alias("n_stops"))
-    return results.join(stops, ["round", "driver"], "left").select("season", "round", "driver", "position", F.coalesce("n_stops", F.lit(0).cast("bigint")).alias("n_stops"))
+    stops = laps.where("pit_in").groupBy("season", "round", "driver").agg(F.count(F.lit(1)).alias("n_stops"))
+    return results.join(stops, ["season", "round", "driver"], "left").select("season", "round", "driver", "position", F.coalesce("n_stops", F.lit(0).cast("bigint")).alias("n_stops"))
 
 
 def winner_order(results: DataFrame) -> DataFrame:

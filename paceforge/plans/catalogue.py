@@ -16,6 +16,7 @@ from paceforge.operators import statistics as S
 from paceforge.operators import strategy as G
 from paceforge.operators import timeseries as T
 from paceforge.operators import tracks as K
+from paceforge.operators import weekend as E
 from paceforge.sources.tables import oracle, read
 from paceforge.streaming import feed
 
@@ -774,14 +775,14 @@ def team_form(t):
     return R.team_form(t("results"))
 
 
-@query("SELECT season, r.round, r.driver, grid, l.position AS lap1, grid - l.position AS gained FROM results r JOIN laps l ON r.round = l.round AND r.driver = l.driver AND l.lap_number = 1", "results", "laps")
+@query("SELECT season, r.round, r.driver, grid, l.position AS lap1, grid - l.position AS gained FROM results r JOIN laps l ON r.season = l.round + 1991 AND r.round = l.round AND r.driver = l.driver AND l.lap_number = 1", "results", "laps")
 def first_lap_gains(t):
-    return R.first_lap_gains(t("results"), t("laps"))
+    return R.first_lap_gains(t("results"), t("laps").withColumn("season", F.col("round") + 1991))  # the laps at hand: a season for each round
 
 
-@query("SELECT season, r.round, r.driver, position, coalesce(n, 0) AS n_stops FROM results r LEFT JOIN (SELECT round, driver, count(*) AS n FROM laps WHERE pit_in GROUP BY 1, 2) s ON r.round = s.round AND r.driver = s.driver", "results", "laps")
+@query("SELECT season, r.round, r.driver, position, coalesce(n, 0) AS n_stops FROM results r LEFT JOIN (SELECT round, driver, count(*) AS n FROM laps WHERE pit_in GROUP BY 1, 2) s ON r.season = s.round + 1991 AND r.round = s.round AND r.driver = s.driver", "results", "laps")
 def stops_and_results(t):
-    return R.stops_and_results(t("results"), t("laps"))
+    return R.stops_and_results(t("results"), t("laps").withColumn("season", F.col("round") + 1991))
 
 
 @query("SELECT season, round, team, string_agg(CAST(driver AS VARCHAR), ',' ORDER BY position, driver) AS drivers FROM results GROUP BY ALL", "results")
@@ -1051,3 +1052,91 @@ def isolated_laps(t):
 def position_forecast(t):
     d = R.shifted_form(t("results")).join(t("results").select("season", "round", "driver", "grid", F.col("position").cast("double").alias("finish")), ["season", "round", "driver"]).na.fill({"form": 0.0})
     return M.time_ordered_scores(d.withColumn("grid", F.col("grid").cast("double")), ["form", "grid"], "finish", "season", "grid", ["season", "round", "driver"])
+
+
+# The first, second and third twenty laps of a driver stand for the segments of a qualifying.
+SEGMENTS = "(SELECT round, driver, lap_time_s, CASE WHEN lap_number <= 20 THEN 'q1' WHEN lap_number <= 40 AND driver % 4 > 0 THEN 'q2' WHEN lap_number <= 60 AND driver % 4 > 1 THEN 'q3' END AS segment FROM laps WHERE lap_number <= 60)"
+
+
+def _segments(t):
+    n, d = F.col("lap_number"), F.col("driver") % 4
+    return t("laps").where("lap_number <= 60").withColumn("segment", F.when(n <= 20, "q1").when((n <= 40) & (d > 0), "q2").when((n <= 60) & (d > 1), "q3"))
+
+
+@query(
+    f"""WITH b AS (SELECT round, driver, segment, min(lap_time_s) AS s FROM {SEGMENTS} WHERE segment IS NOT NULL GROUP BY ALL)
+    SELECT a.round, a.driver, a.segment || '-' || b.segment AS segment, round(a.s - b.s, 4) AS delta_s FROM b a JOIN b ON a.round = b.round AND a.driver = b.driver AND (a.segment, b.segment) IN (('q1', 'q2'), ('q2', 'q3'))""",
+    "laps",
+)
+def qualifying_evolution(t):
+    return E.qualifying_evolution(_segments(t), ["round"])
+
+
+@query(
+    f"""WITH b AS (SELECT round, driver, min(lap_time_s) FILTER (segment = 'q1') AS q1, min(lap_time_s) FILTER (segment = 'q2') AS q2, min(lap_time_s) FILTER (segment = 'q3') AS q3 FROM {SEGMENTS} GROUP BY 1, 2)
+    SELECT *, coalesce(q3, q2, q1) AS quali_s FROM b""",
+    "laps",
+)
+def qualifying_times(t):
+    return E.last_segment_time(E.segment_times(_segments(t), ["round"]))
+
+
+# Drivers with an even number drive the sprint; compound R of the first laps makes an event wet.
+@query(
+    f"""WITH {PREV}, e AS {EVENTS}, l AS (SELECT round, max(lap_number) FILTER (driver % 2 = 0) AS laps_sprint, max(lap_number) FILTER (driver % 2 = 1) AS laps_race FROM laps GROUP BY 1),
+    p AS (SELECT round, count(*) FILTER (gainer % 2 = 0) AS n_sprint, count(*) FILTER (gainer % 2 = 1) AS n_race FROM e GROUP BY 1)
+    SELECT l.round, coalesce(n_sprint, 0) AS n_sprint, coalesce(n_race, 0) AS n_race, laps_sprint, laps_race, round(coalesce(n_sprint, 0) / laps_sprint, 6) AS rate_sprint, round(coalesce(n_race, 0) / laps_race, 6) AS rate_race
+    FROM l LEFT JOIN p ON p.round = l.round WHERE l.round NOT IN (SELECT round FROM laps WHERE compound IN ('WET', 'INTERMEDIATE')) AND laps_sprint > 0 AND laps_race > 0""",
+    "laps",
+)
+def sprint_rates(t):
+    kind = lambda who: F.when(F.col(who) % 2 == 0, "S").otherwise("R").alias("session")
+    events = R.overtake_events(t("laps")).select("round", kind("gainer"))
+    return E.sprint_rates(events, t("laps").select("round", "lap_number", "compound", kind("driver")), ["round"], "session", ["WET", "INTERMEDIATE"])
+
+
+@query(
+    """WITH s AS (SELECT lap_number % 2 AS season, lap_number, driver, max(distance_m) - min(distance_m) AS m FROM telemetry GROUP BY ALL), d AS (SELECT *, m - avg(m) OVER (PARTITION BY season, lap_number) AS rel FROM s),
+    o AS (SELECT season, driver, round(avg(m) + 1e-9, 4) AS mean_m, count(*) AS n, round(avg(rel) + 1e-9, 4) AS mean_rel_m FROM d GROUP BY ALL) SELECT *, rank() OVER (PARTITION BY season ORDER BY mean_m DESC) AS rank FROM o""",
+    "telemetry",
+)
+def launch_ranking(t):
+    """A day stands for an event, odd and even days for two seasons."""
+    starts = t("telemetry").groupBy((F.col("lap_number") % 2).alias("season"), "lap_number", "driver").agg((F.max("distance_m") - F.min("distance_m")).alias("distance_m"))
+    return E.launch_ranking(starts, ["season", "lap_number"], ["season"])
+
+
+@query()
+def braking_comparison(t):
+    """Every driver against the one with the next number."""
+    zones = T.braking_zones(t("telemetry"), ["driver"]).select(F.lit(1).alias("track"), "driver", "start_m")
+    pairs = zones.select("track", F.col("driver").alias("driver_a"), (F.col("driver") + 1).alias("driver_b")).distinct()
+    return E.compare_braking(zones, pairs, ["track"])
+
+
+@query(
+    """WITH d AS (SELECT *, drs IN (10, 12, 14) AS open FROM telemetry), i AS (SELECT *, CAST(sum(c) OVER (PARTITION BY driver ORDER BY ord) AS BIGINT) AS island FROM (SELECT *, CASE WHEN open = lag(open) OVER (PARTITION BY driver ORDER BY ord) THEN 0 ELSE 1 END AS c FROM d))
+    SELECT driver, island, start_m, end_m, n, end_m - start_m AS length_m FROM (SELECT driver, island, arg_min(distance_m, ord) AS start_m, arg_max(distance_m, ord) AS end_m, count(*) AS n FROM i WHERE open GROUP BY 1, 2) WHERE end_m - start_m >= 100""",
+    "telemetry",
+)
+def drs_zones(t):
+    return T.active_zones(t("telemetry").withColumn("open", F.col("drs").isin(10, 12, 14)), ["driver"], "open", 100.0)
+
+
+@query(
+    """WITH s AS (SELECT round, driver, stint, compound, count(*) AS n FROM laps GROUP BY ALL), c AS (SELECT round, compound, round(avg(n) + 1e-9, 1) AS m FROM s GROUP BY ALL),
+    k AS (SELECT round, '{' || string_agg('"' || compound || '":' || CAST(m AS VARCHAR), ',' ORDER BY compound) || '}' AS j FROM c GROUP BY 1)
+    SELECT k.round, '{"n_stints":' || CAST(n AS VARCHAR) || ',"stints_per_driver":' || CAST(p AS VARCHAR) || ',"mean_length":' || j || '}' AS json FROM k JOIN (SELECT round, count(*) AS n, round(count(*) / count(DISTINCT driver) + 1e-9, 2) AS p FROM s GROUP BY 1) x ON x.round = k.round""",
+    "laps",
+)
+def stint_figures(t):
+    return E.json_rows(E.stint_figures(L.stints(t("laps")), ["round"]), ["round"])
+
+
+@query()
+def elo_seasons(t):
+    """Team mates of a result list, round by round; each season starts anew."""
+    r = t("results")
+    best = F.struct("position", "driver")
+    duels = r.groupBy("season", "round", "team").agg(F.count(F.lit(1)).alias("n"), F.min(best)["driver"].alias("winner"), F.max(best)["driver"].alias("loser")).where("n = 2")
+    return E.elo_history(duels.select("season", "round", F.col("team").alias("ord"), "winner", "loser"), ["season"])
