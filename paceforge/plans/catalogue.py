@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paceforge.operators import following as W
 from paceforge.operators import laps as L
+from paceforge.operators import marts as D
 from paceforge.operators import models as M
 from paceforge.operators import phases as P
 from paceforge.operators import race as R
@@ -599,9 +600,20 @@ def gap_evolution(t):
     return G.gap_evolution(d.withColumnRenamed("lap_number", "lap"))
 
 
-@query("SELECT season, round, driver, median(score) AS m FROM results GROUP BY ALL HAVING median(score) > 0", "results")
+MART = f"(SELECT *, median_s / min(median_s) OVER (PARTITION BY round) AS rel_pace FROM (SELECT round, driver, count(*) AS n_laps, median(lap_time_s) AS median_s FROM {clean(4.0)} GROUP BY ALL HAVING count(*) >= 5))"
+
+
+@query(f"SELECT round, driver, n_laps, round(median_s, 4) AS median_s, round(rel_pace, 6) AS rel_pace FROM {MART}", "laps")
 def mart_driver_pace(t):
-    return t("results").groupBy("season", "round", "driver").agg(F.median("score").alias("m")).where("m > 0")
+    d = D.driver_pace(L.clean_laps(t("laps"), 4.0), ["round"])
+    return d.withColumns({"median_s": F.round("median_s", 4), "rel_pace": F.round("rel_pace", 6)})
+
+
+@query(f"SELECT s_name AS name, count(*) AS events, round(avg(rel_pace), 4) AS mean_rel_pace FROM {MART} JOIN supplier ON s_suppkey = driver GROUP BY 1 ORDER BY 3, 1 LIMIT 10", "laps")
+def fastest_names(t):
+    """Each driver at hand has one round, so one event is enough."""
+    names = t("supplier").select(F.col("s_suppkey").alias("driver"), F.col("s_name").alias("name"))
+    return D.pace_by_name(D.driver_pace(L.clean_laps(t("laps"), 4.0), ["round"]), names, ["driver"], 1)
 
 
 @query("SELECT round, compound, round(median(lap_time_s), 3) AS median_s, count(*) AS n FROM laps GROUP BY ALL HAVING count(*) > 50", "laps")
@@ -1140,3 +1152,51 @@ def elo_seasons(t):
     best = F.struct("position", "driver")
     duels = r.groupBy("season", "round", "team").agg(F.count(F.lit(1)).alias("n"), F.min(best)["driver"].alias("winner"), F.max(best)["driver"].alias("loser")).where("n = 2")
     return E.elo_history(duels.select("season", "round", F.col("team").alias("ord"), "winner", "loser"), ["season"])
+
+
+@query(
+    f"""WITH c AS (SELECT *, count(*) OVER (PARTITION BY round) AS k FROM (SELECT round, compound, median(slope) AS s, median(intercept) AS b, max(n) AS max_age FROM {FITS} WHERE reliable GROUP BY ALL)),
+    base AS (SELECT driver, median(lap_time_s) AS base FROM {clean(100.0)} GROUP BY 1), m AS (SELECT round, median(lap_time_s - base) FILTER (pit_in) AS i, median(lap_time_s - base) FILTER (pit_out) AS o FROM laps JOIN base USING (driver) WHERE NOT contains(track_status, '5') GROUP BY 1)
+    SELECT c.round, compound, round(s + 1e-7, 4) AS slope, round(b + s + 1e-7, 3) AS base_s, max_age, n_laps, round(round(i, 6) + round(o, 6), 6) AS pit_loss_s FROM c JOIN (SELECT round, max(lap_number) AS n_laps FROM laps GROUP BY 1) n ON n.round = c.round LEFT JOIN m ON m.round = c.round WHERE k >= 2""",
+    "laps",
+)
+def race_configs(t):
+    laps = t("laps")
+    base = L.clean_laps(laps, 100.0).groupBy("driver").agg(F.median("lap_time_s").alias("base"))
+    return D.race_configs(L.degradation(laps, 100.0, 4), laps, L.pit_loss(laps, base=base), ["round"])
+
+
+@query()
+def circuits(t):
+    """Every driver of the laps is asked for as a circuit; who has no telemetry keeps a row."""
+    tele = t("telemetry").withColumnRenamed("driver", "circuit")
+    asked = t("laps").select(F.col("driver").alias("circuit")).distinct()
+    return D.circuit_dimension(asked, tele, tele.where("source = 'purchase'"), ["circuit"])
+
+
+@query(
+    """SELECT round, lap_number, round(stddev_samp(lap_time_s), 4) AS std_s, round(avg(speed_fl), 4) AS mean_speed, count(lap_time_s) AS n FROM laps WHERE is_accurate GROUP BY 1, 2 HAVING count(lap_time_s) >= 10""",
+    "laps",
+)
+def field_features(t):
+    return D.field_features(t("laps"), ["round"]).withColumns({"std_s": F.round("std_s", 4), "mean_speed": F.round("mean_speed", 4)})
+
+
+# Weather of a round: that of all its posts, the warmer of two at one time; laps at the time of their start. Times spread wide, so 20,000 s from the median are near.
+@query(
+    f"""WITH w AS (SELECT session % (SELECT max(round) FROM laps) + 1 AS round, (t_us - 1704067200000000) // 100000 AS t_ms, max(track_temp) AS track_temp, bool_or(rainfall) AS rainfall FROM weather GROUP BY 1, 2),
+    l AS (SELECT l.round, l.driver, l.tyre_life, {FUEL} AS corrected_s, w.track_temp, w.rainfall FROM laps l ASOF JOIN w ON w.round = l.round AND l.end_ms - l.lap_ms >= w.t_ms),
+    d AS (SELECT *, corrected_s - median(corrected_s) OVER (PARTITION BY round, driver) AS rel FROM l WHERE NOT rainfall), n AS (SELECT *, abs(rel) < 20000 AS near FROM d),
+    s AS (SELECT round, regr_slope(corrected_s, track_temp) AS ns, regr_r2(corrected_s, track_temp) AS nr, count(*) AS al, count(*) FILTER (near) AS n, avg(track_temp) FILTER (near) AS mx, avg(tyre_life) FILTER (near) AS mz, avg(rel) FILTER (near) AS my,
+      var_pop(track_temp) FILTER (near) AS xx, var_pop(tyre_life) FILTER (near) AS zz, var_pop(rel) FILTER (near) AS yy, covar_pop(track_temp, tyre_life) FILTER (near) AS xz, covar_pop(track_temp, rel) FILTER (near) AS xy, covar_pop(tyre_life, rel) FILTER (near) AS zy FROM n GROUP BY 1),
+    b AS (SELECT *, xx * zz - xz * xz AS det FROM s), f AS (SELECT *, (xy * zz - zy * xz) / det AS b, (zy * xx - xy * xz) / det AS c FROM b WHERE det > 1e-9 AND yy > 0 AND n >= 20)
+    SELECT round, round(ns, 6) AS naive_slope, round(nr, 6) AS naive_r2, round(zy * zy / zz / yy, 6) AS r2_tyre, round((b * xy + c * zy) / yy, 6) AS r2_full, round(b, 6) AS coef_temp, round(sqrt(greatest(yy - b * xy - c * zy, 0) / (n - 3) * zz / det), 6) AS se_temp, round(c, 6) AS coef_tyre, round(my - b * mx - c * mz, 4) AS intercept, n FROM f""",
+    "laps",
+    "weather",
+)
+def temperature_effect(t):
+    rounds = t("laps").agg(F.max("round").alias("k"))
+    log = t("weather").join(F.broadcast(rounds), F.lit(True))  # one row
+    log = log.groupBy((F.col("session") % F.col("k") + 1).alias("round"), F.floor((F.col("t_us") - 1704067200000000) / 100000).alias("t_ms")).agg(F.max("track_temp").alias("track_temp"), F.bool_or("rainfall").alias("rainfall"))
+    laps = t("laps").select("round", "driver", F.col("tyre_life").cast("double").alias("tyre_life"), L.fuel_corrected().alias("corrected_s"), (F.col("end_ms") - F.col("lap_ms")).alias("t_ms"))
+    return D.temperature_effect(T.asof_join(laps, log, ["round"], "t_ms", ["track_temp", "rainfall"]).where("track_temp is not null"), ["round"], 20_000.0)
