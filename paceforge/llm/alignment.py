@@ -33,7 +33,7 @@ from paceforge.llm.common import written
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT_UNITS = 200_000
+KEPT_UNITS = 100_000
 DOC_SHIFT = 40  # a document-end key is the document's place in the chunk and the byte offset of an end
 
 
@@ -220,6 +220,7 @@ def align_chunks(rows: DataFrame, byte_bpe: bytes, piece_bpe: bytes, chunk_bytes
                 own = [pa.array([number], pa.int64()), *(pa.nulls(1, k) for k in [*list(kinds.values())[1:], *list(lists.values())[:2]]), *(pa.array([p.astype(np.int64)], pa.list_(pa.int64())) for p in pairs)]
                 yield pa.RecordBatch.from_arrays(own, schema=schema)
             number += 1
+            pa.default_memory_pool().release_unused()
 
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -258,7 +259,7 @@ def _sum_counts(docs, counts):
     return pa.table([*(docs.column(c) for c in names), *sums], names=[*names, "n_best", "count_sum"])
 
 
-def aligned_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 4 << 20) -> DataFrame:
+def aligned_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 2 << 20) -> DataFrame:
     """The written table of ``align_chunks`` over all documents. Vocabulary files are read on the driver and sent with the job."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     with open(byte_bpe, "rb") as f, open(piece_bpe, "rb") as g:
@@ -276,7 +277,7 @@ def _pairs(chunks: DataFrame) -> DataFrame:
     return listed.select("chunk", "place", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_n").alias("n"))
 
 
-def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 4 << 20) -> DataFrame:
+def align_tokenizers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A encodes the text after a space, B adds its own. Links are all pairs of an A and a B token
