@@ -1,10 +1,12 @@
-"""Cars on the track by sampled position: who is next ahead, attempts to pass, and where a pass happened."""
+"""Cars on the track by sampled position: who is next ahead, attempts to pass, where a pass happened, and what following costs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceforge.operators.laps import fuel_corrected
+
 
 def driver_ahead(samples: DataFrame, keys: list[str], length_m: float, bucket_us: int) -> DataFrame:
     """The next car round the circle for every car and time bucket: keys, driver, lap_number, bucket, t_us, place_m, ahead, gap_m.
@@ -66,3 +68,37 @@ def locate_overtakes(events: DataFrame, following: DataFrame, zones: DataFrame,
     inside = found.withColumn("cell", F.floor(F.col("place_m") / width)).join(cells, [*zone_keys, "cell"], "left")
     hit = F.coalesce(F.col("place_m").between(F.col("start_m"), F.col("end_m")), F.lit(False))
     return inside.groupBy(*keys, "lap_number", "gainer", "loser", "place_m").agg(F.bool_or(hit).alias("in_zone"))
+
+
+def following_laps(following: DataFrame, laps: DataFrame, keys: list[str], near_m: float = 50.0) -> DataFrame:
+    """Each green lap against the car ahead: keys, driver, lap_number, sec_fuel, median_m, least_m, near_pct, compound, tyre_life.
+
+    A gap of zero is unknown: it is neither in the median nor the least, but among the samples
+    that near_pct is a share of. Box laps, inaccurate laps and laps without a time or a sample have no row.
+    A lap's samples are one group.
+    """
+    gap = F.nullif("gap_m", F.lit(0.0))
+    seen = following.groupBy(*keys, "driver", "lap_number").agg(
+        F.round(F.median(gap), 4).alias("median_m"), F.min(gap).alias("least_m"), F.round(F.avg(F.coalesce(gap < near_m, F.lit(False)).cast("double")) * 100, 4).alias("near_pct")
+    )
+    raced = laps.where("track_status = '1' and is_accurate and not pit_in and not pit_out and lap_time_s is not null")
+    raced = raced.select(*keys, "driver", "lap_number", F.round(fuel_corrected(), 4).alias("sec_fuel"), "compound", "tyre_life")
+    return raced.join(seen, [*keys, "driver", "lap_number"]).select(*keys, "driver", "lap_number", "sec_fuel", "median_m", "least_m", "near_pct", "compound", "tyre_life")
+
+
+def following_cost(report: DataFrame, keys: list[str], far_m: float = 500.0, least: int = 5) -> DataFrame:
+    """Seconds that a percent of a lap spent near costs: keys, driver, n, slope, intercept, r2 of a driver's laps (``following_laps``).
+
+    Laps with a median gap of ``far_m`` or more are left out, as are laps without one. The line over
+    tyre age is taken off first. Under ``least`` laps, with a single tyre age or always the same
+    share near, the three figures are null.
+    """
+    w = Window.partitionBy(*keys, "driver")
+    d = report.where(F.col("median_m").isNotNull() & F.col("tyre_life").isNotNull() & (F.col("median_m") < far_m))
+    d = d.withColumn("rest", F.col("sec_fuel") - F.regr_slope("sec_fuel", "tyre_life").over(w) * F.col("tyre_life"))
+    out = d.groupBy(*keys, "driver").agg(
+        F.count(F.lit(1)).alias("n"), F.min("tyre_life").alias("lo"), F.max("tyre_life").alias("hi"), F.min("near_pct").alias("p0"), F.max("near_pct").alias("p1"),
+        F.regr_slope("rest", "near_pct").alias("s"), F.regr_intercept("rest", "near_pct").alias("i"), F.regr_r2("rest", "near_pct").alias("r"),
+    )
+    ok = (F.col("n") >= least) & (F.col("lo") < F.col("hi")) & (F.col("p0") < F.col("p1"))
+    return out.select(*keys, "driver", "n", *(F.when(ok, F.round(F.col(c) + 1e-7, 4)).alias(name) for c, name in (("s", "slope"), ("i", "intercept"), ("r", "r2"))))

@@ -1,12 +1,19 @@
-"""Lap-level operators: which laps count, pace, stints, degradation, pit stops."""
+"""Lap-level operators: which laps count, pace, stints, degradation, pit stops.
+
+``keys`` names the columns of a session, such as season, round and session; every best lap,
+median, rank and previous lap stays inside one. Tables of a single season need only the round.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FUEL_KG_PER_LAP, FUEL_S_PER_KG = 1.8, 0.03
 MAD_FACTOR, MAD_LIMIT = 0.6745, 3.5
+KEYS = ("round",)
 
 
 def valid(deleted: str = "deleted") -> Column:
@@ -19,9 +26,9 @@ def fuel_corrected(time: str = "lap_time_s", lap: str = "lap_number", total: str
     return F.col(time) - (F.col(total) - F.col(lap)) * F.lit(FUEL_KG_PER_LAP * FUEL_S_PER_KG)
 
 
-def lap_filters(threshold: float) -> list[tuple[str, Column]]:
+def lap_filters(threshold: float, keys: Sequence[str] = KEYS) -> list[tuple[str, Column]]:
     """The cleaning steps in order; the last compares with the session's best lap of all laps."""
-    best = F.min("lap_ms").over(Window.partitionBy("round"))
+    best = F.min("lap_ms").over(Window.partitionBy(*keys))
     return [
         ("no_box", ~F.col("pit_in") & ~F.col("pit_out")),
         ("accurate", F.col("is_accurate")),
@@ -31,16 +38,16 @@ def lap_filters(threshold: float) -> list[tuple[str, Column]]:
     ]
 
 
-def clean_laps(laps: DataFrame, threshold: float = 1.07) -> DataFrame:
+def clean_laps(laps: DataFrame, threshold: float = 1.07, keys: Sequence[str] = KEYS) -> DataFrame:
     keep = F.lit(True)
-    for _, step in lap_filters(threshold):
+    for _, step in lap_filters(threshold, keys):
         keep = keep & step
     return laps.withColumn("__keep", keep).where("__keep").drop("__keep")
 
 
-def quality_funnel(laps: DataFrame, threshold: float = 1.07) -> DataFrame:
+def quality_funnel(laps: DataFrame, threshold: float = 1.07, keys: Sequence[str] = KEYS) -> DataFrame:
     """Laps left after each step, from one pass over the laps."""
-    steps = lap_filters(threshold)
+    steps = lap_filters(threshold, keys)
     flags, so_far = laps, F.lit(True)
     for name, step in steps:
         flags = flags.withColumn(f"__{name}", step)
@@ -48,10 +55,10 @@ def quality_funnel(laps: DataFrame, threshold: float = 1.07) -> DataFrame:
     for name, _ in steps:
         so_far = so_far & F.col(f"__{name}")
         sums.append(F.count_if(so_far).alias(name))
-    wide = flags.groupBy("round").agg(*sums)
+    wide = flags.groupBy(*keys).agg(*sums)
     names = ["all", *(n for n, _ in steps)]
     pairs = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(n).alias("filter"), F.col(f"`{n}`").alias("n_laps")) for i, n in enumerate(names)))
-    return wide.select("round", F.explode(pairs).alias("p")).select("round", "p.*")
+    return wide.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
 
 
 def with_mad(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -62,34 +69,34 @@ def with_mad(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return out.withColumn("mad_outlier", F.coalesce(scaled > MAD_LIMIT, F.lit(False))).drop("__apart", "__mad")
 
 
-def outlier_classes(laps: DataFrame, threshold: float = 1.07) -> DataFrame:
+def outlier_classes(laps: DataFrame, threshold: float = 1.07, keys: Sequence[str] = KEYS) -> DataFrame:
     """How the quick-lap rule and the MAD rule agree, lap by lap, counted per round."""
-    slow = F.col("lap_ms") >= F.lit(threshold) * F.min("lap_ms").over(Window.partitionBy("round"))
-    seen = with_mad(laps.withColumn("slow", slow), "lap_time_s", "driver")
+    slow = F.col("lap_ms") >= F.lit(threshold) * F.min("lap_ms").over(Window.partitionBy(*keys))
+    seen = with_mad(laps.withColumn("slow", slow), "lap_time_s", *keys, "driver")
     kind = F.when(F.col("slow") & F.col("mad_outlier"), "both").when(F.col("slow"), "threshold_only").when(F.col("mad_outlier"), "mad_only").otherwise("kept")
-    return seen.groupBy("round", kind.alias("category")).agg(F.count(F.lit(1)).alias("n_laps"))
+    return seen.groupBy(*keys, kind.alias("category")).agg(F.count(F.lit(1)).alias("n_laps"))
 
 
-def race_pace(laps: DataFrame, threshold: float = 1.07, min_laps: int = 8) -> DataFrame:
+def race_pace(laps: DataFrame, threshold: float = 1.07, min_laps: int = 8, keys: Sequence[str] = KEYS) -> DataFrame:
     """Median fuel-corrected time per driver over clean laps."""
-    pace = clean_laps(laps, threshold).withColumn("t", fuel_corrected())
-    return pace.groupBy("round", "driver").agg(F.count("t").alias("n_laps"), F.min("team").alias("team"), F.median("t").alias("pace")).where(F.col("n_laps") >= min_laps)
+    pace = clean_laps(laps, threshold, keys).withColumn("t", fuel_corrected())
+    return pace.groupBy(*keys, "driver").agg(F.count("t").alias("n_laps"), F.min("team").alias("team"), F.median("t").alias("pace")).where(F.col("n_laps") >= min_laps)
 
 
-def pace_table(laps: DataFrame, **kw) -> DataFrame:
-    pace = race_pace(laps, **kw)
-    gap = F.col("pace") - F.min("pace").over(Window.partitionBy("round"))
-    return pace.select("round", "driver", "team", "n_laps", F.round("pace", 4).alias("pace_s"), F.round(gap, 4).alias("delta_s"))
+def pace_table(laps: DataFrame, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
+    pace = race_pace(laps, keys=keys, **kw)
+    gap = F.col("pace") - F.min("pace").over(Window.partitionBy(*keys))
+    return pace.select(*keys, "driver", "team", "n_laps", F.round("pace", 4).alias("pace_s"), F.round(gap, 4).alias("delta_s"))
 
 
-def stints(laps: DataFrame) -> DataFrame:
-    return laps.groupBy("round", "driver", "stint", "compound").agg(F.min("lap_number").alias("first_lap"), F.max("lap_number").alias("last_lap"), F.count("lap_number").alias("n_laps"))
+def stints(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return laps.groupBy(*keys, "driver", "stint", "compound").agg(F.min("lap_number").alias("first_lap"), F.max("lap_number").alias("last_lap"), F.count("lap_number").alias("n_laps"))
 
 
-def stint_positions(laps: DataFrame) -> DataFrame:
+def stint_positions(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Places won or lost between a stint's first and last lap."""
     return (
-        laps.groupBy("round", "driver", "stint").agg(F.min_by("position", "lap_number").alias("start_position"), F.max_by("position", "lap_number").alias("end_position"))
+        laps.groupBy(*keys, "driver", "stint").agg(F.min_by("position", "lap_number").alias("start_position"), F.max_by("position", "lap_number").alias("end_position"))
         .withColumn("gained", F.col("start_position") - F.col("end_position"))
     )
 
@@ -100,10 +107,10 @@ def guarded_fit(x: str, y: str) -> list[Column]:
     return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), r2.alias("r2"), F.regr_count(y, x).alias("n")]
 
 
-def degradation(laps: DataFrame, threshold: float = 1.10, min_laps: int = 6) -> DataFrame:
+def degradation(laps: DataFrame, threshold: float = 1.10, min_laps: int = 6, keys: Sequence[str] = KEYS) -> DataFrame:
     """Line of corrected time over tyre age for each stint and compound; constant ages have none."""
-    pace = clean_laps(laps, threshold).withColumn("t", fuel_corrected())
-    fits = pace.groupBy("round", "driver", "stint", "compound").agg(*guarded_fit("tyre_life", "t"), F.min("tyre_life").alias("lo"), F.max("tyre_life").alias("hi"), F.min_by("fresh_tyre", "lap_number").alias("fresh"))
+    pace = clean_laps(laps, threshold, keys).withColumn("t", fuel_corrected())
+    fits = pace.groupBy(*keys, "driver", "stint", "compound").agg(*guarded_fit("tyre_life", "t"), F.min("tyre_life").alias("lo"), F.max("tyre_life").alias("hi"), F.min_by("fresh_tyre", "lap_number").alias("fresh"))
     fits = fits.where((F.col("n") >= min_laps) & (F.col("lo") < F.col("hi"))).drop("lo", "hi")
     return fits.withColumn("reliable", (F.col("n") >= 6) & (F.col("r2") >= 0.3))
 
@@ -116,14 +123,14 @@ def tyre_models(fits: DataFrame) -> DataFrame:
     return fits.groupBy("compound").agg(F.round(F.median("slope"), 4).alias("slope"), F.round(F.median("intercept"), 4).alias("base"), F.count(F.lit(1)).alias("n_stints"))
 
 
-def stint_cliff(laps: DataFrame, min_segment: int = 4) -> DataFrame:
+def stint_cliff(laps: DataFrame, min_segment: int = 4, keys: Sequence[str] = KEYS) -> DataFrame:
     """Two-line fit of every stint: the split with the least squared error, if it pays.
 
     Prefix sums over the stint in order of tyre age give both sides' error at each split
     in closed form. A cliff needs 8 laps, a total error of at most 0.8 of the single line's
     and a steeper right side. y is centred first, as the sums would cancel otherwise.
     """
-    key = ["round", "driver", "stint"]
+    key = [*keys, "driver", "stint"]
     w = Window.partitionBy(*key)
     run = w.orderBy("tyre_life", "lap_number").rowsBetween(Window.unboundedPreceding, 0)
     d = laps.select(*key, "lap_number", F.col("tyre_life").cast("double").alias("x"), "tyre_life", (F.col("lap_time_s") - F.avg("lap_time_s").over(w)).alias("y"))
@@ -146,25 +153,25 @@ def stint_cliff(laps: DataFrame, min_segment: int = 4) -> DataFrame:
     return best.where((F.col("single") >= 1e-6) & (F.col("sse") <= 0.8 * F.col("single")) & (F.col("rs") > F.col("ls"))).select(*key, F.col("next_x").cast("bigint").alias("cliff_age"))
 
 
-def pit_loss(laps: DataFrame, exclude_red: bool = True, base: DataFrame | None = None) -> DataFrame:
-    """Median excess of in-laps plus median excess of out-laps over the driver's clean median."""
+def pit_loss(laps: DataFrame, exclude_red: bool = True, base: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Median excess of in-laps plus median excess of out-laps over the driver's clean median of the session, or over ``base``'s."""
     if base is None:
-        base = clean_laps(laps, 1.10).groupBy("driver").agg(F.median("lap_time_s").alias("base"))
+        base = clean_laps(laps, 1.10, keys).groupBy(*keys, "driver").agg(F.median("lap_time_s").alias("base"))
     used = laps.where(~F.coalesce(F.col("track_status").contains("5"), F.lit(False))) if exclude_red else laps
     extra = F.col("lap_time_s") - F.col("base")
     return (
-        used.join(base, "driver").groupBy("round")
+        used.join(base, [c for c in (*keys, "driver") if c in base.columns]).groupBy(*keys)
         .agg(F.round(F.median(F.when(F.col("pit_in"), extra)), 6).alias("in_loss_s"), F.round(F.median(F.when(F.col("pit_out"), extra)), 6).alias("out_loss_s"))
         .withColumn("pit_loss_s", F.round(F.col("in_loss_s") + F.col("out_loss_s"), 6))
     )
 
 
-def pit_stops(laps: DataFrame) -> DataFrame:
+def pit_stops(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """In-lap with the out-lap that follows at once: compounds before and after, and the time both took."""
-    w = Window.partitionBy("round", "driver").orderBy("lap_number")
+    w = Window.partitionBy(*keys, "driver").orderBy("lap_number")
     follows = (F.lead("lap_number").over(w) == F.col("lap_number") + 1) & F.lead("pit_out").over(w)
     d = laps.withColumn("after", F.when(follows, F.lead("compound").over(w))).withColumn("out_ms", F.when(follows, F.lead("lap_ms").over(w)))
-    return d.where("pit_in").select("round", "driver", "team", F.col("lap_number").alias("in_lap"), "stint", F.col("compound").alias("compound_before"), F.col("after").alias("compound_after"), ((F.col("lap_ms") + F.col("out_ms")) / 1000).alias("duration_s"))
+    return d.where("pit_in").select(*keys, "driver", "team", F.col("lap_number").alias("in_lap"), "stint", F.col("compound").alias("compound_before"), F.col("after").alias("compound_after"), ((F.col("lap_ms") + F.col("out_ms")) / 1000).alias("duration_s"))
 
 
 def team_pit_ranking(stops: DataFrame, low: float, high: float) -> DataFrame:
@@ -173,59 +180,59 @@ def team_pit_ranking(stops: DataFrame, low: float, high: float) -> DataFrame:
     return d.groupBy("team").agg(F.round(F.median("duration_s"), 4).alias("median_s"), F.min("duration_s").alias("best_s"), F.round(q(0.75) - q(0.25), 6).alias("iqr_s"), F.count(F.lit(1)).alias("n_stops"))
 
 
-def pit_window_pressure(stops: DataFrame, crowd: int = 4) -> DataFrame:
+def pit_window_pressure(stops: DataFrame, crowd: int = 4, keys: Sequence[str] = KEYS) -> DataFrame:
     """Median stop alone on a lap against laps on which ``crowd`` or more stop."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("round", "in_lap"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "in_lap"))
     d = stops.where("duration_s is not null").withColumn("n", n)
-    return d.groupBy("round").agg(
+    return d.groupBy(*keys).agg(
         F.round(F.median(F.when(F.col("n") == 1, F.col("duration_s"))), 4).alias("alone_s"), F.round(F.median(F.when(F.col("n") >= crowd, F.col("duration_s"))), 4).alias("crowd_s"),
         F.count_if(F.col("n") == 1).alias("n_alone"), F.count_if(F.col("n") >= crowd).alias("n_crowd"),
     )
 
 
-def best_sectors(laps: DataFrame) -> DataFrame:
+def best_sectors(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Theoretical best lap from a driver's best sectors."""
-    d = laps.groupBy("round", "driver").agg(*(F.min(f"s{i}_ms").alias(f"s{i}_ms") for i in (1, 2, 3)), F.min("lap_ms").alias("best_ms"))
+    d = laps.groupBy(*keys, "driver").agg(*(F.min(f"s{i}_ms").alias(f"s{i}_ms") for i in (1, 2, 3)), F.min("lap_ms").alias("best_ms"))
     return d.withColumn("ideal_ms", F.col("s1_ms") + F.col("s2_ms") + F.col("s3_ms")).withColumn("unused_ms", F.col("best_ms") - F.col("ideal_ms"))
 
 
-def speed_traps(laps: DataFrame) -> DataFrame:
+def speed_traps(laps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     traps = ("speed_i1", "speed_i2", "speed_fl", "speed_st")
-    return laps.groupBy("driver").agg(*(F.round(F.max(t), 3).alias(t) for t in traps)).withColumn("top", F.greatest(*traps))
+    return laps.groupBy(*keys, "driver").agg(*(F.round(F.max(t), 3).alias(t) for t in traps)).withColumn("top", F.greatest(*traps))
 
 
-def teammate_duels(laps: DataFrame) -> DataFrame:
+def teammate_duels(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Teams of exactly two drivers in a round: the faster by best lap, the slower, and the gap."""
-    best = laps.groupBy("round", "team", "driver").agg(F.min("lap_ms").alias("ms"))
-    w = Window.partitionBy("round", "team")
+    best = laps.groupBy(*keys, "team", "driver").agg(F.min("lap_ms").alias("ms"))
+    w = Window.partitionBy(*keys, "team")
     d = best.withColumn("k", F.row_number().over(w.orderBy("ms", "driver"))).withColumn("n", F.count(F.lit(1)).over(w)).where("n = 2")
     pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    out = d.groupBy("round", "team").agg(pick("driver", 1).alias("faster"), pick("driver", 2).alias("slower"), pick("ms", 1).alias("a"), pick("ms", 2).alias("b"))
-    return out.select("round", "team", "faster", "slower", (F.col("b") - F.col("a")).alias("gap_ms"), F.round((F.col("b") - F.col("a")) / F.col("a") * 100, 4).alias("gap_pct"))
+    out = d.groupBy(*keys, "team").agg(pick("driver", 1).alias("faster"), pick("driver", 2).alias("slower"), pick("ms", 1).alias("a"), pick("ms", 2).alias("b"))
+    return out.select(*keys, "team", "faster", "slower", (F.col("b") - F.col("a")).alias("gap_ms"), F.round((F.col("b") - F.col("a")) / F.col("a") * 100, 4).alias("gap_pct"))
 
 
-def field_spread(laps: DataFrame) -> DataFrame:
-    return laps.where("position is not null").groupBy("round", "lap_number").agg((F.max("end_ms") - F.min("end_ms")).alias("spread_ms"), F.count(F.lit(1)).alias("n_cars"))
+def field_spread(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return laps.where("position is not null").groupBy(*keys, "lap_number").agg((F.max("end_ms") - F.min("end_ms")).alias("spread_ms"), F.count(F.lit(1)).alias("n_cars"))
 
 
-def common_compound(laps: DataFrame) -> DataFrame:
+def common_compound(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Most used compound per lap (ties: first by name) and its share."""
-    n = laps.groupBy("round", "lap_number", "compound").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("round", "lap_number")
+    n = laps.groupBy(*keys, "lap_number", "compound").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys, "lap_number")
     d = n.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "compound"))).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4))
-    return d.where("k = 1").select("round", "lap_number", "compound", "share")
+    return d.where("k = 1").select(*keys, "lap_number", "compound", "share")
 
 
-def rolling_pace(laps: DataFrame, size: int = 5, least: int = 3) -> DataFrame:
+def rolling_pace(laps: DataFrame, size: int = 5, least: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Median of a driver's last ``size`` laps once there are ``least``."""
-    w = Window.partitionBy("driver").orderBy("lap_number").rowsBetween(1 - size, 0)
-    return laps.select("driver", "lap_number", F.when(F.count("lap_time_s").over(w) >= least, F.percentile("lap_time_s", F.lit(0.5)).over(w)).alias("rolling_s")).where("rolling_s is not null").withColumn("rolling_s", F.round("rolling_s", 4))
+    w = Window.partitionBy(*keys, "driver").orderBy("lap_number").rowsBetween(1 - size, 0)
+    return laps.select(*keys, "driver", "lap_number", F.when(F.count("lap_time_s").over(w) >= least, F.percentile("lap_time_s", F.lit(0.5)).over(w)).alias("rolling_s")).where("rolling_s is not null").withColumn("rolling_s", F.round("rolling_s", 4))
 
 
-def current_board(rolling: DataFrame) -> DataFrame:
+def current_board(rolling: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Each driver's latest rolling pace, fastest first."""
-    w = Window.partitionBy("driver").orderBy(F.desc("lap_number"))
-    return rolling.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k").orderBy(F.asc_nulls_last("rolling_s"), "driver")
+    w = Window.partitionBy(*keys, "driver").orderBy(F.desc("lap_number"))
+    return rolling.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k").orderBy(*keys, F.asc_nulls_last("rolling_s"), "driver")
 
 
 def fastest_laps(laps: DataFrame, keys: list[str]) -> DataFrame:
@@ -254,40 +261,40 @@ def lap_spine(laps: DataFrame, keys: list[str]) -> DataFrame:
     return spine.join(seen, [*keys, "lap_number"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
-def stint_offsets(laps: DataFrame) -> DataFrame:
+def stint_offsets(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Laps of each stint and where it starts when a driver's stints are stacked."""
-    w = Window.partitionBy("round", "driver").orderBy("stint").rowsBetween(Window.unboundedPreceding, -1)
-    d = laps.groupBy("round", "driver", "stint").agg(F.count(F.lit(1)).alias("n_laps"))
+    w = Window.partitionBy(*keys, "driver").orderBy("stint").rowsBetween(Window.unboundedPreceding, -1)
+    d = laps.groupBy(*keys, "driver", "stint").agg(F.count(F.lit(1)).alias("n_laps"))
     return d.withColumn("start_at", F.coalesce(F.sum("n_laps").over(w), F.lit(0).cast("bigint")))
 
 
-def neutral_stops(stops: DataFrame, laps: DataFrame) -> DataFrame:
+def neutral_stops(stops: DataFrame, laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Stops by the track status of their in-lap: green, neutral (safety car, real or virtual) or other."""
-    status = laps.select("round", "driver", F.col("lap_number").alias("in_lap"), "track_status")
+    status = laps.select(*keys, "driver", F.col("lap_number").alias("in_lap"), "track_status")
     kind = F.when(F.col("track_status").rlike("[467]"), "neutral").when(F.col("track_status") == "1", "green").otherwise("other")
-    d = stops.join(status, ["round", "driver", "in_lap"]).withColumn("kind", kind)
-    return d.groupBy("round", "kind").agg(F.count(F.lit(1)).alias("n_stops"), F.round(F.median("duration_s"), 4).alias("median_s"))
+    d = stops.join(status, [*keys, "driver", "in_lap"]).withColumn("kind", kind)
+    return d.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n_stops"), F.round(F.median("duration_s"), 4).alias("median_s"))
 
 
-def session_evolution(laps: DataFrame) -> DataFrame:
+def session_evolution(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Laps that were the session's quickest when they ended."""
-    w = Window.partitionBy("round").orderBy("end_ms", "driver", "lap_number").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy("end_ms", "driver", "lap_number").rowsBetween(Window.unboundedPreceding, -1)
     d = laps.withColumn("before", F.min("lap_ms").over(w))
-    return d.where(F.col("before").isNull() | (F.col("lap_ms") < F.col("before"))).select("round", "driver", "lap_number", "end_ms", "lap_ms", (F.col("before") - F.col("lap_ms")).alias("gain_ms"))
+    return d.where(F.col("before").isNull() | (F.col("lap_ms") < F.col("before"))).select(*keys, "driver", "lap_number", "end_ms", "lap_ms", (F.col("before") - F.col("lap_ms")).alias("gain_ms"))
 
 
-def lap_features(laps: DataFrame) -> DataFrame:
+def lap_features(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The field on each lap: cars, median time, share of box laps, share of fresh tyres."""
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
-    return laps.groupBy("round", "lap_number").agg(
+    return laps.groupBy(*keys, "lap_number").agg(
         F.count(F.lit(1)).alias("n_cars"), F.round(F.median("lap_time_s"), 4).alias("median_s"), share("pit_in").alias("pit_share"), share("fresh_tyre").alias("fresh_share")
     )
 
 
-def lap_histogram(laps: DataFrame, width_ms: int) -> DataFrame:
+def lap_histogram(laps: DataFrame, width_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Laps of a round by bins of equal width."""
     at = F.floor(F.col("lap_ms") / F.lit(width_ms)) * width_ms
-    return laps.groupBy("round", at.cast("bigint").alias("from_ms")).agg(F.count(F.lit(1)).alias("n"))
+    return laps.groupBy(*keys, at.cast("bigint").alias("from_ms")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def set_overlap(laps: DataFrame, keys: list[str], a: Column, b: Column, item: str = "driver") -> DataFrame:

@@ -2,61 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceforge.operators.laps import KEYS
+
 PENALTY = r"(?i)(?:(\d+) SECOND )?(TIME PENALTY|STOP/GO PENALTY|DRIVE.?THROUGH PENALTY|REPRIMAND) FOR CAR (\d+) \(([A-Z0-9]+)\)(?: - (.*))?"
 TRACK_LIMITS = r"(?i)CAR (\d+) \(([A-Z0-9]+)\).*TRACK LIMITS AT TURN (\d+)"
 TRACK_LIMITS_LAP = r"(?i)TRACK LIMITS AT TURN \d+ LAP (\d+)"
 
 
-def position_progression(laps: DataFrame, who: str = "driver") -> DataFrame:
+def position_progression(laps: DataFrame, who: str = "driver", keys: Sequence[str] = KEYS) -> DataFrame:
     """Best position of each driver (or team) on each lap, long."""
-    return laps.groupBy("round", "lap_number", who).agg(F.min("position").alias("position"))
+    return laps.groupBy(*keys, "lap_number", who).agg(F.min("position").alias("position"))
 
 
-def position_table(laps: DataFrame, who: str, values: list[int]) -> DataFrame:
+def position_table(laps: DataFrame, who: str, values: list[int], keys: Sequence[str] = KEYS) -> DataFrame:
     """The same, wide; the columns are given so that no pass has to find them."""
-    return laps.groupBy("round", "lap_number").pivot(who, values).agg(F.min("position"))
+    return laps.groupBy(*keys, "lap_number").pivot(who, values).agg(F.min("position"))
 
 
-def with_previous(laps: DataFrame) -> DataFrame:
+def with_previous(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Position and pit stop on the lap before; null where that lap is missing."""
-    w = Window.partitionBy("round", "driver").orderBy("lap_number")
+    w = Window.partitionBy(*keys, "driver").orderBy("lap_number")
     before = F.lag("lap_number").over(w) == F.col("lap_number") - 1
     return laps.withColumn("prev", F.when(before, F.lag("position").over(w))).withColumn("prev_pit", F.when(before, F.lag("pit_in").over(w)))
 
 
-def overtake_events(laps: DataFrame) -> DataFrame:
+def overtake_events(laps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Ordered pairs that swapped places from one lap to the next, both on green laps.
 
     Dropped when the loser pits on this lap or the gainer pitted on the one before. Cars
-    meet on round and lap, so the join is one hash exchange; its group is a field of cars.
+    meet on session and lap, so the join is one hash exchange; its group is a field of cars.
     """
-    d = with_previous(laps).where("prev is not null and track_status = '1'")
-    a = d.where("not coalesce(prev_pit, false)").select("round", "lap_number", F.col("driver").alias("gainer"), F.col("prev").alias("p_a"), F.col("position").alias("c_a"))
-    b = d.where("not pit_in").select("round", "lap_number", F.col("driver").alias("loser"), F.col("prev").alias("p_b"), F.col("position").alias("c_b"))
-    return a.join(b, ["round", "lap_number"]).where("p_a > p_b and c_a < c_b").select("round", "lap_number", "gainer", "loser")
+    d = with_previous(laps, keys).where("prev is not null and track_status = '1'")
+    a = d.where("not coalesce(prev_pit, false)").select(*keys, "lap_number", F.col("driver").alias("gainer"), F.col("prev").alias("p_a"), F.col("position").alias("c_a"))
+    b = d.where("not pit_in").select(*keys, "lap_number", F.col("driver").alias("loser"), F.col("prev").alias("p_b"), F.col("position").alias("c_b"))
+    return a.join(b, [*keys, "lap_number"]).where("p_a > p_b and c_a < c_b").select(*keys, "lap_number", "gainer", "loser")
 
 
-def overtakes_matrix(events: DataFrame) -> DataFrame:
-    return events.groupBy("round", "gainer", "loser").agg(F.count(F.lit(1)).alias("n"))
+def overtakes_matrix(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return events.groupBy(*keys, "gainer", "loser").agg(F.count(F.lit(1)).alias("n"))
 
 
-def undercut_duels(laps: DataFrame, window: int = 3, after: int = 2) -> DataFrame:
+def undercut_duels(laps: DataFrame, window: int = 3, after: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
     """A driver pits; the car one place ahead on the lap before pits within ``window`` laps; who is ahead ``after`` laps later?"""
-    place = laps.select("round", "lap_number", "driver", "position")
-    stops = laps.where("pit_in").select("round", F.col("driver").alias("chaser"), F.col("lap_number").alias("stop"))
-    chaser = stops.join(place.select("round", F.col("driver").alias("chaser"), (F.col("lap_number") + 1).alias("stop"), F.col("position").alias("pos")), ["round", "chaser", "stop"])
-    ahead = place.select("round", F.col("driver").alias("rival"), (F.col("lap_number") + 1).alias("stop"), (F.col("position") + 1).alias("pos"))
-    duel = chaser.join(ahead, ["round", "stop", "pos"])
-    later = stops.select("round", F.col("chaser").alias("rival"), F.explode(F.sequence(F.col("stop") - window, F.col("stop"))).alias("stop"), F.col("stop").alias("rival_stop"))
+    place = laps.select(*keys, "lap_number", "driver", "position")
+    stops = laps.where("pit_in").select(*keys, F.col("driver").alias("chaser"), F.col("lap_number").alias("stop"))
+    chaser = stops.join(place.select(*keys, F.col("driver").alias("chaser"), (F.col("lap_number") + 1).alias("stop"), F.col("position").alias("pos")), [*keys, "chaser", "stop"])
+    ahead = place.select(*keys, F.col("driver").alias("rival"), (F.col("lap_number") + 1).alias("stop"), (F.col("position") + 1).alias("pos"))
+    duel = chaser.join(ahead, [*keys, "stop", "pos"])
+    later = stops.select(*keys, F.col("chaser").alias("rival"), F.explode(F.sequence(F.col("stop") - window, F.col("stop"))).alias("stop"), F.col("stop").alias("rival_stop"))
     # a rival that stops on the same lap duels for nothing; the first later stop counts
-    met = duel.join(later, ["round", "rival", "stop"]).groupBy("round", "chaser", "rival", "stop").agg(F.min("rival_stop").alias("rival_stop")).where("rival_stop > stop")
+    met = duel.join(later, [*keys, "rival", "stop"]).groupBy(*keys, "chaser", "rival", "stop").agg(F.min("rival_stop").alias("rival_stop")).where("rival_stop > stop")
     at = F.col("rival_stop") + after
-    end = lambda who: place.select("round", F.col("driver").alias(who), F.col("lap_number").alias("at"), F.col("position").alias(f"{who}_pos"))
-    out = met.withColumn("at", at).join(end("chaser"), ["round", "chaser", "at"]).join(end("rival"), ["round", "rival", "at"])
-    return out.select("round", "chaser", "rival", "stop", "rival_stop", (F.col("chaser_pos") < F.col("rival_pos")).alias("success"))
+    end = lambda who: place.select(*keys, F.col("driver").alias(who), F.col("lap_number").alias("at"), F.col("position").alias(f"{who}_pos"))
+    out = met.withColumn("at", at).join(end("chaser"), [*keys, "chaser", "at"]).join(end("rival"), [*keys, "rival", "at"])
+    return out.select(*keys, "chaser", "rival", "stop", "rival_stop", (F.col("chaser_pos") < F.col("rival_pos")).alias("success"))
 
 
 def _group(pattern: str, k: int) -> Column:

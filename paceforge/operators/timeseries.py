@@ -108,11 +108,16 @@ def interpolate(samples: DataFrame, grid: DataFrame, keys: list[str], x: str, y:
     return both.withColumn(y, F.coalesce(F.col("ya") + part * (F.col("yb") - F.col("ya")), "ya", "yb")).drop("xa", "xb", "ya", "yb")
 
 
-def mini_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
-    """Fastest driver through each of n equal stretches of the distance that all drivers of a lap cover; who covers none is left out."""
+def common_stretch(tele: DataFrame) -> DataFrame:
+    """Where each driver's lap starts and ends (lo, hi) and the length that all drivers of the lap cover (len); laps of one driver have no row."""
     top = tele.groupBy("lap_number", "driver").agg(F.min("distance_m").alias("lo"), F.max("distance_m").alias("hi")).where("hi > lo")
     common = top.groupBy("lap_number").agg(F.min(F.col("hi") - F.col("lo")).alias("len"), F.countDistinct("driver").alias("n_drivers")).where("n_drivers >= 2 and len > 0")
-    grid = top.join(common, "lap_number").select("lap_number", "driver", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("edge"), "lo", "len")
+    return top.join(common, "lap_number")
+
+
+def mini_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
+    """Fastest driver through each of n equal stretches of the distance that all drivers of a lap cover; who covers none is left out."""
+    grid = common_stretch(tele).select("lap_number", "driver", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("edge"), "lo", "len")
     grid = grid.select("lap_number", "driver", "edge", (F.col("lo") + F.col("len") * F.col("edge") / n).alias("distance_m"))
     at = interpolate(tele.select("lap_number", "driver", "distance_m", "t_s").groupBy("lap_number", "driver", "distance_m").agg(F.min("t_s").alias("t_s")), grid, ["lap_number", "driver"], "distance_m", "t_s")
     w = Window.partitionBy("lap_number", "driver").orderBy("edge")
@@ -120,6 +125,25 @@ def mini_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
     return d.groupBy("lap_number", "edge").agg(F.min_by("driver", F.struct("dt", "driver")).alias("winner"), F.min("dt").alias("best_s"))
 
 
+def segment_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
+    """The mini sector (edge 1 to n) of every stretch between two samples of a lap, by its middle: lap_number, driver, ord, x, y, to_x, to_y, edge.
+
+    Middles past the common length belong to the last sector. A lap's last sample starts no stretch.
+    """
+    w = Window.partitionBy("lap_number", "driver").orderBy("ord")
+    nxt = lambda c: F.lead(c).over(w)
+    d = tele.withColumns({"to_x": nxt("x"), "to_y": nxt("y"), "middle": (F.col("distance_m") + nxt("distance_m")) / 2}).where("middle is not null")
+    d = d.join(common_stretch(tele), ["lap_number", "driver"])
+    edge = F.floor((F.col("middle") - F.col("lo")) / F.col("len") * n) + 1
+    return d.select("lap_number", "driver", "ord", "x", "y", "to_x", "to_y", F.greatest(F.lit(1), F.least(F.lit(n), edge)).cast("bigint").alias("edge"))
+
+
+def track_winners(tele: DataFrame, n: int = 25) -> DataFrame:
+    """The same with the fastest driver of the sector: the track map of a lap in its winners' colours, drawn along any of its drivers."""
+    fastest = mini_sectors(tele, n).select("lap_number", F.col("edge").cast("bigint").alias("edge"), "winner")
+    return segment_sectors(tele, n).join(fastest, ["lap_number", "edge"])
+
+
 def path_length(points: DataFrame, keys: list[str], closed: bool = True) -> DataFrame:
     """Length of a polyline in order of ord; closed adds the way back to the first point."""
     w = Window.partitionBy(*keys).orderBy("ord")

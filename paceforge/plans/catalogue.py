@@ -437,6 +437,23 @@ def mini_sectors(t):
     return T.mini_sectors(t("telemetry"))
 
 
+@query(
+    """WITH top AS (SELECT lap_number, driver, min(distance_m) AS lo, max(distance_m) AS hi FROM telemetry GROUP BY ALL HAVING max(distance_m) > min(distance_m)),
+    c AS (SELECT lap_number, min(hi - lo) AS len FROM top GROUP BY 1 HAVING count(DISTINCT driver) >= 2 AND min(hi - lo) > 0),
+    s AS (SELECT *, lead(x) OVER w AS to_x, lead(y) OVER w AS to_y, (distance_m + lead(distance_m) OVER w) / 2 AS middle FROM telemetry WINDOW w AS (PARTITION BY lap_number, driver ORDER BY ord))
+    SELECT s.lap_number, s.driver, ord, x, y, to_x, to_y, greatest(1, least(25, CAST(floor((middle - lo) / len * 25) AS BIGINT) + 1)) AS edge
+    FROM s JOIN top ON s.lap_number = top.lap_number AND s.driver = top.driver JOIN c ON s.lap_number = c.lap_number WHERE middle IS NOT NULL""",
+    "telemetry",
+)
+def segment_sectors(t):
+    return T.segment_sectors(t("telemetry"))
+
+
+@query()
+def track_winners(t):
+    return T.track_winners(t("telemetry"))
+
+
 @query("SELECT driver, lap_number, round(sum(step) + any_value(back), 3) AS length FROM (SELECT driver, lap_number, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step, sqrt((first(x) OVER v - last(x) OVER v) ** 2 + (first(y) OVER v - last(y) OVER v) ** 2) AS back FROM telemetry WINDOW w AS (PARTITION BY driver, lap_number ORDER BY ord), v AS (PARTITION BY driver, lap_number ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY 1, 2", "telemetry")
 def path_length(t):
     return T.path_length(t("telemetry"), ["driver", "lap_number"])
@@ -889,6 +906,28 @@ def overtake_attempts(t):
     return W.attempts(W.closest_approach(_following(t), t("laps"), ["round"]), t("laps"), ["round"], 60.0)
 
 
+REPORT = f"""(SELECT l.round, l.driver, l.lap_number, round({FUEL.replace("lap_number", "l.lap_number")}, 4) AS sec_fuel, median_m, least_m, near_pct, compound, tyre_life FROM laps l JOIN (
+    SELECT round, driver, lap_number, round(median(nullif(gap_m, 0)), 4) AS median_m, min(nullif(gap_m, 0)) AS least_m, round(avg(coalesce(nullif(gap_m, 0) < 50, false)::INT) * 100, 4) AS near_pct FROM {FOLLOWING} GROUP BY ALL) g
+  ON l.round = g.round AND l.driver = g.driver AND l.lap_number = g.lap_number WHERE track_status = '1' AND is_accurate AND NOT pit_in AND NOT pit_out AND lap_time_s IS NOT NULL)"""
+
+
+@query(f"SELECT * FROM {REPORT}", "laps", "telemetry")
+def following_laps(t):
+    return W.following_laps(_following(t), t("laps"), ["round"])
+
+
+@query(
+    f"""WITH d AS (SELECT * FROM {REPORT} WHERE median_m < 500 AND tyre_life IS NOT NULL), f AS (SELECT driver, regr_slope(sec_fuel, tyre_life) AS s FROM d GROUP BY 1),
+    r AS (SELECT d.*, sec_fuel - s * tyre_life AS rest FROM d JOIN f ON d.driver = f.driver),
+    o AS (SELECT round, driver, count(*) AS n, count(*) >= 5 AND min(tyre_life) < max(tyre_life) AND min(near_pct) < max(near_pct) AS ok, regr_slope(rest, near_pct) AS s, regr_intercept(rest, near_pct) AS i, regr_r2(rest, near_pct) AS r FROM r GROUP BY 1, 2)
+    SELECT round, driver, n, CASE WHEN ok THEN round(s + 1e-7, 4) END AS slope, CASE WHEN ok THEN round(i + 1e-7, 4) END AS intercept, CASE WHEN ok THEN round(r + 1e-7, 4) END AS r2 FROM o""",
+    "laps",
+    "telemetry",
+)
+def following_cost(t):
+    return W.following_cost(W.following_laps(_following(t), t("laps"), ["round"]), ["round"])
+
+
 # zones from the brake marks of one driver of the round, on the same circle
 @query(
     f"""WITH {PREV}, e AS {EVENTS}, z AS (SELECT round, floor(min(place_m) / 50) * 50 AS start_m, floor(min(place_m) / 50) * 50 + 120 AS end_m FROM (SELECT round, lap_number, distance_m - floor(distance_m / 1000) * 1000 AS place_m FROM {CARS} WHERE drs IN (10, 12, 14)) GROUP BY round, lap_number),
