@@ -275,6 +275,81 @@ def test_leaks_in_documents(docs, spark, sf_dir):
     assert want and want <= got
 
 
+def naive_leaks(docs, items, size):
+    """Matched places of each (document, item) by comparing all windows word by word; items of at least ``size`` words."""
+    memo, out = decontaminate.Canon(), {}
+
+    def read(text):
+        tokens, plain, template, slot = decontaminate.canonical(text, memo)
+        return plain.tolist(), template.tolist(), slot.tolist(), [t.strip(decontaminate._EDGE).lower() for t in tokens]
+
+    def lengths(slot, i):
+        for k in range(decontaminate.LONGER + 1):
+            n = size << k
+            own = slot[i : i + n]
+            if len(own) == n and sum(x == 0 for x in own) >= size // 2 + 2 * k:
+                return n if any(own) else 0
+        return 0
+
+    for d, text in docs:
+        dp, dt, ds, dw = read(text)
+        for k, item in items:
+            ip, it, isl, iw = read(item)
+            places = set()
+            for diagonal in range(-len(ip), len(dp)):
+                plain, sub = set(), []
+                for i in range(max(0, -diagonal), min(len(ip), len(dp) - diagonal) - size + 1):
+                    j = i + diagonal
+                    if ip[i : i + size] == dp[j : j + size]:
+                        plain.add(i)
+                    n = lengths(isl, i)
+                    if n and n == lengths(ds, j) and it[i : i + n] == dt[j : j + n]:
+                        sub.append((i, n, [((isl[i + x], iw[i + x]), dw[j + x]) for x in range(n) if isl[i + x]]))
+                stands = {}
+                for _, _, pairs in sub:
+                    for a, b in pairs:
+                        stands.setdefault(a, set()).add(b)
+                places |= plain
+                for i, n, pairs in sub:
+                    if all(len(stands[a]) == 1 for a, _ in pairs):
+                        places |= set(range(i, i + n - size + 1))
+            if places:
+                out[d, k] = (len(places), len(ip) - size + 1)
+    return out
+
+
+def test_leaks_reparameterised_in_harder_ways(spark):
+    """Values that fall together, sentences that begin with a name, items dense in names and numbers; against brute force over all windows."""
+    apples = "A farmer packs 3 boxes of red apples and 5 boxes of green pears into a truck before the market opens at noon how many boxes are in the truck"
+    trains = "Anna leaves the north station at 9 with a heavy bag. Bob leaves the south station at 10 with a small box. Carl waits for both of them near the old bridge until 12 and then walks home."
+    dense = "Anna Brown paid 12 dollars 30 cents to Carl Green on 5 March 2020 while David White paid Emma Black 40 euros 15 cents at 7 Hill Road and Frank Stone gave 8 pounds to George Young on 9 April 2021 so who paid more"
+    swap = lambda text, **to: " ".join(to.get(w.strip("."), w.strip(".")) + w[len(w.rstrip(".")) :] for w in text.split())
+    one = apples.replace(" 3 ", " 7 ").replace(" 5 ", " 7 ")
+    two = swap(trains, Anna="Julia", Bob="Kevin", Carl="Laura", **{"9": "4", "10": "6", "12": "8"})
+    three = swap(dense, Anna="Olga", Brown="Hall", Carl="Peter", Green="Moore", David="Quinn", White="Reed", Emma="Rosa", Black="Shaw", March="June", Frank="Tom", Stone="West", George="Umar", Young="York", April="July", **{"12": "31", "30": "77", "5": "6", "40": "51", "15": "16", "8": "3", "9": "2", "7": "99"})
+    uneven = dense.replace("David White paid", "David White sent").replace("paid more", "won it")
+    items = [(1, apples), (2, trains), (3, dense)]
+    rows = [(1, "Some words first. " + one + " and more"), (2, "Some words first. " + two), (3, "Here it is: " + three + " or less"), (4, PROSE), (5, PROSE + " " + uneven), (6, "The Smith family of 4 paid 12 dollars to Mary Jones on 5 May 1999 and went home to Paris")]
+    bench, df = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(df, bench).collect()}
+    assert {k for k, r in got.items() if r.contaminated and k[0] != 5} == {(1, 1), (2, 2), (3, 3)}
+    assert all(got[k, k].template for k in (1, 2, 3))
+    assert {k: (r.matched, r.item_windows) for k, r in got.items()} == naive_leaks(rows, items, 8)
+    unsized = {(r.doc_id, r.item_id): r.matched for r in decontaminate.leaks(df, bench, small_benchmark=0).collect()}
+    assert unsized == {k: r.matched for k, r in got.items()}
+
+
+def test_leaks_on_odd_and_empty_tables(spark, odd, empty):
+    """Clashing columns, nulls, very long texts and repeated rows; no documents; no items."""
+    bench = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, None)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).where("contaminated").collect()}
+    assert got == {(i, 1) for i in (1, 2, 3, 9)}
+    left = decontaminate.drop_contaminated(odd, bench)
+    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 4, 5, 6, 7, 8, 10]
+    assert decontaminate.drop_contaminated(empty, bench).count() == 0
+    assert decontaminate.drop_contaminated(odd, bench.limit(0)).count() == odd.count()
+
+
 # ---- packing
 
 
