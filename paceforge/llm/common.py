@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,42 +22,36 @@ def words(text: str | None) -> list[bytes]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-# odd multiplier of the polynomial, and one fixed 64-bit number for each byte
-_TURN, _BYTE = 0x9E3779B97F4A7C15, np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
-_powers: list[np.ndarray] = []
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of 8 bytes
+SHORT_WORD = 64
 
 
-def _turns(n: int) -> list[np.ndarray]:
-    """Powers 0 .. n - 1 of the multiplier and of its inverse, modulo 2^64; kept, and made longer when a longer piece comes."""
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        for base in (_TURN, pow(_TURN, -1, 2**64)):
-            row = np.full(max(n, 1 << 20), base, np.uint64)
-            row[0] = 1
-            _powers.append(np.multiply.accumulate(row))
-    return _powers
+def word_hashes(texts: list[str], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space) of all texts, one after another, and how many each text has.
 
-
-def word_hashes(texts: list[str], table: bytes | None = None, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without ``space``, ASCII white space) of all texts, one after another, and how many each text has.
-
-    Equal words have equal hashes wherever they stand: sums of a number for each byte times a
-    power for its place, as differences of running sums, turned back to the word's start.
-    ``table`` maps bytes first (lower case).
+    Words of up to ``SHORT_WORD`` bytes start from their length and mix in 8 bytes a round, all words
+    side by side; longer ones take XXH64. ``table`` maps bytes first (lower case).
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = [r.translate(table) for r in raw] if table else raw
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    seen = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    blank = space[seen]
-    blank[ends - 1] = True  # between texts, whatever ``space`` says
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view(np.int8)))  # starts and ends in turn
+    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    buffer = b" ".join([*raw, b" " * 7])  # so that 8 bytes can be read at any word's start
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[np.frombuffer(buffer, np.uint8)]]).view(np.int8)))  # starts and ends in turn
     first, last = edges[::2], edges[1::2]
-    up, down = _turns(len(seen) + 1)
-    run = np.cumsum(_BYTE[seen] * up[: len(seen)], dtype=np.uint64)
-    h = (run[last - 1] - np.where(first > 0, run[first - 1], np.uint64(0))) * down[first]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
+    size = last - first
+    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live = np.flatnonzero(size <= SHORT_WORD)
+    for at in range(0, SHORT_WORD, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        x = (h[live] ^ (eight[first[live] + at] & _KEEP[np.minimum(size[live] - at, 8)])) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h[live] = x ^ (x >> np.uint64(29))
+    for i in np.flatnonzero(size > SHORT_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(buffer[first[i] : last[i]], 20)
+    return h, np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -566,6 +566,21 @@ def test_word_hashes():
     a, b = h[0], h[1]
     assert h[:5].tolist() == [a, b, a, b, a] and h[6] == b and h[8] == b and len(set(h.tolist())) == 4
     assert np.array_equal(word_hashes(["b"])[0], [b])
+    # equal words have equal hashes wherever they stand and however long they are; others differ, by one byte or a zero at the end too
+    some = [f"w{i}" * k for i in range(300) for k in (1, 3, 4, 9, 20, 30)] + ["x" * k for k in range(1, 140)] + ["x\0", "x\0\0", "\0", "\0\0"]
+    h, _ = word_hashes([" ".join(some)])
+    alone = [int(word_hashes([w])[0][0]) for w in some]
+    assert h.tolist() == alone and len(set(alone)) == len(set(some))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """The two Thue-Morse words of any length collide in polynomials modulo 2^64 from 1,024 letters on."""
+    for k in range(3, 12):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+        other = one.translate(str.maketrans("ab", "ba"))
+        assert len(set(word_hashes([f"{one} {other}"])[0].tolist())) == 2
+    df = spark.createDataFrame([(1, one), (2, other)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 2}
 
 
 # ---- empty tables and the pipeline
