@@ -10,10 +10,12 @@ removed if it matches an earlier line (by document id, then line number), kept o
 3. Most of a group of near copies is settled against one earlier line: sets that share
    the smallest or the largest hash of all their words, or the smallest of their rare
    words, meet the first line that has it, and only that one.
-4. Two sets that match share at least k = min(3, ceil(t |x|)) words, x the smaller one, among
+4. Two sets that match share at least k = min(2, ceil(t |x|)) words, x the smaller one, among
    their first |x| - ceil(t |x|) + k words (prefix filter). Sets so short that only an equal
    one matches (under 4 words at t = 0.8) are done. Lines not settled yet meet all earlier sets
-   there; pairs must pass the length filter, with the positions of the shared word the
+   there that are near in size: sizes fall in classes a factor of 1 / t wide, and a list holds
+   one word's lines of one class, with lines of the class below as guests. As a guest's partners
+   are larger, it needs a shorter prefix. Pairs must pass the length filter, with the positions of the shared word the
    positional filter, a bound on the words that only one of them has, from 128-bit parity
    signatures, and meet on k words.
 5. The words of both lines of a pair that is left are compared (verification).
@@ -24,22 +26,24 @@ grows with the square of the group. A word that occurs once in all lines has no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.common import checkpoint, id_and_text, written
 
-BUCKETS, PLACES, PAGE = 1 << 16, 1 << 22, 1 << 12
-SHARED = 3
+BUCKETS, PLACES, PAGE = 1 << 18, 1 << 22, 1 << 12
+SHARED = 2
 
 
 def plain(text: Column) -> Column:
     """Lower case, with blanks for the other ASCII white space within a line."""
-    out = F.lower(text)
-    for c in "\t\r\f\x0b":
-        out = F.replace(out, F.lit(c), F.lit(" "))
-    return out
+    out, any_other = F.lower(text), F.lit(False)
+    for c in "\t\r\f\x0b":  # to look for one is much cheaper than to replace none
+        out, any_other = F.replace(out, F.lit(c), F.lit(" ")), any_other | F.contains(text, F.lit(c))
+    return F.when(any_other, out).otherwise(F.lower(text))
 
 
 def word_set(line: Column) -> Column:
@@ -63,15 +67,22 @@ def byte_table(cells: DataFrame, size: int) -> bytes:
     return table.tobytes()
 
 
+def constant(spark: SparkSession, table: bytes) -> Column:
+    """A table of bytes as a scalar read from the shared folder, so that no plan spells it out."""
+    return checkpoint(spark.createDataFrame([(table,)], "t binary")).scalar()
+
+
 def look_up(table: Column, size: int, h: Column) -> Column:
     return F.ascii(F.substring(table, (F.pmod(h, F.lit(size)) + 1).cast("int"), F.lit(1)))
 
 
 def rarity(docs: DataFrame) -> Column:
     """Rank (0..127, three steps an octave; 0: the bucket's only word occurs once) by the number of a hash bucket's words."""
-    words = docs.where("doc_id is not null").select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    lines = docs.where("doc_id is not null").select(F.explode(F.split(plain(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
     counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return F.lit(byte_table(counted.select("i", F.least(F.floor(3 * F.log2("n")), F.lit(127)).alias("v")), BUCKETS))
+    # a literal, as lambdas take no subquery; one plan holds it
+    return F.lit(byte_table(counted.select("i", F.least(F.floor(3 * F.log2("n")), F.lit(127)).alias("v")).where("v > 0"), BUCKETS))
 
 
 def _at_least(t: float, n: Column) -> Column:
@@ -96,9 +107,8 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"line_no_{s}").alias("line_no")) for s in "ab"))).alias("p")).select("p.*").distinct()
     place = F.xxhash64("doc_id", "line_no")
     wanted = byte_table(ids.select(F.pmod(place, F.lit(PLACES)).alias("i"), F.lit(1).alias("v")), PLACES)
-    one = checkpoint(ids.sparkSession.createDataFrame([(wanted,)], "t binary"))  # PLACES bytes, read as a constant
-    lines = all_lines(docs).where(look_up(one.scalar(), PLACES, place) == 1).join(ids, ["doc_id", "line_no"], "left_semi")
-    lines = lines.select("doc_id", "line_no", word_set(plain(F.col("line"))).alias("words"))
+    lines = all_lines(docs).where(look_up(constant(ids.sparkSession, wanted), PLACES, place) == 1).join(ids, ["doc_id", "line_no"], "left_semi")
+    lines = written(lines.select("doc_id", "line_no", word_set(plain(F.col("line"))).alias("words")))  # so that both sides split the documents once
     a, b = (lines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "words"))) for s in "ab")
     both = pairs.join(a, ["doc_id_a", "line_no_a"]).join(b, ["doc_id_b", "line_no_b"])
     common = F.size(F.array_intersect("words_a", "words_b"))
@@ -150,25 +160,37 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     settled = written(verified(docs, written(led), t))
 
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left")
-    posts = flagged.select(*facts, F.col("settled").isNull().alias("open"), (F.col("held") - F.size("prefix")).alias("skipped"), F.posexplode("prefix").alias("i", "key"))
-    # size (31 bits), position (31 bits) and flag in one number, as there are many of these rows to shuffle
-    packed = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("bigint") * 2).bitwiseOR(F.col("open").cast("bigint"))
-    posts = posts.select("key", "doc_id", "line_no", "sig", "more", packed.alias("facts"))
+    # matching sets are of one class or of neighbouring ones: a class spans a little more than the factor 1 / t
+    size, width = F.col("size"), max(-math.log(t), 0.01) * (1 + 1e-6)
+    group = F.floor(F.log(size.cast("double")) / width)
+    places = []
+    for guest in (False, True):  # in its own class, which has smaller guests, and as the smaller set in the next one
+        least = F.exp((group + 1) * width) * (1 - 1e-9) if guest else t * size  # a partner's size there
+        longest = size - _at_least(t / (1 + t), size + least) + shared(size) - F.col("skipped")
+        places.append(F.struct(F.lit(int(guest)).alias("guest"), F.greatest(longest, F.lit(0)).cast("int").alias("longest")))
+    flagged = flagged.select(*facts, F.col("settled").isNull().alias("open"), (F.col("held") - F.size("prefix")).alias("skipped"), "prefix")
+    posts = flagged.select(*facts, "open", "skipped", "prefix", group.alias("group"), F.inline(F.array(*places)))
+    posts = posts.select(*facts, "open", "skipped", "group", "guest", F.posexplode(F.slice("prefix", F.lit(1), F.col("longest"))).alias("i", "word"))
+    # size (31 bits), position (30 bits) and flags in one number, as there are many of these rows to shuffle
+    packed = F.shiftleft(size.cast("bigint"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("bigint") * 4).bitwiseOR(F.col("guest").cast("bigint") * 2).bitwiseOR(F.col("open").cast("bigint"))
+    # a list's key mixes word and class; a list of two words costs some pairs more and changes no result
+    posts = posts.select(F.hash("word", F.col("group") + F.col("guest")).alias("key"), "doc_id", "line_no", "sig", "more", packed.alias("facts"))
 
     a, b = (posts.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "sig", "more", "facts"))) for s in "ab")
     # taken apart after the join; the flag is weighed with the other side's size, as a filter on one side alone would part the two sides' shuffles
     unpacked = {}
     for s in "ab":
         f = F.col(f"facts_{s}")
-        unpacked |= {f"size_{s}": F.shiftright(f, 32).cast("int"), f"pos_{s}": F.shiftright(f.bitwiseAND(F.lit(2**32 - 1)), 1).cast("int")}
+        unpacked |= {f"size_{s}": F.shiftright(f, 32).cast("int"), f"pos_{s}": F.shiftright(f.bitwiseAND(F.lit(2**32 - 1)), 2).cast("int")}
     is_open = F.col("facts_b").bitwiseAND(F.lit(1)) * F.shiftright("facts_a", 32) > 0
+    not_guests = F.col("facts_a").bitwiseAND(F.col("facts_b")).bitwiseAND(F.lit(2)) == 0  # those meet in their own class
     rest = lambda s: F.col(f"size_{s}") - F.col(f"pos_{s}") - 1
     need = _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
     positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= need
     # the first k shared words are among the first size - need + k words of either set
     for s in "ab":
         positional &= F.col(f"pos_{s}") < F.col(f"size_{s}") - need + shared(F.least("size_a", "size_b"))
-    met = a.join(b, "key").where(is_open).withColumns(unpacked).where(_earlier("a", "b") & _can_match(t) & positional)
+    met = a.join(b, "key").where(is_open & not_guests).withColumns(unpacked).where(_earlier("a", "b") & _can_match(t) & positional)
     pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
     pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.first(shared(F.least("size_a", "size_b"))).alias("shared")).where("n >= shared").select(*pair))
     similar = settled.unionByName(verified(docs, pairs, t)).withColumn("equal", F.lit(False))
