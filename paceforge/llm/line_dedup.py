@@ -16,7 +16,7 @@ removed if it matches an earlier line (by document id, then line number), kept o
    there that are near in size: sizes fall in classes a factor of 1 / t wide, and a list holds
    one word's lines of one class, with lines of the class below as guests. As a guest's partners
    are larger, it needs a shorter prefix. Pairs must pass the length filter, with the positions of the shared word the
-   positional filter, a bound on the words that only one of them has, from 128-bit parity
+   positional filter, a bound on the words that only one of them has, from 96-bit parity
    signatures, and meet on k words.
 5. The words of both lines of a pair that is left are compared (verification).
 
@@ -73,7 +73,7 @@ def constant(spark: SparkSession, table: bytes) -> Column:
 
 
 def look_up(table: Column, size: int, h: Column) -> Column:
-    return F.ascii(F.substring(table, (F.pmod(h, F.lit(size)) + 1).cast("int"), F.lit(1)))
+    return F.ascii(F.substring(table, (h.bitwiseAND(F.lit(size - 1)) + 1).cast("int"), F.lit(1)))  # size: a power of two
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -96,10 +96,13 @@ def _earlier(a: str, b: str) -> Column:
 def _can_match(t: float) -> Column:
     """Length filter and signature bound of a pair with suffixes _a and _b."""
     need = _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
-    return (
-        (F.col("size_a") >= _at_least(t, F.col("size_b"))) & (F.col("size_b") >= _at_least(t, F.col("size_a")))
-        & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b"))) <= F.col("size_a") + F.col("size_b") - 2 * need)
-    )
+    return (F.col("size_a") >= _at_least(t, F.col("size_b"))) & (F.col("size_b") >= _at_least(t, F.col("size_a"))) & (_differing() <= F.col("size_a") + F.col("size_b") - 2 * need)
+
+
+def _differing() -> Column:
+    """Bits of the signatures of a pair that differ: at most the words that only one of the two has."""
+    more = F.col("more_a").bitwiseXOR(F.col("more_b")).cast("bigint").bitwiseAND(F.lit(2**32 - 1))  # bit_count would extend the sign
+    return F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) + F.bit_count(more)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
@@ -133,11 +136,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = lines.select("doc_id", "line_no", F.size("h").alias("size"), F.sort_array("h").alias("h"), F.sort_array(F.transform("h", key)).alias("keys"))
     shared = lambda n: F.least(F.lit(SHARED), _at_least(t, n))  # noqa: E731  # never falls as n grows
     held = (F.col("size") - _at_least(t, F.col("size")) + shared(F.col("size"))).cast("int")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda some: F.aggregate(F.filter("h", some), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k)))
+
+    def parity(some, kind: str, bits: int) -> Column:
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast(kind), k.bitwiseAND(F.lit(bits - 1)).cast("int"))
+        return F.aggregate(F.filter("h", some), F.lit(0).cast(kind), lambda s, k: s.bitwiseXOR(bit(k)))
+
     keyed = keyed.select(
         "doc_id", "line_no", "size", F.xxhash64("h").alias("d1"), F.xxhash64(F.lit(1), F.col("h")).alias("d2"), F.array_min("h").alias("low"), F.array_max("h").alias("high"),
-        parity(lambda k: k > 0).alias("sig"), parity(lambda k: k <= 0).alias("more"),
+        parity(lambda k: k > 0, "bigint", 64).alias("sig"), parity(lambda k: k <= 0, "int", 32).alias("more"),
         # words of rank 0, the first ones, are left out; 31 bits of a key are enough for a list
         F.transform(F.filter(F.slice("keys", F.lit(1), held), lambda k: k >= F.lit(1 << 55)), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), held.alias("held"),
     )
@@ -184,13 +190,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         unpacked |= {f"size_{s}": F.shiftright(f, 32).cast("int"), f"pos_{s}": F.shiftright(f.bitwiseAND(F.lit(2**32 - 1)), 2).cast("int")}
     is_open = F.col("facts_b").bitwiseAND(F.lit(1)) * F.shiftright("facts_a", 32) > 0
     not_guests = F.col("facts_a").bitwiseAND(F.col("facts_b")).bitwiseAND(F.lit(2)) == 0  # those meet in their own class
+    # the signature bound in its cheapest form, which few pairs of a list pass
+    alike = _differing() <= (F.shiftright("facts_a", 32) + F.shiftright("facts_b", 32)) * ((1 - t) / (1 + t)) + 1e-6
     rest = lambda s: F.col(f"size_{s}") - F.col(f"pos_{s}") - 1
     need = _at_least(t / (1 + t), F.col("size_a") + F.col("size_b"))
     positional = F.least("pos_a", "pos_b") + 1 + F.least(rest("a"), rest("b")) >= need
     # the first k shared words are among the first size - need + k words of either set
     for s in "ab":
         positional &= F.col(f"pos_{s}") < F.col(f"size_{s}") - need + shared(F.least("size_a", "size_b"))
-    met = a.join(b, "key").where(is_open & not_guests).withColumns(unpacked).where(_earlier("a", "b") & _can_match(t) & positional)
+    met = a.join(b, "key").where(_earlier("a", "b") & not_guests & alike & is_open).withColumns(unpacked).where(_can_match(t) & positional)
     pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
     pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.first(shared(F.least("size_a", "size_b"))).alias("shared")).where("n >= shared").select(*pair))
     similar = settled.unionByName(verified(docs, pairs, t)).withColumn("equal", F.lit(False))

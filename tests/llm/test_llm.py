@@ -237,6 +237,21 @@ def test_lines_of_one_template(spark):
     assert got == brute_lines(rows) and 60 < len(got) < 230
 
 
+def test_lines_of_unlike_sizes(spark):
+    """Sets whose similarity is just 0.8 or just below by their sizes alone, of all sizes, the larger one first or last."""
+    rng = np.random.default_rng(12)
+    lines = []
+    for n in range(4, 90, 2):
+        more = rng.permutation(700)
+        fit = int(n / 0.8 + 1e-9)
+        lines += [" ".join(f"v{x}" for x in rng.permutation(more[:m])) for m in (n, fit, fit + 1)]
+        lines.append(" ".join(f"v{x}" for x in [*more[: n - n // 10], *more[600 : 600 + n // 10]]))
+    lines = [lines[i] for i in rng.permutation(len(lines))]
+    rows = [(i, "\n".join(lines[i::9])) for i in range(9)]
+    got = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(rows) and len(got) > 40
+
+
 def test_short_lines_and_white_space(spark, monkeypatch):
     """Lines of 1 to 6 words against all pairs, through the query; tabs and carriage returns part words."""
     from paceforge.llm import queries
