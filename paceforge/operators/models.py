@@ -67,9 +67,10 @@ def leave_out_logistic(df: DataFrame, columns: list[str], label: str, fold: str,
     together: a pass over the rows adds up gradient and curvature of every fold in each task, Spark adds the tasks
     up, and only folds x (p + 1) x (p + 2) numbers reach the driver; more than ``max_folds`` folds are
     refused. Separable data stay finite by the penalty. A fold of one row each is leave-one-out.
-    Rows with a null in the columns, label or fold are left out; label is 0 or 1.
+    Rows with a null in the columns, label or fold are left out; label is 0 or 1. The rows are kept, as each
+    pass would make them anew.
     """
-    rows = df.dropna(subset=[*columns, label, fold])
+    rows = df.dropna(subset=[*columns, label, fold]).persist()
     folds = [r[0] for r in rows.select(fold).distinct().limit(max_folds + 1).collect()]
     if len(folds) > max_folds:
         raise ValueError(f"more than {max_folds} folds")

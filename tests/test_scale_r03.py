@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from paceforge.operators import models as M
 from paceforge.operators import statistics as S
 
 
@@ -18,3 +19,19 @@ def test_bootstrap_draws_once_for_each_size(monkeypatch):
         left, right = S.median_places(n, 50, 5)
         assert ((x[left] + x[right]) / 2 == want).all()
     assert drawn == [5] * 4
+
+
+def test_left_out_folds_make_their_rows_once(spark):
+    """The rows' shuffle ran again in every Newton pass."""
+    spark.catalog.clearCache()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    raw = spark.range(40).selectExpr("id % 4 AS fold", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 3 = 0 AS INT) AS y")
+    d = raw.mapInPandas(count, raw.schema)
+    assert M.leave_out_logistic(d, ["a"], "y", "fold").count() == 40
+    assert seen.value == 40
