@@ -228,7 +228,7 @@ def current_board(t):
 
 @query("SELECT round, lap_number, driver, min(position) AS position FROM laps GROUP BY ALL", "laps")
 def position_progression(t):
-    return R.position_progression(t("laps"))
+    return R.position_progression(t("placed_laps"))
 
 
 TEAMS = range(25)  # the stand-in's teams are the 25 nations

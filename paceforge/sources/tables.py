@@ -79,15 +79,34 @@ FROM {orders}
 """
 
 SQL = {"laps": LAPS, "telemetry": TELEMETRY, "status_log": STATUS_LOG, "weather": WEATHER, "results": RESULTS, "race_control": RACE_CONTROL}
+DEALT = {"laps": ("lineitem", "l_suppkey", 250_000), "placed_laps": ("lineitem", "l_suppkey", 250_000), "telemetry": ("events", "user_id", 100_000)}  # table, driver, rows for a task
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+def tasks_for(spark: SparkSession, path: str, rows_per_task: int) -> int | None:
+    """Tasks that a stored table's rows are dealt to; None where they fit one. The rows are counted from the files' footers."""
+    rows = spark.read.parquet(path).count()
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task)) if rows > rows_per_task else None
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A logical table if the name is one of ours, else the stored table."""
-    if name not in SQL:
+    """A logical table if the name is one of ours, else the stored table.
+
+    Rows of laps and telemetry are dealt by driver before their windows, over as many tasks as there are rows for; one
+    exchange then serves all windows of a driver. ``placed_laps`` are the laps for queries on positions, whose
+    rows of a lap are dealt in the same way.
+    """
+    if name not in SQL and name != "placed_laps":
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = SQL[name]
+    text = SQL["laps" if name == "placed_laps" else name]
     used = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASE if "{" + b + "}" in text}
+    if name in DEALT:
+        table, driver, rows_per_task = DEALT[name]
+        n = tasks_for(spark, f"{sf_dir}/{table}.parquet", rows_per_task)
+        if n:
+            used[table] = used[table].repartition(n, driver)
+            if name == "placed_laps":
+                text = text.replace("SELECT p.*,", f"SELECT /*+ REPARTITION({n}, round, lap_number) */ p.*,")
     for word, own in SPARK.items():
         text = text.replace("{" + word + "}", own)
     return spark.sql(text.replace("VARCHAR(9)", "STRING"), **used)
