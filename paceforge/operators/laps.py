@@ -7,6 +7,8 @@ median, rank and previous lap stays inside one. Tables of a single season need o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +28,9 @@ def fuel_corrected(time: str = "lap_time_s", lap: str = "lap_number", total: str
     return F.col(time) - (F.col(total) - F.col(lap)) * F.lit(FUEL_KG_PER_LAP * FUEL_S_PER_KG)
 
 
-def lap_filters(threshold: float, keys: Sequence[str] = KEYS) -> list[tuple[str, Column]]:
+def lap_filters(threshold: float, keys: Sequence[str] = KEYS, best: Column | None = None) -> list[tuple[str, Column]]:
     """The cleaning steps in order; the last compares with the session's best lap of all laps."""
-    best = F.min("lap_ms").over(Window.partitionBy(*keys))
+    best = F.min("lap_ms").over(Window.partitionBy(*keys)) if best is None else best
     return [
         ("no_box", ~F.col("pit_in") & ~F.col("pit_out")),
         ("accurate", F.col("is_accurate")),
@@ -39,10 +41,11 @@ def lap_filters(threshold: float, keys: Sequence[str] = KEYS) -> list[tuple[str,
 
 
 def clean_laps(laps: DataFrame, threshold: float = 1.07, keys: Sequence[str] = KEYS) -> DataFrame:
-    keep = F.lit(True)
-    for _, step in lap_filters(threshold, keys):
-        keep = keep & step
-    return laps.withColumn("__keep", keep).where("__keep").drop("__keep")
+    """Best laps, one row a session, go to the laps, which stay where they are; unknown keys are a session too."""
+    best = laps.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min("lap_ms").alias("__best"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.lit(True))
+    keep = reduce(and_, (step for _, step in lap_filters(threshold, keys, F.col("__best"))))
+    return laps.join(F.broadcast(best), same).where(keep).select(*laps.columns)
 
 
 def quality_funnel(laps: DataFrame, threshold: float = 1.07, keys: Sequence[str] = KEYS) -> DataFrame:
