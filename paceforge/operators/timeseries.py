@@ -10,7 +10,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, value
     """Latest right row at or before each left row (``forward``: the next at or after), in one shuffle.
 
     Both sides go through one window, right rows first at equal times, so the cost is a
-    sort and not a join of all pairs. Left rows without a match keep nulls.
+    sort and not a join of all pairs. Left rows without a match keep nulls. The union is dealt as a whole: sides
+    that were dealt by the keys before may have been joined into tasks in different ways, and must not meet task by task.
     """
     pack = F.struct(F.col(on).alias("at"), *(F.col(v) for v in values))
     cols = left.columns
@@ -18,7 +19,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, value
     r = right.select(F.lit(0).alias("__side"), *(F.col(c) if c in (*keys, on) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), pack.alias("__r"))
     order = [F.desc(on), "__side"] if forward else [F.asc(on), "__side"]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = l.unionByName(r).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    seen = l.unionByName(r).repartition(*keys).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
     return seen.select(*cols, F.col("__r.at").alias(f"matched_{on}"), *(F.col(f"__r.{v}").alias(v) for v in values))
 
 
@@ -92,9 +93,10 @@ def match_by_distance(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame
     """
     # of b's at one place only the first can be a nearest one
     right = b.groupBy("grp", "pos").agg(F.min("j").alias("j")).withColumn("b_pos", F.col("pos"))
-    down = asof_join(a, right, ["grp"], "pos", ["j", "b_pos"]).select("grp", "i", "pos", F.struct(F.abs(F.col("pos") - F.col("b_pos")).alias("d"), "j").alias("x"))
-    up = asof_join(a, right, ["grp"], "pos", ["j", "b_pos"], forward=True).select("grp", "i", "pos", F.struct(F.abs(F.col("pos") - F.col("b_pos")).alias("d"), "j").alias("x"))
-    near = down.unionByName(up).where("x.j is not null").groupBy("grp", "i").agg(F.min("x").alias("x")).where(F.col("x.d") <= tolerance)
+    found = F.when(F.col("j").isNotNull(), F.struct(F.abs(F.col("pos") - F.col("b_pos")).alias("d"), "j"))
+    down = asof_join(a.select("grp", "i", "pos"), right, ["grp"], "pos", ["j", "b_pos"]).select("grp", "i", "pos", found.alias("down"))
+    both = asof_join(down, right, ["grp"], "pos", ["j", "b_pos"], forward=True).select("grp", "i", F.least("down", found).alias("x"))
+    near = both.where("x is not null").groupBy("grp", "i").agg(F.min("x").alias("x")).where(F.col("x.d") <= tolerance)
     w = Window.partitionBy("grp", "x.j").orderBy("i")
     return near.withColumn("k", F.row_number().over(w)).where("k = 1").select("grp", "i", "x.j", F.round("x.d", 4).alias("distance"))
 
