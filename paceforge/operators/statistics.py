@@ -93,6 +93,7 @@ def wilcoxon_test(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
 def success_test(df: DataFrame, keys: list[str], success: str, chance: float = 0.5, confidence: float = 0.95) -> DataFrame:
     """Successes of each group: n, k, rate, the exact two-sided binomial p against ``chance``, and the exact interval of the rate."""
     d = df.where(F.col(success).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(success)).alias("k"))
+    d = d.repartition(4 * d.sparkSession.sparkContext.defaultParallelism)  # a few bytes a group, but long searches for its interval
     low, high = tails.binomial_interval(F.col("k"), F.col("n"), confidence)
     return d.withColumns({"rate": F.col("k") / F.col("n"), "p": tails.binomial_two_sided(F.col("k"), F.col("n"), chance), "low": low, "high": high})
 
