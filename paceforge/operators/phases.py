@@ -18,7 +18,7 @@ def lap_at(times: DataFrame, laps: DataFrame, keys: list[str]) -> DataFrame:
     """
     starts = laps.where("position = 1").select(*keys, (F.col("end_ms") - F.col("lap_ms")).alias("t_ms"), F.col("lap_number").alias("lap")).where("t_ms is not null and lap is not null")
     asked = times.select(*keys, "t_ms").distinct().withColumn("lap", F.lit(None).cast(starts.schema["lap"].dataType))
-    both = starts.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    both = starts.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))).repartition(*keys)  # dealt as a whole, as in asof_join
     w = Window.partitionBy(*keys).orderBy("t_ms", "asks").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("lap", F.coalesce(F.max("lap").over(w), F.lit(0))).where("asks").select(*keys, "t_ms", "lap")
 
