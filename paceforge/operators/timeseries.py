@@ -110,20 +110,32 @@ def interpolate(samples: DataFrame, grid: DataFrame, keys: list[str], x: str, y:
     return both.withColumn(y, F.coalesce(F.col("ya") + part * (F.col("yb") - F.col("ya")), "ya", "yb")).drop("xa", "xb", "ya", "yb")
 
 
-def common_stretch(tele: DataFrame) -> DataFrame:
-    """Where each driver's lap starts and ends (lo, hi) and the length that all drivers of the lap cover (len); laps of one driver have no row."""
+def with_stretch(tele: DataFrame) -> DataFrame:
+    """Adds where the driver's lap starts (lo) and the length that all drivers of the lap cover (len); laps of one driver have no row."""
     top = tele.groupBy("lap_number", "driver").agg(F.min("distance_m").alias("lo"), F.max("distance_m").alias("hi")).where("hi > lo")
     common = top.groupBy("lap_number").agg(F.min(F.col("hi") - F.col("lo")).alias("len"), F.countDistinct("driver").alias("n_drivers")).where("n_drivers >= 2 and len > 0")
-    return top.join(common, "lap_number")
+    w = Window.partitionBy("lap_number", "driver")
+    own = tele.withColumns({"lo": F.min("distance_m").over(w), "hi": F.max("distance_m").over(w)}).where("hi > lo")
+    return own.join(F.broadcast(common.select("lap_number", "len")), "lap_number").drop("hi")  # a number for each lap
 
 
 def mini_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
-    """Fastest driver through each of n equal stretches of the distance that all drivers of a lap cover; who covers none is left out."""
-    grid = common_stretch(tele).select("lap_number", "driver", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("edge"), "lo", "len")
-    grid = grid.select("lap_number", "driver", "edge", (F.col("lo") + F.col("len") * F.col("edge") / n).alias("distance_m"))
-    at = interpolate(tele.select("lap_number", "driver", "distance_m", "t_s").groupBy("lap_number", "driver", "distance_m").agg(F.min("t_s").alias("t_s")), grid, ["lap_number", "driver"], "distance_m", "t_s")
-    w = Window.partitionBy("lap_number", "driver").orderBy("edge")
-    d = at.withColumn("dt", F.round(F.col("t_s") - F.lag("t_s").over(w), 3)).where("edge > 0")
+    """Fastest driver through each of n equal stretches of the distance that all drivers of a lap cover; who covers none is left out.
+
+    The times at the n + 1 edges are interpolated between the two samples around each; every edge is made
+    from the one sample at or before it, so that samples stay in the task of their driver.
+    """
+    at = with_stretch(tele.groupBy("lap_number", "driver", "distance_m").agg(F.min("t_s").alias("t_s")))
+    w = Window.partitionBy("lap_number", "driver").orderBy("distance_m")
+    at = at.withColumns({"to_m": F.lead("distance_m").over(w), "to_s": F.lead("t_s").over(w)})
+    place = lambda c: F.floor((F.col(c) - F.col("lo")) / F.col("len") * n)
+    # an edge more on either side, for rounding
+    at = at.withColumns({"low": F.greatest(place("distance_m") - 1, F.lit(0)), "high": F.coalesce(F.least(place("to_m") + 1, F.lit(n)), F.lit(n))}).where("low <= high")
+    at = at.withColumn("edge", F.explode(F.sequence("low", "high"))).withColumn("x", F.col("lo") + F.col("len") * F.col("edge") / n)
+    at = at.where("x >= distance_m and (to_m is null or x < to_m)")
+    passed = F.col("t_s") + (F.col("x") - F.col("distance_m")) / (F.col("to_m") - F.col("distance_m")) * (F.col("to_s") - F.col("t_s"))
+    at = at.select("lap_number", "driver", F.col("edge").cast("int").alias("edge"), F.coalesce(passed, "t_s").alias("t_s"))
+    d = at.withColumn("dt", F.round(F.col("t_s") - F.lag("t_s").over(Window.partitionBy("lap_number", "driver").orderBy("edge")), 3)).where("edge > 0")
     return d.groupBy("lap_number", "edge").agg(F.min_by("driver", F.struct("dt", "driver")).alias("winner"), F.min("dt").alias("best_s"))
 
 
@@ -134,8 +146,7 @@ def segment_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
     """
     w = Window.partitionBy("lap_number", "driver").orderBy("ord")
     nxt = lambda c: F.lead(c).over(w)
-    d = tele.withColumns({"to_x": nxt("x"), "to_y": nxt("y"), "middle": (F.col("distance_m") + nxt("distance_m")) / 2}).where("middle is not null")
-    d = d.join(common_stretch(tele), ["lap_number", "driver"])
+    d = with_stretch(tele).withColumns({"to_x": nxt("x"), "to_y": nxt("y"), "middle": (F.col("distance_m") + nxt("distance_m")) / 2}).where("middle is not null")
     edge = F.floor((F.col("middle") - F.col("lo")) / F.col("len") * n) + 1
     return d.select("lap_number", "driver", "ord", "x", "y", "to_x", "to_y", F.greatest(F.lit(1), F.least(F.lit(n), edge)).cast("bigint").alias("edge"))
 
@@ -143,7 +154,7 @@ def segment_sectors(tele: DataFrame, n: int = 25) -> DataFrame:
 def track_winners(tele: DataFrame, n: int = 25) -> DataFrame:
     """The same with the fastest driver of the sector: the track map of a lap in its winners' colours, drawn along any of its drivers."""
     fastest = mini_sectors(tele, n).select("lap_number", F.col("edge").cast("bigint").alias("edge"), "winner")
-    return segment_sectors(tele, n).join(fastest, ["lap_number", "edge"])
+    return segment_sectors(tele, n).join(F.broadcast(fastest), ["lap_number", "edge"])  # n rows for each lap
 
 
 def path_length(points: DataFrame, keys: list[str], closed: bool = True) -> DataFrame:
