@@ -113,11 +113,34 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: compressed, and later readers take only the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: compressed, and later readers take only the columns they need.
+
+    Nothing reads the shuffles behind the table again, so their files go when it is written and not at some
+    later time. Tables in a ``folder`` of ``scratch_folder`` go with it.
+    """
+    spark = df.sparkSession
+    path, before = f"{folder or shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder for tables that only the steps of one operator read."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is; it need not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

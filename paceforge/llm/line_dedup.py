@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import checkpoint, id_and_text, written
+from paceforge.llm.common import checkpoint, id_and_text, remove_folder, scratch_folder, written
 
 BUCKETS, PLACES, PAGE = 1 << 18, 1 << 22, 1 << 12
 SHARED = 2
@@ -105,13 +105,13 @@ def _differing() -> Column:
     return F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) + F.bit_count(more)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, t: float, folder: str) -> DataFrame:
     """(doc_id, line_no) of the later lines of pairs whose words match. Only lines in a pair are fetched from the documents."""
     ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"line_no_{s}").alias("line_no")) for s in "ab"))).alias("p")).select("p.*").distinct()
     place = F.xxhash64("doc_id", "line_no")
     wanted = byte_table(ids.select(F.pmod(place, F.lit(PLACES)).alias("i"), F.lit(1).alias("v")), PLACES)
     lines = all_lines(docs).where(look_up(constant(ids.sparkSession, wanted), PLACES, place) == 1).join(ids, ["doc_id", "line_no"], "left_semi")
-    lines = written(lines.select("doc_id", "line_no", word_set(plain(F.col("line"))).alias("words")))  # so that both sides split the documents once
+    lines = written(lines.select("doc_id", "line_no", word_set(plain(F.col("line"))).alias("words")), folder)  # so that both sides split the documents once
     a, b = (lines.select(*(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "line_no", "words"))) for s in "ab")
     both = pairs.join(a, ["doc_id_a", "line_no_a"]).join(b, ["doc_id_b", "line_no_b"])
     common = F.size(F.array_intersect("words_a", "words_b"))
@@ -128,6 +128,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     compared by their words; sets are folded by two 64-bit hashes of their words' 64-bit hashes.
     """
     t, docs = similarity, id_and_text(docs, id_col, text_col)
+    folder = scratch_folder(docs.sparkSession)
     ranks, blank = rarity(docs), F.xxhash64(F.lit(""))
     hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), blank))
     lines = all_lines(docs.withColumn("text", plain(F.col("text")))).select("doc_id", "line_no", hashes.alias("h"))
@@ -148,9 +149,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.transform(F.filter(F.slice("keys", F.lit(1), held), lambda k: k >= F.lit(1 << 55)), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), held.alias("held"),
     )
     facts = ["doc_id", "line_no", "size", "sig", "more"]
-    keyed = written(keyed).where(F.col("size") >= min_words)  # every line is split and hashed once: a filter above it would do so again
+    keyed = written(keyed, folder).where(F.col("size") >= min_words)  # every line is split and hashed once: a filter above it would do so again
     folded = keyed.groupBy("d1", "d2").agg(F.min(F.struct(*facts, "low", "high", "prefix", "held")).alias("first"), F.count(F.lit(1)).alias("n"))
-    sets = written(folded)
+    sets = written(folded, folder)
     firsts = sets.where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("doc_id_a"), F.col("first.line_no").alias("line_no_a"))
     again = keyed.select(F.col("doc_id").alias("doc_id_b"), F.col("line_no").alias("line_no_b"), "d1", "d2").join(firsts, ["d1", "d2"]).where(_earlier("a", "b"))
     equal = again.select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no"), F.lit(True).alias("equal"))
@@ -163,7 +164,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lead = lead.select("m", *(F.col(f"f.{c}").alias(f"{c}_a") for c in facts))
     member = grouped.select("m", *(F.col(c).alias(f"{c}_b") for c in facts))
     led = member.join(lead, "m").where(_earlier("a", "b") & _can_match(t)).select("doc_id_a", "line_no_a", "doc_id_b", "line_no_b").distinct()
-    settled = written(verified(docs, written(led), t))
+    settled = written(verified(docs, written(led, folder), t, folder), folder)
 
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left")
     # matching sets are of one class or of neighbouring ones: a class spans a little more than the factor 1 / t
@@ -200,9 +201,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         positional &= F.col(f"pos_{s}") < F.col(f"size_{s}") - need + shared(F.least("size_a", "size_b"))
     met = a.join(b, "key").where(_earlier("a", "b") & not_guests & alike & is_open).withColumns(unpacked).where(_can_match(t) & positional)
     pair = ["doc_id_a", "line_no_a", "doc_id_b", "line_no_b"]
-    pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.first(shared(F.least("size_a", "size_b"))).alias("shared")).where("n >= shared").select(*pair))
-    similar = settled.unionByName(verified(docs, pairs, t)).withColumn("equal", F.lit(False))
-    return equal.unionByName(similar)
+    pairs = written(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.first(shared(F.least("size_a", "size_b"))).alias("shared")).where("n >= shared").select(*pair), folder)
+    similar = settled.unionByName(verified(docs, pairs, t, folder)).withColumn("equal", F.lit(False))
+    removed = written(equal.unionByName(similar))
+    remove_folder(docs.sparkSession, folder)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

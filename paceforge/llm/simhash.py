@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import LOWER, checkpoint, id_and_text, map_rows, word_hashes, written
+from paceforge.llm.common import LOWER, checkpoint, id_and_text, map_rows, remove_folder, scratch_folder, word_hashes, written
 from paceforge.llm.components import connected_components
 from paceforge.llm.decontaminate import window_hashes
 
@@ -127,7 +127,7 @@ def forest(prints: np.ndarray, max_bits: int, min_bytes: int) -> Iterator[tuple[
         left = left[~near]
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, list_limit: int = 32768, levels: int = 3) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, list_limit: int = 32768, levels: int = 3, folder: str | None = None) -> DataFrame:
     """(a, b array<bigint>): links between the distinct fingerprints in ``nodes.print`` that keep linked ones connected."""
 
     def post(df: DataFrame, level: int) -> DataFrame:
@@ -147,7 +147,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES
         if level == levels:
             lists.append(posts)
             break
-        long = checkpoint(posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_limit).drop("n"))
+        long = written(posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_limit).drop("n"), folder)
         if long.isEmpty():
             lists.append(posts)
             break
@@ -242,10 +242,17 @@ def shared_in_prefix(t: float, n: int) -> int:
     return min(1 + n // 20, _least(t, n))
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose texts, in (row, text), are similar enough: whole sets of shingles are compared. Only texts of a pair are shuffled."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    texts = texts.join(ids, "row", "left_semi")
+def digested(rows: DataFrame) -> DataFrame:
+    """With a digest that stands for the text."""
+    return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def similar_pairs(pairs: DataFrame, known: DataFrame, rows: DataFrame, size: int, similarity: float, folder: str) -> DataFrame:
+    """The pairs (a, b) of rows of (row, digest) whose texts, in ``rows``, are similar enough: whole sets of shingles are compared. Only texts of a pair are kept."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    ids = written(known.select("row", "digest").join(ids, "row", "left_semi"), folder)
+    texts = digested(rows.select("text")).join(ids, "digest")
+    texts = written(texts.groupBy("row").agg(F.first("text").alias("text")), folder)  # copies are one
     a, b = (texts.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
 
     def start():
@@ -265,7 +272,7 @@ def parity(h: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def pairs_across(sets: DataFrame, similarity: float) -> DataFrame:
+def pairs_across(sets: DataFrame, similarity: float, folder: str) -> DataFrame:
     """(a, b): of the pairs in (row, comp, n, sig, prefix) of different ``comp`` a set that holds all similar ones.
 
     Overlap o of similar sets is at least t |x| and t |y|. The k-th smallest shingle that they
@@ -281,7 +288,7 @@ def pairs_across(sets: DataFrame, similarity: float) -> DataFrame:
     posts = sets.select("row", "comp", "n", F.posexplode("prefix").alias("i", "key"))
     live = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     sigs = sets.select("row", *(F.element_at("sig", k + 1).alias(c) for k, c in enumerate(bits)))
-    posts = written(written(posts.join(live, "key", "left_semi")).join(sigs, "row"))
+    posts = written(written(posts.join(live, "key", "left_semi"), folder).join(sigs, "row"), folder)
 
     def sides(df: DataFrame, s: str) -> DataFrame:
         return df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "key"))
@@ -320,6 +327,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = id_and_text(df, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
+    folder = scratch_folder(rows.sparkSession)
     ranks = rows.sparkSession.sparkContext.broadcast(shingle_ranks(rows, size))
 
     def start():
@@ -330,35 +338,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n, raw = len(h), h.tobytes()
             rank = ranks.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]
             order = np.lexsort((h, rank))[: n - _least(similarity, n) + shared_in_prefix(similarity, n)]
-            yield r["row"], r["doc_id"], r["text"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, majority(h, n_words), h[order].view(np.int64).tolist(), parity(h)
+            yield r["row"], r["doc_id"], r["digest"], _signed(xxh64_intdigest(raw, 1)), _signed(xxh64_intdigest(raw, 2)), n, majority(h, n_words), h[order].view(np.int64).tolist(), parity(h)
 
         return one
 
-    # the number of a row is fixed by writing it
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    known = written(map_rows(numbered, f"row bigint, doc_id {kind}, text string, d1 bigint, d2 bigint, n int, print array<bigint>, prefix array<bigint>, sig array<bigint>", start))
-    sets = checkpoint(known.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    # the number of a row is fixed by writing it; texts are not written again, as few are in a pair
+    numbered = digested(rows).withColumn("row", F.monotonically_increasing_id())
+    known = written(map_rows(numbered, f"row bigint, doc_id {kind}, digest binary, d1 bigint, d2 bigint, n int, print array<bigint>, prefix array<bigint>, sig array<bigint>", start), folder)
+    sets = written(known.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), folder)
     again = known.select("row", "d1", "d2").join(sets.where("copies > 1"), ["d1", "d2"]).where("row <> node").select("row")
     firsts = known.join(again, "row", "left_anti")
-    texts = known.select("row", "text")
 
     cosine = 2 * similarity / (1 + similarity)  # of equally large sets
     share = float(np.arccos(cosine) / np.pi)
     bits = int(64 * n_words * (share + 2 * np.sqrt(share * (1 - share) / (64 * n_words))))
     lead = firsts.groupBy("print").agg(F.min("row").alias("lead"))
     same = firsts.select("print", "row").join(lead, "print").where("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"))
-    near = links(firsts.select("print"), bits, 3).distinct()
+    near = links(firsts.select("print"), bits, 3, folder=folder).distinct()
     for s in "ab":
         near = near.withColumnRenamed(s, "print").join(lead, "print").drop("print").withColumnRenamed("lead", s)
-    quick = checkpoint(similar_pairs(written(near.select("a", "b").unionByName(same)), texts, size, similarity))
+    quick = written(similar_pairs(written(near.select("a", "b").unionByName(same), folder), known, rows, size, similarity, folder), folder)
     roots = connected_components(quick)
     placed = firsts.select("row", "n", "prefix", "sig").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
-    rest = similar_pairs(written(pairs_across(placed, similarity)), texts, size, similarity)
-    roots = connected_components(quick.unionByName(checkpoint(rest)))
+    rest = similar_pairs(written(pairs_across(placed, similarity, folder), folder), known, rows, size, similarity, folder)
+    roots = connected_components(quick.unionByName(written(rest, folder)))
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(low, "root").select("d1", "d2", "component_id")
-    return known.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id")
+    out = written(known.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id"))
+    remove_folder(rows.sparkSession, folder)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
