@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from paceforge.llm.common import written
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT_UNITS = 200_000
+KEPT_UNITS = 400_000
 DOC_SHIFT = 40  # a document-end key is the document's place in the chunk and the byte offset of an end
 
 
@@ -62,26 +63,48 @@ class Encoders:
             self.a_bytes[i] = bytes(alphabet[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.byte_sizes = [np.array([len(b) for b in x], np.int64) for x in (self.a_bytes, self.b_bytes)]
         self.by_stretch = all(MARK not in p.lstrip(MARK) for p in pieces)
         self.space = self.b.piece_to_id(MARK)
-        self.known: dict[bytes, tuple[bytes, bytes, bool]] = {}
+        self.known: dict[bytes, int] = {}  # a stretch's place in what follows
+        self.lists = [_lists([], [])] * 2
+        self.same = np.zeros(0, bool)
+
+    def encoded(self, units: list[bytes], texts: list[str]) -> tuple[list, np.ndarray]:
+        """The lists of ids of A and B of some stretches, and which of them both give back."""
+        b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)
+        b_ids = [ids if len(t) > 1 else [self.space] for ids, t in zip(b_ids, texts, strict=True)]
+        both, lists, same = ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], b_ids), [], np.ones(len(units), bool)
+        for ids, table, sizes in zip(both, (self.a_bytes, self.b_bytes), self.byte_sizes, strict=True):
+            flat, counts = list(chain.from_iterable(ids)), [len(x) for x in ids]
+            lists.append(_lists(flat, counts))
+            # the same bytes in all, cut at the same places
+            ends = np.cumsum(np.append(0, sizes[flat]))[np.cumsum(counts)]
+            if not (np.array_equal(ends, np.cumsum([len(u) for u in units])) and b"".join([table[i] for i in flat]) == b"".join(units)):
+                same &= [b"".join([table[i] for i in x]) == u for x, u in zip(ids, units, strict=True)]
+        return lists, same
+
+    def units(self, units: list[bytes]) -> np.ndarray:
+        """The places of stretches, all different, in ``lists`` and ``same``, which hold good until the next call."""
+        import pyarrow as pa
 
-    def units(self, units: list[bytes]) -> tuple[list[bytes], list[bytes], list[bool]]:
-        """For each stretch the int32 ids of A and B, and whether both give its bytes back."""
-        if len(self.known) > KEPT_UNITS:
-            self.known.clear()
+        if len(self.known) > KEPT_UNITS:  # the stretches of this call stay
+            stay = [u for u in units if u in self.known]
+            places = np.array([self.known[u] for u in stay], np.int64)
+            self.known, self.lists, self.same = {u: i for i, u in enumerate(stay)}, [x.take(pa.array(places)) for x in self.lists], self.same[places]
         new = [u for u in units if u not in self.known]
         texts = [u.decode("utf-8", "replace") for u in new]
-        for at in range(0, len(new), 4096):
-            part = texts[at : at + 4096]
-            b_ids = self.b.encode([t[1:] for t in part], num_threads=1)
-            for u, t, ea, eb in zip(new[at : at + 4096], part, self.a.encode_batch_fast(part, add_special_tokens=False), b_ids, strict=True):
-                ids = ea.ids
-                eb = eb if len(t) > 1 else [self.space]
-                same = b"".join([self.a_bytes[i] for i in ids]) == u and b"".join([self.b_bytes[i] for i in eb]) == u
-                self.known[u] = np.array(ids, np.int32).tobytes(), np.array(eb, np.int32).tobytes(), same
-        found = [self.known[u] for u in units]
-        return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
+        parts = [self.encoded(new[at : at + 4096], texts[at : at + 4096]) for at in range(0, len(new), 4096)]
+        if parts:
+            self.lists = [pa.concat_arrays([x, *(lists[w] for lists, _ in parts)]) for w, x in enumerate(self.lists)]
+            self.same = np.concatenate([self.same, *(same for _, same in parts)])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+    def given_back(self, places: np.ndarray, text: bytes) -> bool:
+        """Whether both tokenizers' ids of the stretches at the places give the text's bytes."""
+        ids = [x.take(places).flatten().to_pylist() for x in self.lists]
+        return all(b"".join([table[i] for i in own]) == text for table, own in zip((self.a_bytes, self.b_bytes), ids, strict=True))
 
 
 def stretches(raw: np.ndarray, starts: np.ndarray, cut: bool) -> np.ndarray:
@@ -95,12 +118,11 @@ def stretches(raw: np.ndarray, starts: np.ndarray, cut: bool) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _lists(parts: list[bytes]):
-    """A list array of int32 from the bytes of its lists."""
+def _lists(flat: list[int], counts: list[int]):
+    """A list array of int32 from the items of all its lists and the number of each one's."""
     import pyarrow as pa
 
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.array(flat, np.int32)))
 
 
 class Aligner:
@@ -111,7 +133,7 @@ class Aligner:
 
         pa.set_cpu_count(1)
         self.enc = Encoders(byte_bpe, piece_bpe)
-        self.sizes = [pa.array([len(b) for b in x], pa.int64()) for x in (self.enc.a_bytes, self.enc.b_bytes)]
+        self.sizes = [pa.array(x) for x in self.enc.byte_sizes]
         self.shown = [pa.array([str(i) for i in range(len(x))]) for x in (self.enc.a_bytes, self.enc.b_bytes)]
 
     def tokens(self, lists, codes, unit_doc, which: int):
@@ -146,19 +168,18 @@ class Aligner:
         at = stretches(raw, ends - lengths, self.enc.by_stretch)
         offsets = pa.array(np.append(at, len(raw)), pa.int64())
         units = pa.Array.from_buffers(pa.large_binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(raw.tobytes())]).dictionary_encode()
-        a, b, same = self.enc.units(units.dictionary.to_pylist())
-        codes = units.indices.to_numpy()
+        codes = self.enc.units(units.dictionary.to_pylist())[units.indices.to_numpy()]
         unit_doc = np.searchsorted(ends, at, side="right")
         # documents whose bytes don't come back have no tokens
-        odd = np.unique(unit_doc[~np.array(same)[codes]])
-        lost = [d for d in odd.tolist() if any(b"".join([table[i] for u in codes[unit_doc == d].tolist() for i in np.frombuffer(got[u], np.int32).tolist()]) != b" " + texts[full[d]] for table, got in ((self.enc.a_bytes, a), (self.enc.b_bytes, b)))]
+        odd = np.unique(unit_doc[~self.enc.same[codes]])
+        lost = [d for d in odd.tolist() if not self.enc.given_back(codes[unit_doc == d], b" " + texts[full[d]])]
         if lost:
             stay = ~np.isin(unit_doc, lost)
             codes, unit_doc = codes[stay], unit_doc[stay]
         if not len(codes):
             return out, (empty, empty, empty)
         codes, unit_doc = pa.array(codes), pa.array(unit_doc, pa.int64())
-        sides = [self.tokens(_lists(x), codes, unit_doc, w) for w, x in enumerate((a, b))]
+        sides = [self.tokens(x, codes, unit_doc, w) for w, x in enumerate(self.enc.lists)]
         (a_ids, a_key), (b_ids, b_key) = sides
         count = lambda ids: pa.array(np.arange(len(ids), dtype=np.int32))
         left, right = pa.table({"key": a_key, "a_at": count(a_ids)}), pa.table({"key": b_key, "b_at": count(b_ids)})

@@ -180,6 +180,23 @@ def test_alignment_of_the_documents(spark, sf_dir, encoders):
     assert Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got) == want
 
 
+def test_stretches_are_encoded_once(monkeypatch):
+    """A full memory keeps the stretches that are asked for, and their ids."""
+    monkeypatch.setattr(alignment, "KEPT_UNITS", 3)
+    with open(alignment.BYTE_BPE, "rb") as f, open(alignment.PIECE_BPE, "rb") as g:
+        enc = alignment.Encoders(f.read(), g.read())
+    encode, seen = enc.b.encode, []
+    monkeypatch.setattr(enc, "b", type("Seen", (), {"encode": lambda self, texts, **kw: seen.extend(texts) or encode(texts, **kw)})())
+    first, second = [b" the", b" of", b" <s>", "  \u2581".encode()], [b" of", b" number", "  \u2581".encode(), b" the"]
+    for units in (first, second, first):
+        places = enc.units(units)
+        for u, at in zip(units, places.tolist(), strict=True):
+            a, b = (x[at].as_py() for x in enc.lists)
+            assert a == enc.a.encode(u.decode(), add_special_tokens=False).ids and b == encode(u.decode()[1:])
+            assert enc.same[at] == (b"".join(enc.b_bytes[i] for i in b) == u)
+    assert sorted(seen) == sorted(["the", "of", "<s>", " \u2581", "number", "<s>"])  # only what the second call did not ask for is forgotten
+
+
 def test_alignment_of_an_empty_table(spark):
     assert alignment.align_tokenizers(spark.createDataFrame([], DOCS)).collect() == []
     got = alignment.align_tokenizers(spark.createDataFrame([(1, None, None, 1, "", 1)], DOCS)).collect()
