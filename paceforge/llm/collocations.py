@@ -10,7 +10,7 @@ last, weighted by how often it occurs.
    break the runs of words. Keys that share a slot cost work and change no result, as every
    count is taken exactly later.
 2. Tasks count edges, and where the walk through the graph ends (at the end of a piece or a break)
-   the "tails", its last 1 to 4 words; Spark adds them up.
+   the "tails", its last 1 to 4 words, over all their chunks; Spark adds them up.
 3. Unary paths are compacted: where a node has one edge in and one out, of equal weight and
    without a tail, its two edges become parts of one path, by pointers that double each round. What a
    passage of a hundred words needs is one row then and not 96.
@@ -35,6 +35,7 @@ LONGEST = 5
 SLOTS = 1 << 26
 BLOCK = 1 << 16
 CHUNK_BYTES = 8 << 20
+HELD_ROWS = 1 << 20
 SALTS = 64
 MEMBER = 0x5BF03635  # tag of the slots of words that are in a frequent pair
 
@@ -116,7 +117,7 @@ def paired(starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks_of(batches: Iterator) -> Iterator[tuple[bytes, Chunk]]:
+def chunks_of(batches: Iterator, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[bytes, Chunk]]:
     """Chunks of the rows (lang, text), one for each language at a time."""
     held: dict[bytes, list[bytes]] = {}
     size = 0
@@ -126,7 +127,7 @@ def chunks_of(batches: Iterator) -> Iterator[tuple[bytes, Chunk]]:
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(text)
                 size += len(text)
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield from ((k, Chunk(k, v)) for k, v in held.items())
                     held, size = {}, 0
     yield from ((k, Chunk(k, v)) for k, v in held.items())
@@ -189,14 +190,49 @@ def bit_table(counts: DataFrame, min_count: int) -> bytes:
     return bytes(out)
 
 
-def counted_grams(texts: DataFrame, tables: list[bytes]) -> DataFrame:
-    """Edges (k = 5) and tails (k < 5) of each chunk with their counts."""
-    sent = texts.sparkSession.sparkContext.broadcast(tables)
+class Held:
+    """Counts of runs of words over the chunks of a task, by language and length, so that a task makes one row for each."""
 
-    def run(batches: Iterator) -> Iterator:
+    def __init__(self):
+        self.tables: dict[tuple[bytes, int], list] = {}
+        self.rows = 0
+
+    def add(self, lang: bytes, k: int, grams, n) -> None:
         import pyarrow as pa
 
-        for lang, chunk in chunks_of(batches):
+        self.tables.setdefault((lang, k), []).append(pa.table({"gram": grams, "n_sum": n}))
+        self.rows += len(grams)
+
+    def merge(self) -> None:
+        import pyarrow as pa
+
+        for key, parts in self.tables.items():
+            if len(parts) > 1:
+                one = pa.concat_tables([p.rename_columns(["gram", "n"]) for p in parts])
+                self.tables[key] = [one.group_by("gram", use_threads=False).aggregate([("n", "sum")])]
+        self.rows = sum(len(p) for parts in self.tables.values() for p in parts)
+
+    def rows_out(self) -> Iterator:
+        """All that is held, as record batches; nothing is held then."""
+        import pyarrow as pa
+
+        self.merge()
+        for (lang, k), parts in self.tables.items():
+            for part in parts[0].select(["gram", "n_sum"]).to_batches(max_chunksize=16384):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang.decode("utf-8", "replace")] * len(part), pa.string()), pa.array([k] * len(part), pa.int32()), part.column(0).cast(pa.large_string()).cast(pa.string()), part.column(1)],
+                    names=["lang", "k", "gram", "n"],
+                )
+        self.tables, self.rows = {}, 0
+
+
+def counted_grams(texts: DataFrame, tables: list[bytes], chunk_bytes: int = CHUNK_BYTES, held_rows: int = HELD_ROWS) -> DataFrame:
+    """Edges (k = 5) and tails (k < 5) of each task with their counts; a task of very many runs gives some of them more than once."""
+    sent = texts.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator) -> Iterator:
+        held = Held()
+        for lang, chunk in chunks_of(batches, chunk_bytes):
             if not len(chunk.codes):
                 continue
             starts = chunk.reach(sent.value)
@@ -205,13 +241,13 @@ def counted_grams(texts: DataFrame, tables: list[bytes]) -> DataFrame:
             reach[alone[~passes(sent.value[2], chunk.slots(alone, 1, MEMBER))]] = 0
             for k in range(1, LONGEST + 1):
                 at = np.flatnonzero(reach == k)
-                grams, n = chunk.counted(at, k) if len(at) else ([], [])
-                for j in range(0, len(grams), 16384):
-                    part = grams.slice(j, 16384)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang.decode("utf-8", "replace")] * len(part), pa.string()), pa.array([k] * len(part), pa.int32()), part.cast(pa.large_string()).cast(pa.string()), n.slice(j, 16384)],
-                        names=["lang", "k", "gram", "n"],
-                    )
+                if len(at):
+                    held.add(lang, k, *chunk.counted(at, k))
+            if held.rows > held_rows:
+                held.merge()
+                if held.rows > held_rows // 2:  # what is merged stays only if it leaves room for more
+                    yield from held.rows_out()
+        yield from held.rows_out()
 
     return texts.mapInArrow(run, "lang string, k int, gram string, n bigint")
 

@@ -273,6 +273,26 @@ def test_paths_hold_every_edge_once(spark):
     assert ["v", "w", "x", "y", "A", "B"] in [r.words for r in paths]
 
 
+@pytest.mark.parametrize("held", [1 << 20, 40])
+def test_a_task_makes_one_row_for_each_run(spark, held):
+    """However many chunks it has, unless there is no room for so many runs."""
+    rows = [("en" if i % 2 else None, " ".join(f"w{(i + j) % 7}" for j in range(3 + i % 6)) + ". of the, of the") for i in range(200)]
+    texts = spark.createDataFrame(rows, "lang string, text string").selectExpr("cast(coalesce(lang, 'und') as binary) as lang", "cast(text as binary) as text").coalesce(1)
+    tables = [b"\xff" * (collocations.SLOTS // 8)] * 3
+    got = collocations.counted_grams(texts, tables, chunk_bytes=300, held_rows=held).collect()
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,]", text):
+            w = piece.split()
+            for i in range(len(w)):
+                want[lang or "und", min(5, len(w) - i), " ".join(w[i : i + 5])] += 1
+    total = Counter()
+    for r in got:
+        total[r.lang, r.k, r.gram] += r.n
+    assert total == want
+    assert (len(got) == len(want)) == (held > 40)
+
+
 def test_collocation_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
