@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from paceforge.llm.common import checkpoint, id_and_text, remove_folder, scratch_folder, written
 
-BUCKETS, PLACES, PAGE = 1 << 18, 1 << 22, 1 << 12
+BUCKETS, PLACES, PAGE = 1 << 22, 1 << 22, 1 << 12
 SHARED = 2
 
 

@@ -3,6 +3,8 @@
 import os
 from urllib.parse import urlparse
 
+from pyspark.sql import functions as F
+
 from paceforge.llm import common, line_dedup, simhash
 
 
@@ -38,3 +40,12 @@ def test_shuffle_files_go_with_the_write(spark):
     before = spark.conf.get(common.FREED)
     assert common.written(Frame()).count() == 100
     assert seen == ["true"] and spark.conf.get(common.FREED) == before
+
+
+def test_rare_words_are_ranked_apart(spark):
+    """Of many words that occur once hardly any shares its bucket with another, so that they have no lists."""
+    words = [f"w{i}" for i in range(300_000)]
+    df = spark.createDataFrame([(i, " ".join(words[i : i + 1000])) for i in range(0, len(words), 1000)], "doc_id bigint, text string")
+    ranks = line_dedup.rarity(df)
+    rank = line_dedup.look_up(ranks, line_dedup.BUCKETS, F.xxhash64("w"))
+    assert df.select(F.explode(F.split("text", " ")).alias("w")).where(rank == 0).count() > 0.9 * len(words)
