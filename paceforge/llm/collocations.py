@@ -9,7 +9,7 @@ last, weighted by how often it occurs.
    Three passes count those in slots of hashed tables of fixed size; each task sends what its slots hold once. Slots under ``min_count``
    break the runs of words. Keys that share a slot cost work and change no result, as every
    count is taken exactly later.
-2. Tasks count edges, and where the walk through the graph ends (at the end of a piece or a break)
+2. Tasks, few and large ones, count edges, and where the walk through the graph ends (at the end of a piece or a break)
    the "tails", its last 1 to 4 words, over all their chunks; Spark adds them up.
 3. Unary paths are compacted: where a node has one edge in and one out, of equal weight and
    without a tail, its two edges become parts of one path, by pointers that double each round. What a
@@ -36,6 +36,7 @@ SLOTS = 1 << 26
 BLOCK = 1 << 16
 CHUNK_BYTES = 8 << 20
 HELD_ROWS = 1 << 20
+WAVES, TOGETHER = 2, 8
 SALTS = 64
 MEMBER = 0x5BF03635  # tag of the slots of words that are in a frequent pair
 
@@ -226,6 +227,16 @@ class Held:
         self.tables, self.rows = {}, 0
 
 
+def in_fewer_tasks(texts: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """The same rows in ``WAVES`` tasks a core, or in more where a task would get over ``together`` of the scan's partitions.
+
+    A frequent run is a row of every task that meets it, so rows grow with the number of tasks times that of the
+    frequent runs. What a task holds is bounded whatever it reads.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(max(WAVES * cores, -(-texts.rdd.getNumPartitions() // together)))
+
+
 def counted_grams(texts: DataFrame, tables: list[bytes], chunk_bytes: int = CHUNK_BYTES, held_rows: int = HELD_ROWS) -> DataFrame:
     """Edges (k = 5) and tails (k < 5) of each task with their counts; a task of very many runs gives some of them more than once."""
     sent = texts.sparkSession.sparkContext.broadcast(tables)
@@ -260,7 +271,7 @@ def gram_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     for _ in range(2):
         tables.append(bit_table(slot_counts(texts, tables), min_count))
     totals = first.where("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    return totals, written(counted_grams(texts, tables).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
+    return totals, written(counted_grams(in_fewer_tasks(texts), tables).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
 
 
 def compact_paths(grams: DataFrame, max_rounds: int = 60) -> DataFrame:

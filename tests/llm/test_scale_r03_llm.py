@@ -5,7 +5,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
-from paceforge.llm import common, line_dedup, simhash
+from paceforge.llm import collocations, common, line_dedup, simhash
 
 
 def shared(spark):
@@ -49,3 +49,19 @@ def test_rare_words_are_ranked_apart(spark):
     ranks = line_dedup.rarity(df)
     rank = line_dedup.look_up(ranks, line_dedup.BUCKETS, F.xxhash64("w"))
     assert df.select(F.explode(F.split("text", " ")).alias("w")).where(rank == 0).count() > 0.9 * len(words)
+
+
+def test_a_run_of_words_is_a_row_of_few_tasks(spark):
+    """Many partitions of a scan are counted in few tasks, with the same counts; what is in few stays."""
+    words = "one two three four five six seven"
+    texts = spark.range(0, 400, numPartitions=400).select(F.lit(b"en").alias("lang"), F.lit(words.encode()).alias("text"))
+    tables = []
+    for _ in range(3):
+        tables.append(collocations.bit_table(collocations.slot_counts(texts.coalesce(4), tables), 100))
+    fewer = collocations.in_fewer_tasks(texts)
+    assert fewer.rdd.getNumPartitions() == max(collocations.WAVES * spark.sparkContext.defaultParallelism, 50)
+    rows = collocations.counted_grams(fewer, tables).persist()
+    assert rows.count() <= 7 * fewer.rdd.getNumPartitions() < 7 * 400
+    assert {r.gram: r.n for r in rows.where("k = 5").groupBy("gram").agg(F.sum("n").alias("n")).collect()} == {" ".join(words.split()[i : i + 5]): 400 for i in range(3)}
+    assert collocations.in_fewer_tasks(spark.range(0, 4, numPartitions=1)).rdd.getNumPartitions() == 1
+    rows.unpersist()
